@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import lookalikes
+from foliant.llm import leakage, lookalikes, site_lines
 from foliant.runtime import table
 
 
@@ -30,9 +30,38 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.unify(_texts(spark, sf_dir), "text").select("tab", "row_id", F.col("unified").alias("text")).distinct()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.site_lines(table(spark, sf_dir, "page_text"), table(spark, sf_dir, "pdf_documents"))
+
+
+def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "page_text").select("id", "document_id", "content").distinct()
+    return site_lines.cleaned(pages, p3_found(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+P3_FOUND = r"""
+with lines as (
+  select p.id as page_id, p.document_id, d.source, unnest(string_split(p.content, chr(10))) as line,
+         unnest(range(len(string_split(p.content, chr(10))))) as line_no
+  from (select distinct id, document_id, content from page_text where regexp_matches(content, '[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')) p
+  join (select distinct id, source from pdf_documents where source is not null) d on d.id = p.document_id),
+forms as (
+  select *, lower(trim(regexp_replace(line, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) as form from lines),
+sizes as (select source, count(distinct document_id) as n from forms group by source),
+often as (
+  select f.source, f.form from forms f join sizes s on s.source = f.source where length(f.form) >= 20
+  group by f.source, f.form, s.n having count(distinct f.document_id) >= 3 and count(distinct f.document_id) * 100 >= 15 * s.n)
+select distinct f.page_id, cast(f.line_no as integer) as line_no from forms f join often o on o.source = f.source and o.form = f.form
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_FOUND}
