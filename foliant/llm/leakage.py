@@ -28,10 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.words import mix, permutations, run_hashes, word_hash, words
+from foliant.llm.words import permutations, run_hashes, word_hash, words
 
 RUN, PASSAGE, SHINGLE, BLOCK = 12, 9, 5, 20
-RECALL = 1 - 1e-7
+RECALL = 1 - 1e-6
 #: Items whose passages are sent to the tasks at once; more items are searched block by block.
 ITEMS = 5_000
 SEED = 20
@@ -65,10 +65,15 @@ class Items:
             a, b = permutations(max(self.bands[n].values()), SEED + n)
             owner = np.array([i for i, _ in passages])
             for band in range(len(a)):
-                least_of = np.array([mix(h * a[band] + b[band]).min() for _, h in passages])
+                least_of = np.array([(h * a[band] + b[band]).min() for _, h in passages])
                 order = least_of.argsort(kind="stable")
                 self.minima[n, band] = least_of[order], owner[order]
         self.runs = {i: {tuple(w[k : k + RUN]) for k in range(max(1, len(w) - RUN + 1))} for i, w in self.words.items()}
+        #: length of a run -> sorted hashes of all items' runs of that length
+        self.ends: dict[int, np.ndarray] = {}
+        for n in {min(RUN, len(w)) for w in self.words.values()}:
+            each = [run_hashes(np.array([self.code[x] for x in w], np.uint64), n) for w in self.words.values() if min(RUN, len(w)) == n]
+            self.ends[n] = np.unique(np.concatenate(each))
 
     @staticmethod
     def _passages(w: list[str]) -> list[list[str]]:
@@ -77,47 +82,67 @@ class Items:
         step = RUN - PASSAGE + 1
         return [w[k : k + PASSAGE] for k in range(0, len(w) - PASSAGE + 1, step)]
 
-    def candidates(self, codes: np.ndarray) -> dict[int, set[int]]:
-        """item -> the word positions at which blocks of the document begin that met a passage of it."""
-        met: dict[int, set[int]] = defaultdict(set)
+    def candidates(self, codes: list[np.ndarray]) -> set[tuple[int, int, int]]:
+        """(document, item, word position) of the blocks of documents that met a passage of an item."""
+        met: set[tuple[int, int, int]] = set()
         for n, known in self.shingles.items():
-            h = run_hashes(codes, n)
-            if not len(h):
-                continue
-            hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-            if not len(hits):
+            hashes = [run_hashes(c, n) for c in codes]
+            sizes = np.array([len(h) for h in hashes])
+            if not sizes.sum():
                 continue
+            ends = sizes.cumsum()
+            h = np.concatenate([*hashes, np.zeros(BLOCK, np.uint64)])
             step, span = BLOCK - PASSAGE + 1, BLOCK - n + 1
-            first = np.maximum(0, (hits - span) // step + 1)
-            starts = np.unique(np.concatenate([first, hits // step]) if span <= 2 * step else np.concatenate([first, first + 1, hits // step])) * step
-            starts = np.unique(starts[starts < len(h)])
+            blocks = np.maximum(1, -(-(sizes - span) // step) + 1) * (sizes > 0)
+            document = np.repeat(np.arange(len(sizes)), blocks)
+            within = (np.arange(blocks.sum()) - np.repeat(blocks.cumsum() - blocks, blocks)) * step
+            start = within + (ends - sizes)[document]
+            size = np.minimum(span, ends[document] - start)
+            own = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+            before = np.concatenate([[0], own.cumsum()])
+            useful = np.flatnonzero(before[start + size] > before[start])
             a, b = permutations(max(self.bands[n].values()), SEED + n)
-            for start in starts.tolist():
-                block = h[start : start + span]
-                bands = self.bands[n][1 << (len(block) - 1).bit_length()]
-                least = mix(block[None, :] * a[:bands, None] + b[:bands, None]).min(axis=1)
-                for band in range(bands):
-                    minima, owner = self.minima[n, band]
-                    lo, hi = np.searchsorted(minima, least[band], "left"), np.searchsorted(minima, least[band], "right")
-                    for item in owner[lo:hi].tolist():
-                        met[item].add(start)
+            for most, bands in self.bands[n].items():
+                chosen = useful[(size[useful] <= most) & (size[useful] > most // 2)]
+                for at in range(0, len(chosen), 50_000):
+                    piece = chosen[at : at + 50_000]
+                    place = np.arange(min(most, span))
+                    values = h[start[piece, None] + place]
+                    beyond = place >= size[piece, None]
+                    for band in range(bands):
+                        permuted = values * a[band] + b[band]
+                        permuted[beyond] = np.iinfo(np.uint64).max
+                        least = permuted.min(axis=1)
+                        minima, owner = self.minima[n, band]
+                        lo = np.searchsorted(minima, least, "left")
+                        hits = np.flatnonzero(minima[np.minimum(lo, len(minima) - 1)] == least)
+                        for x in hits.tolist():
+                            k = lo[x]
+                            while k < len(minima) and minima[k] == least[x]:
+                                met.add((int(document[piece[x]]), int(owner[k]), int(within[piece[x]])))
+                                k += 1
         return met
 
-    def contained(self, item: int, starts: set[int], text: list[str]) -> bool:
-        """Whether RUN consecutive words of the item (all, if it has fewer) stand in the text around a block that met it."""
-        runs, n = self.runs[item], min(RUN, len(self.words[item]))
-        reach = RUN + BLOCK
-        for start in sorted(starts):
-            for k in range(max(0, start - reach), min(len(text) - n, start + reach) + 1):
-                if tuple(text[k : k + n]) in runs:
-                    return True
-        return False
-
-    def search(self, text: str | None) -> list[int]:
-        w = words(text)
+    def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
+        """(position of the text, item) where RUN consecutive words of the item, or all of a shorter item, stand in the text."""
+        split = [words(t) for t in texts]
         get, none = self.code.get, np.uint64(0)
-        codes = np.array([get(x, none) for x in w], np.uint64)
-        return [item for item, starts in self.candidates(codes).items() if self.contained(item, starts, w)]
+        codes = [np.array([get(x, none) for x in w], np.uint64) for w in split]
+        found: set[tuple[int, int]] = set()
+        runs: dict[tuple[int, int], list[int]] = {}
+        for document, item, start in sorted(self.candidates(codes)):
+            n = min(RUN, len(self.words[item]))
+            if (document, item) in found:
+                continue
+            if (document, n) not in runs:  # where the document has any item's run of n words
+                h = run_hashes(codes[document], n)
+                known = self.ends[n]
+                runs[document, n] = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h).tolist() if len(h) else []
+            for k in runs[document, n]:
+                if start - RUN - BLOCK <= k <= start + RUN + BLOCK and tuple(split[document][k : k + n]) in self.runs[item]:
+                    found.add((document, item))
+                    break
+        return sorted(found)
 
 
 def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -134,8 +159,9 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             search = Items(index.value)
             for batch in batches:
-                found = [(d, i) for d, t in zip(batch["doc"], batch["text"], strict=True) if t for i in search.search(t)]
-                yield pd.DataFrame(found, columns=["doc", "item"])
+                for at in range(0, len(batch), 500):
+                    found = search.search(batch["text"].iloc[at : at + 500].tolist())
+                    yield pd.DataFrame({"doc": batch["doc"].iloc[[at + k for k, _ in found]].to_numpy(), "item": [i for _, i in found]})
 
         source = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null")
         return source.mapInPandas(part, f"doc {kind}, item {dict(items.dtypes)[item_id]}")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import leakage, lookalikes, site_lines
+from foliant.llm import leakage, lookalikes, near_duplicates, site_lines
 from foliant.runtime import table
 
 
@@ -39,6 +39,14 @@ def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.cleaned(pages, p3_found(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "chunks"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "chunks"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
