@@ -2,11 +2,12 @@
 
 Lines are parsed into templates through a token tree of fixed depth: a line goes to the leaf named by its source, its
 number of tokens and its first tokens (numbers become wildcards); inside a leaf it joins the most similar template,
-whose differing tokens become wildcard slots. Each partition grows its own trees; a tree's leaves travel as rows and
-are merged by leaf. Templates that cover too few documents of the source drop out, the rest are checked exactly.
+whose differing tokens become wildcard slots. Leaves that too few documents of the source reach drop out first. In the rest each
+batch of lines grows its own trees; their templates travel as rows and are merged by leaf. Templates that cover too
+few documents drop out, the rest are checked exactly.
 
 Nothing is lost on the way: a leaf is a function of the line alone, so a leaf's number of documents (summed over
-partitions) is never less than that of any line in it; and after the merge each line is assigned to a template anew,
+batches) is never less than that of any line in it; and after the merge each line is assigned to a template anew,
 the same for equal lines, so a template's number of documents is never less than that of a line it holds.
 
 Cases: null or blank content has no lines and does not count as a page of its document; a document without a row in
@@ -23,9 +24,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from foliant.runtime import small_side
+from foliant.runtime import checkpoint, small_side
 
 MIN_CHARS, MIN_DOCUMENTS, MIN_SHARE = 20, 3, 0.15
 #: Tokens of a line that name its leaf, and the share of equal tokens at which it joins a template.
@@ -65,39 +66,39 @@ def generalised(a: list[str], b: list[str]) -> list[str]:
     return [x if x == y else WILD for x, y in zip(a, b, strict=True)]
 
 
-def grow(rows: Iterable[tuple[str, str, str]]) -> list[tuple[int, str, int, list[str]]]:
-    """(source, document_id, content) -> (leaf, source, documents in this partition, template) of one partition's trees."""
-    leaves: dict[int, list[list]] = defaultdict(list)
-    known: dict[tuple[str, str], list] = {}
-    for source, document, content in rows:
-        for line in content.split("\n"):
-            form = same_form(line)
-            if len(form) < MIN_CHARS:
-                continue
-            node = known.get((source, form))
-            if node is None:
-                tokens = tokens_of(form)
-                leaf = leaf_of(source, tokens)
-                at = best_template(tokens, (n[0] for n in leaves[leaf]))
-                if at < 0:
-                    leaves[leaf].append(node := [tokens, set(), source])
-                else:
-                    node = leaves[leaf][at]
-                    node[0] = generalised(node[0], tokens)
-                known[source, form] = node
-            node[1].add(document)
-    return [(leaf, source, len(documents), template) for leaf, nodes in leaves.items() for template, documents, source in nodes]
+def leaf_documents(pages: DataFrame) -> DataFrame:
+    """leaf, source, documents: how many documents of a batch have lines in the leaf; sums never fall short."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            leaves: dict[int, tuple[str, set[str]]] = {}
+            for document, source, content in batch.itertuples(index=False, name=None):
+                for form in set(map(same_form, content.split("\n"))):
+                    if len(form) >= MIN_CHARS:
+                        leaf = leaf_of(source, tokens_of(form))
+                        leaves.setdefault(leaf, (source, set()))[1].add(document)
+            yield pd.DataFrame([(leaf, source, len(d)) for leaf, (source, d) in leaves.items()], columns=["leaf", "source", "documents"])
 
+    return pages.select("document_id", "source", "content").mapInPandas(part, "leaf long, source string, documents int")
 
-def trees(pages: DataFrame) -> DataFrame:
-    """One row per template of each partition's trees."""
+
+def trees(lines: DataFrame) -> DataFrame:
+    """leaf, template: the leaves of the token trees that each batch of lines grows."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:  # a batch's trees are given out at once, so memory stays bounded
-            yield pd.DataFrame(grow(batch.itertuples(index=False, name=None)), columns=["leaf", "source", "documents", "template"])
+        for batch in batches:  # a batch's tree is given out at once, so memory stays bounded
+            leaves: dict[int, list[list[str]]] = defaultdict(list)
+            for leaf, form in set(batch.itertuples(index=False, name=None)):
+                tokens, templates = tokens_of(form), leaves[leaf]
+                at = best_template(tokens, templates)
+                if at < 0:
+                    templates.append(tokens)
+                else:
+                    templates[at] = generalised(templates[at], tokens)
+            yield pd.DataFrame([(leaf, t) for leaf, ts in leaves.items() for t in ts], columns=["leaf", "template"])
 
-    schema = StructType([StructField("leaf", LongType()), StructField("source", StringType()), StructField("documents", IntegerType()), StructField("template", ArrayType(StringType()))])
-    return pages.select("source", "document_id", "content").mapInPandas(part, schema)
+    schema = StructType([StructField("leaf", LongType()), StructField("template", ArrayType(StringType()))])
+    return lines.select("leaf", "form").mapInPandas(part, schema)
 
 
 def merged(templates: list[list[str]]) -> list[list[str]]:
@@ -112,7 +113,7 @@ def merged(templates: list[list[str]]) -> list[list[str]]:
     return out
 
 
-def lines_of(pages: DataFrame, leaves: set[int] | None = None) -> DataFrame:
+def lines_of(pages: DataFrame) -> DataFrame:
     """Each line that can count: page_id, line_no, document_id, source, leaf, form."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,14 +136,10 @@ def with_source(pages: DataFrame, documents: DataFrame) -> DataFrame:
     return kept.join(small_side(of), "document_id")
 
 
-def excessive(pages: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, line_no of the lines repeated excessively in their source. pages: page_id, document_id, content, source."""
-    needed = pages.groupBy("source").agg(F.greatest(F.lit(min_documents), F.ceil(F.countDistinct("document_id") * F.lit(str(min_share)).cast("decimal(9,6)"))).alias("needed"))
-    needed = small_side(needed)
-    leaves = trees(pages).groupBy("leaf").agg(F.first("source").alias("source"), F.sum("documents").alias("documents"), F.collect_set("template").alias("templates"))
-    leaves = leaves.join(needed, "source").filter("documents >= needed").select("leaf", "templates")
+def assigned(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """lines with the number of the merged template each belongs to; equal lines belong to the same."""
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: dict[int, list[list[str]]] = {}
         for batch in batches:
             at = []
@@ -150,20 +147,22 @@ def excessive(pages: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: f
                 if leaf not in ready:
                     ready[leaf] = merged([list(t) for t in templates])
                 at.append(best_template(tokens_of(form), ready[leaf]))
-            yield pd.DataFrame({"page_id": batch["page_id"], "line_no": batch["line_no"], "document_id": batch["document_id"], "source": batch["source"], "template": [f"{leaf}.{k}" for leaf, k in zip(batch["leaf"], at, strict=True)], "form": batch["form"].map(hash64)})
+            yield batch.drop(columns="templates").assign(template=at, form=batch["form"].map(hash64))
 
-    held = lines_of(pages).join(small_side(leaves, 20_000), "leaf")
-    lines = held.mapInPandas(assign, "page_id string, line_no int, document_id string, source string, template string, form long")
-    return lines.join(needed, "source")
+    return lines.join(small_side(templates, 20_000), "leaf").mapInPandas(part, "leaf long, page_id string, line_no int, document_id string, source string, form long, template int")
 
 
 def site_lines(pages: DataFrame, documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, line_no of each line that its source repeats in min_documents and min_share of its documents or more."""
-    from foliant.runtime import checkpoint
-
-    lines = checkpoint(excessive(with_source(pages, documents), min_documents, min_share))
-    covering = lines.groupBy("template", "needed").agg(F.countDistinct("document_id").alias("n")).filter("n >= needed").select("template")
-    of = lines.join(covering, "template", "left_semi")
+    pages = with_source(pages, documents)
+    share = F.ceil(F.countDistinct("document_id") * F.lit(str(min_share)).cast("decimal(9,6)"))
+    needed = small_side(checkpoint(pages.groupBy("source").agg(F.greatest(F.lit(min_documents), share).alias("needed"))))
+    leaves = leaf_documents(pages).groupBy("leaf", "source").agg(F.sum("documents").alias("n")).join(needed, "source").filter("n >= needed").select("leaf")
+    lines = checkpoint(lines_of(pages).join(small_side(checkpoint(leaves)), "leaf", "left_semi"))
+    templates = checkpoint(trees(lines).groupBy("leaf").agg(F.collect_set("template").alias("templates")))
+    lines = assigned(lines, templates).join(needed, "source")
+    covering = lines.groupBy("leaf", "template", "needed").agg(F.countDistinct("document_id").alias("n")).filter("n >= needed").select("leaf", "template")
+    of = lines.join(covering, ["leaf", "template"], "left_semi")
     repeated = of.groupBy("source", "form", "needed").agg(F.countDistinct("document_id").alias("n")).filter("n >= needed").select("source", "form")
     return of.join(repeated, ["source", "form"], "left_semi").select("page_id", "line_no").distinct()
 
