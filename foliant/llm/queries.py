@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import leakage, lookalikes, near_duplicates, packing, site_lines
+from foliant.llm import leakage, lookalikes, near_duplicates, packing, site_lines, spam_pages
 from foliant.runtime import table
 
 
@@ -55,6 +55,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = spam_pages.spam_share(table(spark, sf_dir, "documents"))
+    return shares.filter(F.col("spam_share") > spam_pages.SHARE).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
