@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import leakage, lookalikes, near_duplicates, packing, site_lines, spam_pages
+from foliant.llm import answer_defects, leakage, lookalikes, near_duplicates, packing, site_lines, spam_pages
 from foliant.runtime import table
 
 
@@ -39,6 +39,10 @@ def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.cleaned(pages, p3_found(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer_defects.defects(table(spark, sf_dir, "messages"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "chunks"))
 
