@@ -40,8 +40,8 @@ FUNCTION_WORDS = {
 WINDOW, LEAST = 30, 5
 #: Documents are spam when flagged windows hold more than this share of their characters.
 SHARE = 0.5
-#: Squared distance beyond which a window is an outlier: the 0.99 quantile of chi-squared for the features.
-CUTOFF = 21.7
+#: Squared distance beyond which a window is an outlier: the 0.95 quantile of chi-squared for the features.
+CUTOFF = 16.9
 FEATURES = ("function", "repeated", "entropy", "links", "separators", "commas", "digits", "marks", "sentences")
 #: Least standard deviation of each feature; most windows have none of some of them.
 FLOOR = dict(zip(FEATURES, (0.03, 0.04, 0.015, 0.03, 0.02, 0.03, 0.04, 0.02, 0.02), strict=True))
@@ -59,8 +59,10 @@ AWAY = 3.0
 LINK = re.compile(r"<a\b[^>]*>[^<]*</a>|<[^<>]*>|\[[^\]\n]*\]\([^)\s]*\)?|https?://\S+|www\.\S+|\w[\w.-]*\.\w+/\S*")
 MARK = re.compile(r"\(\d{4}\)|\d\(\d+\)|^\s*\[\d+\]|[;\t|]\s?\d|\.{4,}|(?:\. ){3,}|\d+-\d+", re.M)
 TOKEN = re.compile(rf"(?P<link>{LINK.pattern})|{WORD.pattern}")
-SENTENCE = re.compile(r"[.!?](?=\s|$)")
-SEPARATOR = re.compile(r"[»>#|›→/·•;]")
+STOPS = (". ", ".\n", "! ", "!\n", "? ", "?\n")
+SEPARATORS = "»>#|›→/·•;"
+#: Texts without any of these have no links.
+HINT = re.compile(r"://|www\.|\]\(|<|\.\w+/")
 
 
 def language(found: Counter, given: str | None) -> str:
@@ -73,7 +75,10 @@ def language(found: Counter, given: str | None) -> str:
 
 def windows(text: str, given: str | None) -> Iterator[tuple]:
     """(language, characters, features...) of each window of a text."""
-    spans = [(m.start(), m.end(), m.lastgroup == "link") for m in TOKEN.finditer(text)]
+    if HINT.search(text):
+        spans = [(m.start(), m.end(), m.lastgroup == "link") for m in TOKEN.finditer(text)]
+    else:
+        spans = [(*m.span(), False) for m in WORD.finditer(text)]
     if len(spans) < LEAST:
         return
     low = ["" if link else text[a:b].lower() for a, b, link in spans]
@@ -88,7 +93,9 @@ def windows(text: str, given: str | None) -> Iterator[tuple]:
         n = to - at
         # a link is one token, unlike any other
         counts = Counter(w for w in low[at:to] if w)
-        entropy = (math.log2(n) * len(linked) / n - sum(c / n * math.log2(c / n) for c in counts.values())) / math.log2(n) if n > 1 else 1.0
+        repeats = sum(c * math.log2(c) for c in counts.values() if c > 1)
+        entropy = 1 - repeats / n / math.log2(n) if n > 1 else 1.0
+        digits = sum(c for w, c in counts.items() if not w.isalpha())
         yield (
             lang,
             hi - lo,
@@ -96,11 +103,11 @@ def windows(text: str, given: str | None) -> Iterator[tuple]:
             1 - (len(counts) + len(linked)) / n,
             entropy,
             sum(b - a for a, b in linked) / (hi - lo),
-            len(SEPARATOR.findall(piece)) / n,
+            sum(map(piece.count, SEPARATORS)) / n,
             piece.count(",") / n,
-            sum(c for w, c in counts.items() if any(x.isdigit() for x in w)) / n,
-            len(MARK.findall(piece)) / n,
-            len(SENTENCE.findall(piece)) / n,
+            digits / n,
+            len(MARK.findall(piece)) / n if digits or "..." in piece or ". . ." in piece else 0.0,
+            (sum(map(piece.count, STOPS)) + piece.endswith((".", "!", "?"))) / n,
         )
 
 
@@ -160,14 +167,18 @@ def scored(rows: DataFrame) -> DataFrame:
     stats = centres(rows)
     if not stats:
         return rows.withColumns({"distance": F.lit(0.0), "towards": F.lit(False)})
-    away = {f: F.col(f) - by_language({k: m[i] for k, (m, _) in stats.items()}) for i, f in enumerate(FEATURES)}
-    scatter = {k: np.linalg.inv(inv).diagonal() ** 0.5 for k, (_, inv) in stats.items()}
-    units = {f: F.col(f"_{f}") / by_language({k: x[i] for k, x in scatter.items()}) for i, f in enumerate(FEATURES)}
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(len(FEATURES))]
-    distance = sum((F.col(f"_{FEATURES[i]}") * F.col(f"_{FEATURES[j]}") * by_language({k: inv[i, j] for k, (_, inv) in stats.items()}) for i, j in pairs), F.lit(0.0))
+    size = range(len(FEATURES))
+    pairs = [(i, j) for i in size for j in size if i <= j]
+    values = [(k, *map(float, m), *map(float, np.linalg.inv(inv).diagonal() ** 0.5), *(float(inv[i, j]) * (1 + (i < j)) for i, j in pairs)) for k, (m, inv) in stats.items()]
+    names = ["_lang", *(f"_m{i}" for i in size), *(f"_s{i}" for i in size), *(f"_c{i}_{j}" for i, j in pairs)]
+    known = rows.sparkSession.createDataFrame(values, ", ".join(f"{n} {'string' if n == '_lang' else 'double'}" for n in names))
+    of = F.when(F.col("lang").isin([k for k in stats if k]), F.col("lang")).otherwise("")
+    away = rows.withColumn("_lang", of).join(F.broadcast(known), "_lang").withColumns({f"_d{i}": F.col(f) - F.col(f"_m{i}") for i, f in enumerate(FEATURES)})
+    distance = reduce(Column.__add__, (F.col(f"_d{i}") * F.col(f"_d{j}") * F.col(f"_c{i}_{j}") for i, j in pairs))
+    units = {f: F.col(f"_d{i}") / F.col(f"_s{i}") for i, f in enumerate(FEATURES)}
     inside = lambda need: reduce(Column.__and__, ((units[f] >= v) if v > 0 else (units[f] <= v) for f, v in need.items()))
     towards = reduce(Column.__or__, map(inside, DIRECTIONS)) & (units["marks"] < AWAY)
-    return rows.withColumns({f"_{f}": d for f, d in away.items()}).withColumns({"distance": distance, "towards": towards}).drop(*(f"_{f}" for f in FEATURES))
+    return away.select(*rows.columns, distance.alias("distance"), towards.alias("towards"))
 
 
 def spam_share(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
