@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import answer_defects, leakage, lookalikes, near_duplicates, packing, site_lines, spam_pages
+from foliant.llm import answer_defects, leakage, lookalikes, near_duplicates, packing, scan_noise, site_lines, spam_pages
 from foliant.runtime import table
 
 
@@ -21,6 +21,14 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.defects(table(spark, sf_dir, "page_text"))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.repaired(table(spark, sf_dir, "page_text"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lookalikes.unify(_texts(spark, sf_dir), "text")
     return done.filter("text != unified").select("tab", "row_id").distinct()
