@@ -36,22 +36,25 @@ def significant_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(ascii_tokens(text), lambda t: (F.length(t) > 2) & ~t.isin(EVIDENCE_STOP_WORDS)))
 
 
-def stemmed(word: Column) -> Column:
-    """The word without the first ending that leaves three letters; numbers stay."""
-    out = word
-    for suffix in reversed(SUFFIXES):
-        n = len(suffix)
-        out = F.when(word.endswith(suffix) & (F.length(word) - n >= 3), word.substr(F.lit(1), F.length(word) - n)).otherwise(out)
-    out = F.when(word.endswith("ies") & (F.length(word) > 4), F.concat(word.substr(F.lit(1), F.length(word) - 3), F.lit("y"))).otherwise(out)
-    return F.when(word.rlike("^[0-9]+$"), word).otherwise(out)
+def stemmed(text: Column) -> Column:
+    """Every ASCII word of a lower-case text without the first ending that leaves three letters; -ies becomes y.
+
+    The y is written large between the two steps, so that the second does not cut it again.
+    """
+    edge, stop = "(?<![a-zA-Z0-9])", "(?![a-zA-Z0-9])"
+    plural = F.regexp_replace(text, f"{edge}([a-z0-9]{{2,}})ies{stop}", "$1Y")
+    return F.lower(F.regexp_replace(plural, f"{edge}([a-z0-9]{{3,}}?)(?:{'|'.join(SUFFIXES)}){stop}", "$1"))
 
 
 def stems(text: Column) -> Column:
-    return F.array_distinct(F.transform(ascii_tokens(text), stemmed))
+    return F.array_distinct(F.regexp_extract_all(stemmed(F.lower(text)), F.lit("([a-z0-9]+)"), 1))
 
 
 def covered_count(topic_terms: Column, text_stems: Column) -> Column:
-    """How many of the topic's terms (repeats count) the text has, by stem."""
+    """How many of the topic's terms (repeats count) the text has, by stem.
+
+    text_stems should be a column of its own, not an expression: it would be computed for each term.
+    """
     return F.size(F.filter(topic_terms, lambda t: F.array_contains(text_stems, stemmed(t))))
 
 

@@ -55,7 +55,7 @@ def bm25(chunks: DataFrame, questions: DataFrame, pool: int = POOL) -> DataFrame
     met = postings(chunks).join(small_side(asked.select("term").distinct()), "term")
     pairs = met.join(small_side(asked), "term")
     frequency = met.groupBy("term").agg(F.count("*").alias("df"))
-    n_words = pairs.join(small_side(frequency), "term").select("question_id", "chunk_id", "doc_len", "tf", "df")
+    n_words = pairs.join(frequency, "term").select("question_id", "chunk_id", "doc_len", "tf", "df")
     # the phrase can stand only where every term does
     whole = pairs.filter("n_terms >= 2").groupBy("question_id", "chunk_id", "doc_len", "phrase", "n_terms").agg(F.count("*").alias("n")).filter("n = n_terms")
     spelled = chunks.select(F.col("id").alias("chunk_id"), F.concat(F.lit(" "), F.array_join(index_tokens(F.col("content")), "  "), F.lit(" ")).alias("spelled"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions.text import ascii_tokens, covers, significant_terms, stems, terms
+from foliant.functions.text import ascii_tokens, significant_terms, terms
 from foliant.operators import calculation, chunking, grounding, library, ranking, selection
 from foliant.plans import modes, routing
 from foliant.plans.sql import SQL
@@ -221,8 +221,8 @@ def citation_places(spark: SparkSession, sf: str) -> DataFrame:
 def topic_is_covered(spark: SparkSession, sf: str) -> DataFrame:
     """Whether any of the passages found for a question is about it."""
     questions, chunks = corpus.questions(spark, sf), corpus.chunks(spark, sf)
-    found = modes.candidates(chunks, questions).select("question_id", "content").join(questions, "question_id")
-    each = found.select("question_id", covers(significant_terms(F.col("question")), stems(F.col("content"))).alias("c"))
+    found = modes.candidates(chunks, questions).select("question_id", "chunk_id").join(questions, "question_id").withColumn("topic", significant_terms(F.col("question")))
+    each = modes.covered(found, chunks).select("question_id", F.col("is_covered").alias("c"))
     return questions.select("question_id").join(each.groupBy("question_id").agg(F.max("c").alias("c")), "question_id", "left").select("question_id", F.coalesce("c", F.lit(False)).alias("is_covered"))
 
 

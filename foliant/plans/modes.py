@@ -45,10 +45,16 @@ def extraction(chunks: DataFrame, questions: DataFrame, similar: DataFrame | Non
     return answered(chunks, questions, "extraction", ("document_id", "page_number"), similar)
 
 
+def covered(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs (chunk_id, topic: array of terms) with is_covered; each chunk is stemmed once, whatever asks for it."""
+    own = chunks.select(F.col("id").alias("chunk_id"), stems(F.col("content")).alias("stems"))
+    return pairs.join(own, "chunk_id").withColumn("is_covered", covers(F.col("topic"), F.col("stems"))).drop("stems")
+
+
 def location(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """Passages that have enough of a question's terms, by BM25 alone; none where no passage does."""
-    ranked = with_text(ranking.bm25(chunks, questions), chunks).join(questions, "question_id")
-    about = ranked.filter(covers(terms(F.col("question")), stems(F.col("content"))))
+    about = covered(ranking.bm25(chunks, questions).join(questions.withColumn("topic", terms(F.col("question"))), "question_id"), chunks)
+    about = with_text(about.filter("is_covered"), chunks)
     place = F.row_number().over(W.partitionBy("question_id").orderBy("rank"))
     total = F.count("*").over(W.partitionBy("question_id"))
     scored = about.withColumn("score", (total - place + 1).cast("double")).select("question_id", "chunk_id", *SPAN, "score")
