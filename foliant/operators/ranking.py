@@ -130,9 +130,9 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
                 keep = np.argpartition(-near, min(k, near.shape[1]) - 1, axis=1)[:, :k]
                 floor = np.take_along_axis(near, keep, 1).min(axis=1)
                 at, which = np.nonzero(near >= floor[:, None])  # ties at the edge stay for the final order
-                yield pd.DataFrame({"query_id": np.array(ids)[at], "vec_id": batch["vec_id"].to_numpy()[which], "similarity": near[at, which]})
+                yield pd.DataFrame({"query_id": np.array(ids, object)[at], "vec_id": batch["vec_id"].to_numpy()[which], "similarity": near[at, which]})
 
-        return source.mapInPandas(part, "query_id long, vec_id long, similarity double")
+        return source.mapInPandas(part, f"query_id {dict(queries.dtypes)['vec_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, similarity double")
 
     blocks = max(1, -(-rows // BLOCK))
     found = reduce(DataFrame.unionAll, (nearest(b, blocks) for b in range(blocks))).withColumn("similarity", F.round("similarity", 6))

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.functions import providers
 from foliant.functions.text import ascii_tokens, significant_terms, terms
 from foliant.operators import calculation, chunking, grounding, library, ranking, selection
 from foliant.plans import modes, routing
 from foliant.plans.sql import SQL
 from foliant.runtime import table
 from foliant.sources import corpus
+from foliant.streaming import feeds
 
 #: Phrases that phrase_search looks for.
 PHRASES = ((1, "in dry conditions"), (2, "was noted at the"), (3, "Table 2 lists the"))
@@ -73,6 +75,12 @@ def diverse_by_document(spark: SparkSession, sf: str) -> DataFrame:
     return modes.multi_document(corpus.chunks(spark, sf), corpus.questions(spark, sf))
 
 
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages for each question by fusion of BM25 with the vectors of an embedding provider."""
+    chunks, questions = corpus.chunks(spark, sf), corpus.questions(spark, sf)
+    return modes.fact(chunks, questions, modes.similar_chunks(chunks, questions, providers.hashed_words))
+
+
 def extraction_sources(spark: SparkSession, sf: str) -> DataFrame:
     return modes.extraction(corpus.chunks(spark, sf), corpus.questions(spark, sf))
 
@@ -252,15 +260,26 @@ def ascii_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), F.size(ascii_tokens(F.col("content"))).alias("n_tokens"), F.size(significant_terms(F.col("content"))).alias("n_terms"))
 
 
+def stream_daily_events(spark: SparkSession, sf: str) -> DataFrame:
+    return feeds.run(feeds.daily_events(feeds.stream(spark, f"{sf}/events.parquet")), "complete").drop("batch")
+
+
+def stream_session_scores(spark: SparkSession, sf: str) -> DataFrame:
+    events = feeds.stream(spark, f"{sf}/events.parquet").filter("value is not null")
+    rows = events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("item"), F.col("value").alias("points"))
+    updates = feeds.run(feeds.session_scores(rows), "update")
+    return updates.groupBy("session").agg(F.max_by(F.struct("answered", "score"), "batch").alias("x")).select("session", "x.answered", "x.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         chunk_spans, document_spans, chunk_sections, line_offsets, term_frequencies, bm25_topk, lexical_topk, cosine_topk, rrf_fuse, dedup_greedy,
-        diverse_by_page, diverse_by_document, extraction_sources, location_lookup, selection_support, overview_round_robin, coverage_sample,
+        diverse_by_page, diverse_by_document, hybrid_topk, extraction_sources, location_lookup, selection_support, overview_round_robin, coverage_sample,
         suggestion_sample, page_lookup, section_lookup, phrase_search, toc_heuristic, known_sections, route_mode, calc_operations, labelled_amounts,
         term_coverage, support_check, keyword_coverage, page_status_summary, page_classes, figure_counts, decorative_images, duplicate_hash,
         chunk_scan, history_last_n, progress_fold, merge_sources, citation_places, topic_is_covered, evidence_chars, citations_used, batch_plan,
-        ascii_token_counts,
+        ascii_token_counts, stream_daily_events, stream_session_scores,
     )
 }
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.functions import providers
 from foliant.functions.text import covers, stems, terms
 from foliant.operators import ranking, selection
 from foliant.plans.routing import TOP_K
@@ -28,6 +31,13 @@ def candidates(chunks: DataFrame, questions: DataFrame, pool: int = ranking.POOL
     return with_text(fused.select("question_id", "chunk_id", "score"), chunks)
 
 
+def similar_chunks(chunks: DataFrame, questions: DataFrame, provider: Callable[[list[str]], list[list[float]]], pool: int = ranking.POOL) -> DataFrame:
+    """question_id, chunk_id, rank of the chunks nearest to each question by an embedding provider."""
+    asked = providers.embedded(questions, "question_id", "question", provider, providers.INSTRUCTION)
+    near = ranking.cosine(providers.embedded(chunks, "id", "content", provider), asked, pool)
+    return near.select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("chunk_id"), "rank")
+
+
 def answered(chunks: DataFrame, questions: DataFrame, mode: str, by: tuple[str, ...], similar: DataFrame | None = None) -> DataFrame:
     left = selection.without_overlaps(candidates(chunks, questions, similar=similar))
     return selection.diverse(left, TOP_K[mode], by).select("question_id", "chunk_id", "position", "score")

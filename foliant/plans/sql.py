@@ -211,6 +211,10 @@ union all select conversation_id, id, 0, lower(trim(role)), substr(content, 1, 3
 with f as (select user_id, event_id, event_type, value, row_number() over (partition by user_id, event_type order by event_id) as n from events)
 select user_id as session, event_id as seq, event_type as item, count(*) over w as answered, round(sum(value) over w, 6) as score
 from f where n = 1 window w as (partition by user_id order by event_id rows between unbounded preceding and current row)""",
+    "stream_daily_events": "select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by date_trunc('day', ts), event_type",
+    "stream_session_scores": """
+with f as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by event_id) as k from events where value is not null)
+select user_id as session, count(*) as answered, round(sum(value), 6) as score from f where k = 1 group by user_id""",
     "citations_used": """
 with m as (select distinct id, conversation_id, citations from messages),
 c as (select conversation_id, unnest(citations) as c from m)
