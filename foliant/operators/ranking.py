@@ -27,9 +27,8 @@ BLOCK = 1024
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
-    """question_id, term, n_terms, phrase: each different term of each question."""
-    split = questions.select("question_id", F.array_distinct(terms(F.col("question"))).alias("terms"))
-    return split.select("question_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"), F.concat(F.lit(" "), F.array_join("terms", "  "), F.lit(" ")).alias("phrase"))
+    """question_id, term: each different term of each question."""
+    return questions.select("question_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -51,16 +50,21 @@ def bm25(chunks: DataFrame, questions: DataFrame, pool: int = POOL) -> DataFrame
     Statistics are those of all chunks given. Only postings of the questions' terms leave their tasks.
     """
     asked = question_terms(questions)
-    stats = chunks.select(F.size(index_tokens(F.coalesce("content", F.lit("")))).alias("n")).agg(F.count("*").alias("chunks"), F.avg("n").alias("avg_len"))
-    met = postings(chunks).join(small_side(asked.select("term").distinct()), "term")
-    pairs = met.join(small_side(asked), "term")
+    tokens = chunks.select(F.col("id").alias("chunk_id"), index_tokens(F.col("content")).alias("tokens"))
+    stats = tokens.agg(F.count("*").alias("chunks"), F.avg(F.greatest(F.size("tokens"), F.lit(0))).alias("avg_len"))
+    each = tokens.select("chunk_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+    wanted = small_side(asked.select("term").distinct())
+    met = each.join(wanted, "term").groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
     frequency = met.groupBy("term").agg(F.count("*").alias("df"))
-    n_words = pairs.join(frequency, "term").select("question_id", "chunk_id", "doc_len", "tf", "df")
-    # the phrase can stand only where every term does
-    whole = pairs.filter("n_terms >= 2").groupBy("question_id", "chunk_id", "doc_len", "phrase", "n_terms").agg(F.count("*").alias("n")).filter("n = n_terms")
-    spelled = chunks.select(F.col("id").alias("chunk_id"), F.concat(F.lit(" "), F.array_join(index_tokens(F.col("content")), "  "), F.lit(" ")).alias("spelled"))
-    times = (F.length("spelled") - F.length(F.replace(F.col("spelled"), F.col("phrase"), F.lit("")))) / F.length("phrase")
-    phrases = whole.join(spelled, "chunk_id").withColumn("tf", times.cast("long")).filter("tf > 0")
+    n_words = met.join(frequency, "term").join(small_side(asked.select("question_id", "term")), "term").select("question_id", "chunk_id", "doc_len", "tf", "df")
+    # a phrase can stand only where its first two terms are neighbours
+    neighbours = tokens.select("chunk_id", "tokens", F.explode(F.arrays_zip(F.expr("slice(tokens, 1, greatest(size(tokens) - 1, 0))").alias("first"), F.expr("slice(tokens, 2, greatest(size(tokens), 1))").alias("second"))).alias("n"))
+    starts = questions.select("question_id", F.array_distinct(terms(F.col("question"))).alias("t")).filter(F.size("t") >= 2)
+    starts = starts.select("question_id", F.col("t")[0].alias("first"), F.col("t")[1].alias("second"), F.concat(F.lit(" "), F.array_join("t", "  "), F.lit(" ")).alias("phrase"))
+    begun = neighbours.select("chunk_id", "tokens", "n.first", "n.second").join(small_side(starts), ["first", "second"])
+    spelled = F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" "))
+    times = (F.length(spelled) - F.length(F.replace(spelled, F.col("phrase"), F.lit("")))) / F.length("phrase")
+    phrases = begun.select("question_id", "chunk_id", F.size("tokens").alias("doc_len"), times.cast("long").alias("tf")).filter("tf > 0").distinct()
     phrase_df = phrases.groupBy("question_id").agg(F.count("*").alias("df"))
     n_phrases = phrases.join(phrase_df, "question_id").select("question_id", "chunk_id", "doc_len", "tf", "df")
     items = n_words.unionByName(n_phrases).crossJoin(F.broadcast(stats))  # stats is one row
