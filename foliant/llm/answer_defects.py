@@ -149,7 +149,7 @@ def terminal_counts(texts: Iterator[str | None]) -> Counter:
             pieces = [p for p in re.split(r"(?<=[.!?])\s+", line) if p.strip()]
             for m, piece in enumerate(pieces):
                 kind, keys = contexts(ITEM.sub("", piece) if STOP.search(line) else piece)  # an item that is a sentence is text
-                ended = bool(STOP.search(piece)) or m == len(pieces) - 1 and n < len(lines) - 1 and kind == "item"
+                ended = bool(STOP.search(piece)) and not piece.rstrip().endswith("...") or m == len(pieces) - 1 and n < len(lines) - 1 and kind == "item"
                 for k, three in enumerate(keys):
                     last = k == len(keys) - 1
                     if last and not ended:
@@ -244,7 +244,8 @@ def defects(messages: DataFrame) -> DataFrame:
     # what each key says for an end, in logarithms
     said = F.log((F.col("ends") + 0.5) / (F.col("goes_on") + 0.5))
     # a short value ends with any word that ends a sentence now and then
-    said = F.when(F.col("key").startswith("text w"), F.least(F.lit(0.0), said + 6)).otherwise(said)
+    sometimes = (F.col("ends") >= 2) & (F.col("ends") * 1000 >= F.col("goes_on"))
+    said = F.when(F.col("key").startswith("text w"), F.when(sometimes | (F.col("goes_on") < 3), 0.0).otherwise(-5.0)).otherwise(said)
     weighed = open_ended.select("message_id", key).join(counts, "key", "left").withColumn("said", said)
     letters = F.col("key").startswith("t ")
     by_word, by_letters, known = (F.coalesce(F.sum(F.when(x, y)), z) for x, y, z in ((~letters, F.col("said"), F.lit(0.0)), (letters, F.col("said"), F.lit(math.log(0.2))), (F.col("key").rlike("^\\w+ w "), F.col("ends") + F.col("goes_on"), F.lit(0))))
