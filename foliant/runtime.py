@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def salted(key: Column, parts: int) -> Column:
     """A stable part number 0..parts-1 of a key."""
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the tasks of a session whose Python workers may not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_has_foliant", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="foliant-")) / "foliant.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._has_foliant = True

@@ -16,7 +16,7 @@ MAGIC = "%PDF-"
 
 
 def register_parser(suffix: str, parser: Callable[[bytes], list[tuple[int, str]]]) -> None:
-    """Make a file format readable; the parser must be importable where tasks run."""
+    """Make a file format readable; the parser goes to the tasks by value, or by name if they can import it."""
     PARSERS[suffix.lower()] = parser
 
 

@@ -1,5 +1,6 @@
 import pytest
 
+from foliant.runtime import ship
 from foliant.session import local_session
 
 
@@ -7,5 +8,6 @@ from foliant.session import local_session
 def spark():
     session = local_session(4, 4, "4g")
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()
