@@ -48,7 +48,7 @@ FLOOR = dict(zip(FEATURES, (0.03, 0.04, 0.015, 0.03, 0.02, 0.03, 0.04, 0.02, 0.0
 #: Directions of spam: the least deviation, in scatter units, in each of a direction's features.
 DIRECTIONS = (
     {"function": -2.5},  # keywords, tags and paths strung together without grammar
-    {"repeated": 2.5, "entropy": -2.5},  # the same phrase over and over
+    {"repeated": 3.5, "entropy": -3.5},  # the same phrase over and over
     {"links": 5.0, "function": -1.2},
     {"sentences": -2.0, "function": -1.5},
     {"separators": 4.0, "function": -1.0},
