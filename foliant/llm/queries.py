@@ -92,5 +92,34 @@ select distinct f.page_id, cast(f.line_no as integer) as line_no from forms f jo
 """
 
 
+LATIN = r"[a-zA-Z\x{c0}-\x{24f}]"
+P2_FOUND = rf"""
+with t as (
+  select 'page_text' as tab, id as row_id, content as text from page_text
+  union all select 'chunks', id, content from chunks
+  union all select 'document_images', id, caption from document_images)
+select distinct tab, row_id from t
+where nfc_normalize(text) != text
+   or regexp_matches(text, '[\x{{ad}}\x{{34f}}\x{{61c}}\x{{180e}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{2064}}\x{{2066}}-\x{{2069}}\x{{feff}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{fb00}}-\x{{fb06}}\x{{ff01}}-\x{{ff5e}}\x{{1d400}}-\x{{1d7ff}}]')
+   or regexp_matches(text, '{LATIN}[{"".join(lookalikes.HOMOGLYPHS)}]|[{"".join(lookalikes.HOMOGLYPHS)}]{LATIN}')
+"""
+P5_FOUND = r"""
+with c as (select distinct id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from chunks where content is not null),
+s as (select distinct id, array_to_string(w[i:i + 2], ' ') as x from (select id, w, unnest(range(1, len(w) - 1)) as i from c where len(w) >= 20)),
+n as (select id, count(*) as n from s group by id),
+p as (select a.id as id_a, b.id as id_b, count(*) as k from s a join s b on b.x = a.x and a.id < b.id group by a.id, b.id)
+select p.id_a, p.id_b from p join n a on a.id = p.id_a join n b on b.id = p.id_b where p.k >= 0.6 * (a.n + b.n - p.k)
+"""
+P7_FOUND = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
+i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items),
+dg as (select doc_id, array_to_string(w[k:k + 11], ' ') as x from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)),
+ig as (select item_id, array_to_string(w[k:k + 11], ' ') as x from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i))
+select distinct dg.doc_id, ig.item_id from dg join ig on ig.x = dg.x
+union
+select d.doc_id, i.item_id from d join i on len(i.w) between 1 and 11 and contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND}
+    return {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
