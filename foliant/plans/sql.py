@@ -8,6 +8,7 @@ from foliant.plans import routing
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CHUNKS = "(select distinct id, document_id, page_number, content, section, start_offset, end_offset from chunks)"
 PAGES = "(select distinct id, document_id, page_number, content, status, source_type from page_text)"
+PAGES_BLOCKS = "(select distinct id, content, blocks from page_text where blocks is not null)"
 FILES = "(select distinct id, filename, page_count, status, content_hash, source, created_at from pdf_documents)"
 IMAGES = "(select distinct id, document_id, page_number, bbox, xref from document_images)"
 MESSAGES = "(select distinct id, conversation_id, role, content, reply_to_message_id, created_at from messages)"
@@ -24,10 +25,10 @@ def bounded(pattern: str) -> str:
 
 
 
-def span_query(table: str, key: str, text: str) -> str:
+def span_query(table: str, key: str, text: str, collapse: bool = True) -> str:
     cut = lambda a: f"(case when least(length(s), {a} + 900) < length(s) and strpos(reverse(substr(s, {a} + 1, 900)), ' .') > 0 and {a} + 900 - strpos(reverse(substr(s, {a} + 1, 900)), ' .') - 1 > {a} + 300 then {a} + 900 - strpos(reverse(substr(s, {a} + 1, 900)), ' .') else least(length(s), {a} + 900) end)"
     return rf"""
-with recursive t as (select {key}, trim(regexp_replace({text}, '{SPACE}+', ' ', 'g')) as s from {table}),
+with recursive t as (select {key}, {f"trim(regexp_replace({text}, '{SPACE}+', ' ', 'g'))" if collapse else text} as s from {table}),
 w as (
   select {key}, s, 0 as chunk_index, 0 as a, {cut("0")} as b from t where s is not null and s != ''
   union all
@@ -122,6 +123,26 @@ n as (
   from r left join topic t on t.message_id = r.message_id left join own o on o.message_id = r.message_id and o.s = {stem("t.term")} group by r.message_id)"""
 
 SQL: dict[str, str] = {
+    "chunk_sections": f"""
+with sp as ({span_query(PAGES_BLOCKS, "id", "content", False)}),
+b as (select id, content, unnest(blocks) as b, unnest(range(len(blocks))) as k from {PAGES_BLOCKS}),
+h as (
+  select sp.id, sp.chunk_index, arg_max(substr(b.content, b.b.start_offset + 1, b.b.end_offset - b.b.start_offset), b.k) as section
+  from sp join b on b.id = sp.id and b.b.is_heading and b.b.start_offset <= sp.end_offset group by sp.id, sp.chunk_index),
+o as (
+  select sp.id, sp.chunk_index, bool_or(b.b.source_type = 'ocr') as scanned, round(min(b.b.bbox[1]), 2) as box0, round(min(b.b.bbox[2]), 2) as box1, round(max(b.b.bbox[3]), 2) as box2, round(max(b.b.bbox[4]), 2) as box3
+  from sp join b on b.id = sp.id and b.b.start_offset < sp.end_offset and b.b.end_offset > sp.start_offset group by sp.id, sp.chunk_index)
+select sp.id || '-' || sp.chunk_index as chunk_id, sp.start_offset, sp.end_offset, h.section, case when o.scanned then 'ocr' else 'text' end as source_type, o.box0, o.box1, o.box2, o.box3
+from sp left join h on h.id = sp.id and h.chunk_index = sp.chunk_index left join o on o.id = sp.id and o.chunk_index = sp.chunk_index""",
+    "phrase_search": f"""
+with recursive p as (select * from (values (1, 'in dry conditions'), (2, 'was noted at the'), (3, 'table 2 lists the')) v(phrase_id, needle)),
+m as (
+  select p.phrase_id, p.needle, t.id, t.content, lower(t.content) as s, strpos(lower(t.content), p.needle) as spot from {PAGES} t, p where strpos(lower(t.content), p.needle) > 0
+  union all
+  select phrase_id, needle, id, content, s, spot + length(needle) - 1 + strpos(substr(s, spot + length(needle)), needle) from m where strpos(substr(s, spot + length(needle)), needle) > 0)
+select phrase_id, id as page_id, cast(spot - 1 as integer) as start_offset, cast(spot - 1 + length(needle) as integer) as end_offset,
+       (case when spot - 1 > 60 then '…' else '' end) || substr(content, greatest(spot - 60, 1), least(length(content), spot - 1 + length(needle) + 60) - greatest(spot - 61, 0)) || (case when spot - 1 + length(needle) + 60 < length(content) then '…' else '' end) as snippet
+from m""",
     "chunk_spans": span_query(PAGES, "id", "content"),
     "document_spans": span_query("documents", "doc_id", "text"),
     "line_offsets": f"""
