@@ -55,7 +55,8 @@ def covered_count(topic_terms: Column, text_stems: Column) -> Column:
 
     text_stems should be a column of its own, not an expression: it would be computed for each term.
     """
-    return F.size(F.filter(topic_terms, lambda t: F.array_contains(text_stems, stemmed(t))))
+    own = F.split(stemmed(F.array_join(topic_terms, " ")), " ")  # all terms at once, not one by one
+    return F.size(F.filter(own, lambda s: (s != "") & F.array_contains(text_stems, s)))
 
 
 def required_count(topic_terms: Column) -> Column:

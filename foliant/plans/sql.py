@@ -123,6 +123,24 @@ n as (
   from r left join topic t on t.message_id = r.message_id left join own o on o.message_id = r.message_id and o.s = {stem("t.term")} group by r.message_id)"""
 
 SQL: dict[str, str] = {
+    "topic_is_covered": f"""
+with {BM25_ALL}, {LEX_ALL}, {fused(40)},
+topic as (select distinct question_id, term from (select cast(item_id as bigint) as question_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from eval_items) where length(term) > 2 and term not in {words(EVIDENCE_STOP_WORDS)}),
+sizes as (select question_id, count(*) as n from topic group by question_id),
+own as (select distinct id, {stem("term")} as s from (select id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) as term from {CHUNKS} where id in (select chunk_id from fused))),
+k as (select f.question_id, f.chunk_id, count(o.s) as k from fused f join topic t on t.question_id = f.question_id left join own o on o.id = f.chunk_id and o.s = {stem("t.term")} group by f.question_id, f.chunk_id),
+yes as (select k.question_id, bool_or(k.k >= greatest(1, ceil(s.n * {COVERAGE}::decimal(3,2)))) as c from k join sizes s on s.question_id = k.question_id group by k.question_id)
+select cast(e.item_id as bigint) as question_id, coalesce(yes.c, false) as is_covered from eval_items e left join yes on yes.question_id = e.item_id""",
+    "support_check": rf"""
+with r as {ANSWERED},
+v as (select distinct message_id, regexp_replace(replace(x, ',', ''), '\.$', '') as x from (select message_id, unnest(regexp_extract_all(answer, '\d[\d,]*(?:\.\d+)?')) as x from r)),
+q as (select distinct message_id, regexp_replace(replace(x, ',', ''), '\.$', '') as x from (select message_id, unnest(regexp_extract_all(question, '\d[\d,]*(?:\.\d+)?')) as x from r)),
+nv as (select v.message_id, count(*) as n, count(q.x) as k from v left join q on q.message_id = v.message_id and q.x = v.x group by v.message_id),
+t as (select distinct message_id, term from (select message_id, unnest(regexp_extract_all(lower(answer), '[a-z0-9]+')) as term from r) where length(term) > 2 and term not in {words(EVIDENCE_STOP_WORDS)}),
+own as (select distinct message_id, {stem("term")} as s from (select message_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) as term from r)),
+nt as (select t.message_id, count(*) as n, count(o.s) as k, count(*) filter (t.term not in ('yes', 'no', 'true', 'false')) as checkable from t left join own o on o.message_id = t.message_id and o.s = {stem("t.term")} group by t.message_id)
+select r.message_id, case when nv.n > 0 then nv.k = nv.n when coalesce(nt.checkable, 0) = 0 then true else nt.k >= greatest(1, ceil(nt.n * {COVERAGE}::decimal(3,2))) end as supported
+from r left join nv on nv.message_id = r.message_id left join nt on nt.message_id = r.message_id""",
     "chunk_sections": f"""
 with sp as ({span_query(PAGES_BLOCKS, "id", "content", False)}),
 b as (select id, content, unnest(blocks) as b, unnest(range(len(blocks))) as k from {PAGES_BLOCKS}),
