@@ -59,6 +59,10 @@ AWAY = 3.0
 LINK = re.compile(r"<a\b[^>]*>[^<]*</a>|<[^<>]*>|\[[^\]\n]*\]\([^)\s]*\)?|https?://\S+|www\.\S+|\w[\w.-]*\.\w+/\S*")
 MARK = re.compile(r"\(\d{4}\)|\d\(\d+\)|^\s*\[\d+\]|[;\t|]\s?\d|\.{4,}|(?:\. ){3,}|\d+-\d+", re.M)
 TOKEN = re.compile(rf"(?P<link>{LINK.pattern})|{WORD.pattern}")
+#: Texts without any of these have no marks.
+MARKED = re.compile(r"[(\[;|\t]|\d-\d|\.\.\.|\. \. ")
+RUNS = re.compile(rf"(?:{WORD.pattern}+[\W_]*+){{1,{WINDOW}}}+")
+KNOWN = {lang: frozenset(words) for lang, words in FUNCTION_WORDS.items()}
 STOPS = (". ", ".\n", "! ", "!\n", "? ", "?\n")
 SEPARATORS = "»>#|›→/·•;"
 #: Texts without any of these have no links.
@@ -66,47 +70,60 @@ HINT = re.compile(r"://|www\.|\]\(|<|\.\w+/")
 
 
 def language(found: Counter, given: str | None) -> str:
-    hits = {lang: sum(found[w] for w in words) for lang, words in FUNCTION_WORDS.items()}
+    hits = {lang: sum(map(found.__getitem__, found.keys() & words)) for lang, words in KNOWN.items()}
     best = max(hits, key=lambda k: hits[k])
     if hits[best] >= 3:
         return best
     return given if given in FUNCTION_WORDS else "und"
 
 
-def windows(text: str, given: str | None) -> Iterator[tuple]:
-    """(language, characters, features...) of each window of a text."""
+def cut(text: str) -> list[tuple[str, list[str], int, int]]:
+    """(text outside links, its words, number of links, characters with links) of each window of WINDOW words or links."""
     if HINT.search(text):
         spans = [(m.start(), m.end(), m.lastgroup == "link") for m in TOKEN.finditer(text)]
-    else:
-        spans = [(*m.span(), False) for m in WORD.finditer(text)]
-    if len(spans) < LEAST:
+        starts = list(range(0, max(1, len(spans) - WINDOW // 2), WINDOW))
+        out = []
+        for k, at in enumerate(starts):
+            to = starts[k + 1] if k + 1 < len(starts) else len(spans)
+            lo, hi = (0 if k == 0 else spans[at][0]), (spans[to][0] if to < len(spans) else len(text))
+            linked = [(a, b) for a, b, link in spans[at:to] if link]
+            piece = "".join(text[a:b] for a, b in zip([lo, *(b for _, b in linked)], [*(a for a, _ in linked), hi], strict=True))
+            out.append((piece, [text[a:b].lower() for a, b, link in spans[at:to] if not link], len(linked), hi - lo))
+        return out if len(spans) >= LEAST else []
+    pieces = RUNS.findall(text)
+    if not pieces:
+        return []
+    if (lead := text.find(pieces[0])) > 0:
+        pieces[0] = text[:lead] + pieces[0]
+    split = [WORD.findall(p.lower()) for p in pieces]
+    if len(pieces) > 1 and len(split[-1]) <= WINDOW // 2:
+        pieces[-2:], split[-2:] = [pieces[-2] + pieces[-1]], [split[-2] + split[-1]]
+    return [(p, w, 0, len(p)) for p, w in zip(pieces, split, strict=True)] if len(split[0]) >= LEAST else []
+
+
+def windows(text: str, given: str | None) -> Iterator[tuple]:
+    """(language, characters, features...) of each window of a text."""
+    there = cut(text)
+    if not there:
         return
-    low = ["" if link else text[a:b].lower() for a, b, link in spans]
-    lang = language(Counter(low), given)
-    function = frozenset(FUNCTION_WORDS.get(lang, ()))
-    cuts = list(range(0, max(1, len(spans) - WINDOW // 2), WINDOW))
-    for k, at in enumerate(cuts):
-        to = cuts[k + 1] if k + 1 < len(cuts) else len(spans)
-        lo, hi = (0 if k == 0 else spans[at][0]), (spans[to][0] if to < len(spans) else len(text))
-        linked = [(a, b) for a, b, link in spans[at:to] if link]
-        piece = text[lo:hi] if not linked else "".join(text[a:b] for a, b in zip([lo, *(b for _, b in linked)], [*(a for a, _ in linked), hi], strict=True))
-        n = to - at
-        # a link is one token, unlike any other
-        counts = Counter(w for w in low[at:to] if w)
+    lang = language(Counter(w for _, own, _, _ in there for w in own), given)
+    function = KNOWN.get(lang, frozenset())
+    for piece, own, links, chars in there:
+        n = len(own) + links  # a link is one token, unlike any other
+        counts = Counter(own)
         repeats = sum(c * math.log2(c) for c in counts.values() if c > 1)
-        entropy = 1 - repeats / n / math.log2(n) if n > 1 else 1.0
         digits = sum(c for w, c in counts.items() if not w.isalpha())
         yield (
             lang,
-            hi - lo,
+            chars,
             len(function & counts.keys()) / n,
-            1 - (len(counts) + len(linked)) / n,
-            entropy,
-            sum(b - a for a, b in linked) / (hi - lo),
+            1 - (len(counts) + links) / n,
+            1 - repeats / n / math.log2(n) if n > 1 else 1.0,
+            (chars - len(piece)) / chars,
             sum(map(piece.count, SEPARATORS)) / n,
             piece.count(",") / n,
             digits / n,
-            len(MARK.findall(piece)) / n if digits or "..." in piece or ". . ." in piece else 0.0,
+            len(MARK.findall(piece)) / n if MARKED.search(piece) else 0.0,
             (sum(map(piece.count, STOPS)) + piece.endswith((".", "!", "?"))) / n,
         )
 
