@@ -149,12 +149,12 @@ ENOUGH = 200
 def centres(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """language -> (median, inverse scatter); "" stands for all windows."""
     both = rows.unionAll(rows.withColumn("lang", F.lit("")))
-    medians = both.groupBy("lang").agg(F.count("*").alias("n"), *(F.percentile_approx(f, 0.5, 2000).alias(f) for f in FEATURES)).collect()
+    medians = both.groupBy("lang").agg(F.count("*").alias("n"), *(F.percentile_approx(f, 0.5, 500).alias(f) for f in FEATURES)).collect()
     centre = {r["lang"]: np.array([r[f] for f in FEATURES]) for r in medians if r["n"] >= ENOUGH or r["lang"] == ""}
     if not centre:
         return {}
     away = lambda f: F.abs(F.col(f) - by_language({k: v[FEATURES.index(f)] for k, v in centre.items()}))
-    spread = both.groupBy("lang").agg(*(F.percentile_approx(away(f), 0.5, 2000).alias(f) for f in FEATURES)).collect()
+    spread = both.groupBy("lang").agg(*(F.percentile_approx(away(f), 0.5, 500).alias(f) for f in FEATURES)).collect()
     scale = {r["lang"]: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), list(FLOOR.values())) for r in spread if r["lang"] in centre}
     # the scatter of the windows within three robust deviations in every feature
     near = both
