@@ -10,8 +10,9 @@ references and contents lists. A document is spam where such windows hold more t
 Every window of every document enters the statistics. Only the statistics of a few languages reach the driver.
 
 Cases: null, empty and very short texts (under LEAST words) are not spam; the language is counted from function words,
-since the given one may be null or wrong, and falls back to the given one; languages with few windows use the
-statistics of all; repeated rows give one result; extra columns are ignored; an empty table gives none.
+since the given one may be null or wrong, and falls back to the given one; texts of no known language are judged by the
+statistics of all windows, at every size; a language's own statistics count by its windows against PRIOR windows of all,
+without a switch; repeated rows give one result; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from foliant.llm.words import WORD
@@ -63,6 +64,8 @@ TOKEN = re.compile(rf"(?P<link>{LINK.pattern})|{WORD.pattern}")
 MARKED = re.compile(r"[(\[;|\t]|\d-\d|\.\.\.|\. \. ")
 RUNS = re.compile(rf"(?:{WORD.pattern}+[\W_]*+){{1,{WINDOW}}}+")
 KNOWN = {lang: frozenset(words) for lang, words in FUNCTION_WORDS.items()}
+#: The function words of a text of no known language.
+ANY = frozenset().union(*KNOWN.values())
 STOPS = (". ", ".\n", "! ", "!\n", "? ", "?\n")
 SEPARATORS = "»>#|›→/·•;"
 #: Texts without any of these have no links.
@@ -107,7 +110,7 @@ def windows(text: str, given: str | None) -> Iterator[tuple]:
     if not there:
         return
     lang = language(Counter(w for _, own, _, _ in there for w in own), given)
-    function = KNOWN.get(lang, frozenset())
+    function = KNOWN.get(lang, ANY)
     for piece, own, links, chars in there:
         n = len(own) + links  # a link is one token, unlike any other
         counts = Counter(own)
@@ -142,31 +145,46 @@ def measured(documents: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     return rows
 
 
-#: A language with fewer windows uses the statistics of all windows.
-ENOUGH = 200
+#: So many windows with the statistics of all stand beside a language's own: it outweighs them as it grows.
+PRIOR = 200
+
+
+def pooled(n: int, own: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """A language's statistic over its n windows, with PRIOR windows that have the statistic of all."""
+    return (n * own + PRIOR * every) / (n + PRIOR)
 
 
 def centres(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """language -> (median, inverse scatter); "" stands for all windows."""
-    both = rows.unionAll(rows.withColumn("lang", F.lit("")))
-    medians = both.groupBy("lang").agg(F.count("*").alias("n"), *(F.percentile_approx(f, 0.5, 500).alias(f) for f in FEATURES)).collect()
-    centre = {r["lang"]: np.array([r[f] for f in FEATURES]) for r in medians if r["n"] >= ENOUGH or r["lang"] == ""}
+    """language -> (median, inverse scatter); "" stands for all windows, and alone for those of no known language."""
+    both = rows.filter(F.col("lang").isin(list(KNOWN))).unionAll(rows.withColumn("lang", F.lit("")))
+
+    def by_windows(found: list[Row]) -> dict[str, np.ndarray]:
+        own = {r["lang"]: np.array([r[f] for f in FEATURES]) for r in found}
+        return {r["lang"]: pooled(r["n"], own[r["lang"]], own[""]) for r in found}
+
+    centre = by_windows(both.groupBy("lang").agg(F.count("*").alias("n"), *(F.percentile_approx(f, 0.5, 500).alias(f) for f in FEATURES)).collect())
     if not centre:
         return {}
     away = lambda f: F.abs(F.col(f) - by_language({k: v[FEATURES.index(f)] for k, v in centre.items()}))
-    spread = both.groupBy("lang").agg(*(F.percentile_approx(away(f), 0.5, 500).alias(f) for f in FEATURES)).collect()
-    scale = {r["lang"]: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), list(FLOOR.values())) for r in spread if r["lang"] in centre}
+    spread = by_windows(both.groupBy("lang").agg(F.count("*").alias("n"), *(F.percentile_approx(away(f), 0.5, 500).alias(f) for f in FEATURES)).collect())
+    scale = {lang: np.maximum(1.4826 * v, list(FLOOR.values())) for lang, v in spread.items()}
     # the scatter of the windows within three robust deviations in every feature
     near = both
     for k, f in enumerate(FEATURES):
         near = near.filter(away(f) <= 3 * by_language({lang: s[k] for lang, s in scale.items()}))
     moments = [F.avg(F.col(f) * F.col(g)).alias(f"{f}*{g}") for f in FEATURES for g in FEATURES] + [F.avg(f).alias(f) for f in FEATURES]
+    # where no window is near in every feature, the centre and the scale themselves stand
+    n, means = dict.fromkeys(centre, 0), dict(centre)
+    squares = {lang: np.outer(m, m) + np.diag(scale[lang] ** 2) for lang, m in centre.items()}
+    for r in near.groupBy("lang").agg(F.count("*").alias("n"), *moments).collect():
+        n[r["lang"]], means[r["lang"]] = r["n"], np.array([r[f] for f in FEATURES])
+        squares[r["lang"]] = np.array([[r[f"{f}*{g}"] for g in FEATURES] for f in FEATURES])
     out = {}
-    for r in near.filter(F.col("lang").isin(list(centre))).groupBy("lang").agg(*moments).collect():
-        mean = np.array([r[f] for f in FEATURES])
-        cov = np.array([[r[f"{f}*{g}"] for g in FEATURES] for f in FEATURES]) - np.outer(mean, mean)
+    for lang in centre:
+        mean = pooled(n[lang], means[lang], means[""])
+        cov = pooled(n[lang], squares[lang], squares[""]) - np.outer(mean, mean)
         cov += np.diag(np.array(list(FLOOR.values())) ** 2)
-        out[r["lang"]] = (mean, np.linalg.inv(cov))
+        out[lang] = (mean, np.linalg.inv(cov))
     return out
 
 

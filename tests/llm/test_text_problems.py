@@ -150,3 +150,17 @@ def test_spam_is_found_and_tables_are_not(spark):
 def test_spam_of_nothing(spark):
     assert spam_pages.spam_share(documents(spark).limit(0)).count() == 0
     assert spam_pages.spam_share(documents(spark).filter(F.col("doc_id") == 1000)).count() == 1
+
+
+def test_many_spam_texts_of_no_known_language_are_found(spark):
+    rng = random.Random(6)
+    path = lambda: " » ".join(f"Local {rng.choice('sensor camera table broker valve reef coil lathe'.split())}" for _ in range(4))
+    rows = [(2000 + k, "\n".join(path() for _ in range(40)), None, "x") for k in range(30)]
+    assert sum(len(list(spam_pages.windows(t, lang))) for _, t, lang, _ in rows) >= 300
+    shares = {r["doc_id"]: r["spam_share"] for r in spam_pages.spam_share(documents(spark).unionAll(spark.createDataFrame(rows, "doc_id long, text string, lang string, chars string"))).collect()}
+    assert {k for k, v in shares.items() if v > spam_pages.SHARE} == {1000, 1001, 1002, *(r[0] for r in rows)}
+
+
+def test_function_words_of_no_known_language_are_those_of_all():
+    (window,) = spam_pages.windows("valve of reef und coil lathe", "zz")
+    assert window[0] == "und" and window[2] == 2 / 6
