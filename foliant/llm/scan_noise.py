@@ -8,7 +8,8 @@ its skip-gram vector with those of the words around. Running headers and page nu
 form and by repetition in the document; words broken at line ends are joined unless the hyphen belongs to the word.
 
 Only words that are not frequent leave their pages, as rows. To all tasks go the LEXICON most frequent words, and their
-skip-gram vectors, both of bounded size.
+skip-gram vectors, both of bounded size. Where born-digital pages have more words, those that a page asks for beyond
+the lexicon are joined with all of them, so that the lexicon's size changes no result.
 
 Cases: pages of other source types, null or blank content give no rows; a page with fewer blocks than lines, or none,
 is judged by its text alone; repeated rows count once; a hyphen at a page's end counts as a broken word unless such
@@ -25,6 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from foliant.llm.lookalikes import BLANKS, HOMOGLYPHS, INVISIBLE, plain
 from foliant.runtime import checkpoint, small_side
 
-#: The most frequent words, which go to all tasks; how often a word must occur to be linked to.
+#: The most frequent words, which go to all tasks (rarer ones are joined); how often a word must occur to be linked to.
 LEXICON, FREQUENT = 100_000, 2
 #: Skip-gram vectors: their length, the window, and how often a word must occur to have one.
 VECTOR, REACH, LEARNED = 16, 3, 20
@@ -239,18 +241,37 @@ def header_lines(scanned: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 class Reader:
-    """Finds broken and odd words in a page's lines, given the frequent words."""
+    """Finds broken and odd words in a page's lines, given the frequent words and, in rare, those of a page beyond them.
+
+    What was asked for and is not among the frequent words stands in asked, whatever the answers were: words, and first
+    parts of compounds with BEGINS behind them.
+    """
+
+    BEGINS = " -"
 
     def __init__(self, frequent: dict[str, int]):
         self.known = frequent
+        self.rare: dict[str, int] = {}
+        self.asked: set[str] = set()
         self.first_parts = Counter()
         for w, n in frequent.items():
             if "-" in w[1:-1]:
                 self.first_parts[w.split("-")[0]] += n
 
+    def count(self, word: str) -> int:
+        if word in self.known:
+            return self.known[word]
+        self.asked.add(word)
+        return self.rare.get(word, 0)
+
+    def count_first(self, part: str) -> int:
+        """How often compounds with this first part occur; the lexicon has only some of them."""
+        self.asked.add(part + self.BEGINS)
+        return self.rare.get(part + self.BEGINS, self.first_parts.get(part, 0))
+
     def is_known(self, token: str) -> bool:
         f = form(token)
-        return not f or f in self.known or bool(PLAIN_NUMBER.match(f))
+        return not f or bool(PLAIN_NUMBER.match(f)) or self.count(f) > 0
 
     def read(self, content: str, skip: set[int]) -> tuple[list[tuple], list[tuple]]:
         """(line, hyphen token, joined word, next line) of broken words; (line, place, token, next line, rest, context) of odd words."""
@@ -265,12 +286,13 @@ class Reader:
             after = next((j for j in there[n + 1 : n + 4] if lines[j][0][0].islower() or not lines[j][0][0].isalnum() and lines[j][0][-1:].isalpha()), None)
             rest = lines[after][0].rstrip(OUTER) if after is not None else ""
             whole, compound = form(start + rest), form(f"{start}-{rest}")
-            together, apart = self.known.get(whole, 0), self.known.get(compound, 0)
+            together, apart, first = self.count(whole), self.count(compound), self.count_first(form(start))
+            begun, ended = self.count(form(start)), self.count(form(rest))
             if not together and not apart and rest:
-                apart = self.first_parts.get(form(start), 0) * (form(rest) in self.known or form(start) not in self.known)
+                apart = first * (ended > 0 or not begun)
                 together = 0 if apart else 1
             elif not rest:
-                together, apart = 1, self.first_parts.get(form(start), 0)
+                together, apart = 1, first
             if together >= apart:
                 broken.append((k, start, after))
             if after is not None:
@@ -292,11 +314,11 @@ class Reader:
 
     def context(self, lines: list[list[str]], line: int, place: int) -> list[str]:
         near = lines[line][max(0, place - REACH) : place] + lines[line][place + 1 : place + 1 + REACH]
-        return [f for f in map(form, near) if f in self.known]
+        return [f for f in map(form, near) if f in self.known or f in self.rare]
 
 
 def frequent_words(words: DataFrame) -> dict[str, int]:
-    """The LEXICON most frequent words of born-digital pages; of scanned ones only if there are no others."""
+    """The LEXICON most frequent words of born-digital pages."""
     top = words.filter(F.col("digital") >= 1).orderBy(F.desc("digital"), "word").limit(LEXICON)
     return {r["word"]: r["digital"] for r in top.collect()}
 
@@ -320,7 +342,30 @@ def vectors(scanned: DataFrame, frequent: dict[str, int]) -> dict[str, np.ndarra
     return {r["word"]: np.array(r["vector"].toArray(), np.float32) for r in model.getVectors().collect()}
 
 
-def odd_words(scanned: DataFrame, gone: DataFrame, frequent: dict[str, int]) -> DataFrame:
+def with_rare(there: DataFrame, words: DataFrame, shared: Broadcast) -> DataFrame:
+    """there with rare: how often born-digital pages have what a page asks for beyond the lexicon (null: the lexicon is all)."""
+    if len(shared.value) < LEXICON:
+        return there.withColumn("rare", F.lit(None).cast("array<struct<key string, n long>>"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(shared.value)
+        for batch in batches:
+            rows = []
+            for page, content, skip in zip(batch["page_id"], batch["content"], batch["gone"], strict=True):
+                reader.asked = set()
+                reader.read(content, set() if skip is None else set(skip))
+                rows += [(page, key) for key in sorted(reader.asked)]
+            yield pd.DataFrame(rows, columns=["page_id", "key"])
+
+    digital = words.filter(F.col("digital") >= 1).select(F.col("word").alias("key"), F.col("digital").alias("n"))
+    compounds = digital.filter("instr(substring(key, 2, length(key) - 2), '-') > 0")
+    firsts = compounds.groupBy(F.concat(F.substring_index("key", "-", 1), F.lit(Reader.BEGINS)).alias("key")).agg(F.sum("n").alias("n"))
+    asked = there.select("page_id", "content", "gone").mapInPandas(part, "page_id string, key string")
+    rare = asked.join(digital.unionAll(firsts), "key").groupBy("page_id").agg(F.collect_list(F.struct("key", "n")).alias("rare"))
+    return there.join(rare, "page_id", "left")
+
+
+def odd_words(scanned: DataFrame, gone: DataFrame, frequent: dict[str, int], words: DataFrame) -> DataFrame:
     """Rows of broken words (kind hyphen) and odd words (kind word) of the pages' lines other than furniture."""
     shared = scanned.sparkSession.sparkContext.broadcast(frequent)
 
@@ -328,7 +373,8 @@ def odd_words(scanned: DataFrame, gone: DataFrame, frequent: dict[str, int]) ->
         reader = Reader(shared.value)
         for batch in batches:
             rows = []
-            for page, content, confidence, skip in zip(batch["page_id"], batch["content"], batch["confidence"], batch["gone"], strict=True):
+            for page, content, confidence, skip, rare in zip(batch["page_id"], batch["content"], batch["confidence"], batch["gone"], batch["rare"], strict=True):
+                reader.rare, reader.asked = {} if rare is None else {r["key"]: r["n"] for r in rare}, set()
                 broken, odd = reader.read(content, set() if skip is None else set(skip))
                 sure = per_line(confidence, content.count("\n") + 1, 1.0)
                 rows += [(page, "hyphen", k, 0, start, after, 0, None, 1.0) for k, start, after in broken]
@@ -337,7 +383,7 @@ def odd_words(scanned: DataFrame, gone: DataFrame, frequent: dict[str, int]) ->
             yield out.astype({"next_line": "Int64"})
 
     without = gone.groupBy("page_id").agg(F.collect_set("line_no").alias("gone"))
-    there = scanned.join(small_side(without), "page_id", "left")
+    there = with_rare(scanned.join(small_side(without), "page_id", "left"), words, shared)
     return there.mapInPandas(part, "page_id string, kind string, line_no int, place int, token string, next_line int, cut int, near array<string>, confidence double")
 
 
@@ -410,7 +456,7 @@ def analysed(pages: DataFrame) -> dict[str, DataFrame]:
     frequent = frequent_words(words)
     scanned = checkpoint(read_pages(pages))
     gone = checkpoint(header_lines(scanned, pages))
-    odd = checkpoint(odd_words(scanned, gone, frequent))
+    odd = checkpoint(odd_words(scanned, gone, frequent, words))
     wrong = corrections(odd, words, vectors(scanned, frequent))
     return {"scanned": scanned, "furniture": gone, "odd": odd, "wrong": wrong}
 

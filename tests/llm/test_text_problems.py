@@ -113,6 +113,18 @@ def test_no_scanned_pages_give_no_defects(spark):
     assert scan_noise.defects(scanned_library(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lexicon", [1, 8])
+def test_words_beyond_the_lexicon_are_known(spark, monkeypatch, lexicon):
+    text = "The camena describes a self-\ntest of the sensor and a long-\nlived wireless classi-\nfier follows."
+    rows = [("n-x", "nx", 1, "Of self-test and camena. A well-known self-employed long-term sensor", None, "text", 1, "x"), ("u-1", "u", 1, text, blocks(text, 0.7), "ocr", 1, "x")]
+    pages = scanned_library(spark).unionAll(spark.createDataFrame(rows, PAGES))
+    taken = lambda df: sorted(map(tuple, df.collect()))
+    found, whole = taken(scan_noise.defects(pages)), taken(scan_noise.repaired(pages))
+    assert not any(page == "u-1" and line == 0 for page, line, _ in found)
+    monkeypatch.setattr(scan_noise, "LEXICON", lexicon)
+    assert taken(scan_noise.defects(pages)) == found and taken(scan_noise.repaired(pages)) == whole
+
+
 def test_edit_costs_follow_glyphs():
     assert scan_noise.edit_cost("tra*cks", "tracks") == 1 and scan_noise.edit_cost("lirnits", "limits") == 1
     assert scan_noise.edit_cost("propcsed", "proposed") == 2 and scan_noise.edit_cost("same", "same") == 0
