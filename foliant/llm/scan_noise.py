@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.llm.lookalikes import BLANKS, HOMOGLYPHS, INVISIBLE, plain
@@ -41,6 +40,8 @@ LEXICON, FREQUENT = 100_000, 2
 VECTOR, REACH, LEARNED = 16, 3, 20
 #: Lines at each edge of a page among which headers and page numbers are sought.
 EDGE = 3
+#: A misread copy of a header differs by at most this many letters, and by one in six.
+EDITS = 6
 #: Confidence of a line from which on its reading was sure.
 SURE = 0.9
 # Marks at which scanners see a hyphen at a line's end; marks that stand inside words only by misreading.
@@ -199,6 +200,61 @@ def per_line(values: Iterable | None, lines: int, missing: object) -> list:
     return (got + [missing] * lines)[:lines]
 
 
+def most_edits(length: int) -> int:
+    """How many letters of a header of this length may be misread."""
+    return min(EDITS, length // 6)
+
+
+def cut_points(length: int) -> list[tuple[int, int]]:
+    """(start, size) of one piece more than a header of this length may have edits: a copy has one of them unchanged."""
+    n = most_edits(length) + 1
+    starts = [length * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(starts, starts[1:], strict=False)]
+
+
+def header_pieces(key: str) -> list[tuple[int, int, str]]:
+    """(length, number of the piece, piece) of a repeated header."""
+    return [(len(key), k, key[at : at + size]) for k, (at, size) in enumerate(cut_points(len(key)))]
+
+
+def copy_pieces(key: str, lengths: Iterable[int]) -> set[tuple[int, int, str]]:
+    """The pieces of headers of these lengths that a line could have as a copy: k edits at most stand before piece k."""
+    out = set()
+    for length in lengths:
+        most, more = most_edits(length), len(key) - length
+        if abs(more) > most:
+            continue
+        for k, (at, size) in enumerate(cut_points(length)):
+            first, last = max(0, at - k, at + more - (most - k)), min(len(key) - size, at + k, at + more + (most - k))
+            out.update((length, k, key[x : x + size]) for x in range(first, last + 1))
+    return out
+
+
+def header_copies(single: DataFrame, models: DataFrame) -> DataFrame:
+    """document_id, key of the single lines that are misread copies of any header repeated in their document.
+
+    Lines and headers meet in a piece that the edits leave unchanged; only lengths that a document's headers have are tried.
+    """
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, m, *x) for d, m in batch.itertuples(index=False, name=None) for x in header_pieces(m)]
+            yield pd.DataFrame(rows, columns=["document_id", "model", "length", "number", "piece"])
+
+    def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, key, *x) for d, key, lengths in batch.itertuples(index=False, name=None) for x in copy_pieces(key, lengths)]
+            yield pd.DataFrame(rows, columns=["document_id", "key", "length", "number", "piece"])
+
+    lengths = models.groupBy("document_id").agg(F.collect_set(F.length("model")).alias("lengths"))
+    lines = single.select("document_id", "key").distinct().join(lengths, "document_id")
+    lines = lines.mapInPandas(tried, "document_id string, key string, length int, number int, piece string")
+    headers = models.select("document_id", "model").mapInPandas(pieces, "document_id string, model string, length int, number int, piece string")
+    near = F.levenshtein("key", "model", EDITS)
+    met = lines.join(headers, ["document_id", "length", "number", "piece"]).filter((near >= 0) & (near * 6 <= F.length("model")))
+    return met.select("document_id", "key").distinct()
+
+
 def header_lines(scanned: DataFrame, pages: DataFrame) -> DataFrame:
     """page_id, line_no, defect (header, number) of the page furniture."""
 
@@ -229,13 +285,12 @@ def header_lines(scanned: DataFrame, pages: DataFrame) -> DataFrame:
     digital = pages.filter("source_type = 'text' and content is not null").select("document_id", "content", F.col("blocks.is_heading").alias("heading"))
     elsewhere = digital.mapInPandas(site, "key string, document_id string").join(small_side(titles.select("key").distinct()), "key", "left_semi")
     shared = elsewhere.groupBy("key").agg(F.countDistinct("document_id").alias("n")).filter("n >= 2").select("key")
-    own = titles.join(small_side(checkpoint(shared)), "key", "left_anti")
-    repeated = own.groupBy("document_id", "key").agg(F.countDistinct("page_id").alias("n"))
-    # misread copies of the lines that a document repeats most
-    most = W.partitionBy("document_id").orderBy(F.desc("n"), "key")
-    model = repeated.filter("n >= 2").withColumn("place", F.row_number().over(most)).filter("place <= 4").select("document_id", F.col("key").alias("model"))
-    near = F.levenshtein("key", "model", 6)
-    like = own.join(model, "document_id").filter((near >= 0) & (near * 6 <= F.length("model"))).select("page_id", "line_no")
+    own = checkpoint(titles.join(small_side(checkpoint(shared)), "key", "left_anti"))
+    repeated = checkpoint(own.groupBy("document_id", "key").agg(F.countDistinct("page_id").alias("n")))
+    # misread copies of any line that the document repeats
+    single = own.filter("not strong").join(repeated.filter("n = 1"), ["document_id", "key"])
+    copies = header_copies(single, repeated.filter("n >= 2").select("document_id", F.col("key").alias("model")))
+    like = single.join(copies, ["document_id", "key"]).select("page_id", "line_no")
     headers = own.join(repeated, ["document_id", "key"]).filter("strong or n >= 2").select("page_id", "line_no").unionAll(like).distinct().select("page_id", "line_no", F.lit("header").alias("defect"))
     return headers.unionAll(found.filter("number").select("page_id", "line_no", F.lit("number").alias("defect")))
 

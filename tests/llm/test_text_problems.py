@@ -125,6 +125,25 @@ def test_words_beyond_the_lexicon_are_known(spark, monkeypatch, lexicon):
     assert taken(scan_noise.defects(pages)) == found and taken(scan_noise.repaired(pages)) == whole
 
 
+def test_misread_copies_of_all_repeated_headers_are_found(spark):
+    chapters = "Sealed sensors of wireless cameras|Broken valves and their causes|Coastal reefs under observation|Classifiers for market reports|Lathes with numerical control|Turbines in mountain rivers".split("|")
+    body = "describes the wireless classifier and the long-term camera of the sensor in the second quarter.\nIt follows the sensor, and the camera fails."
+    texts = [f"{top}\n{body}" for k, top in enumerate(chapters) for _ in range(8 - k)] + [f"Turbinas im mountain rivets\n{body}"]
+    rows = [(f"b-{k}", "b", k, text, blocks(text, 0.95), "ocr", 1, "x") for k, text in enumerate(texts)]
+    got = {(r["page_id"], r["line_no"]) for r in scan_noise.defects(scanned_library(spark).unionAll(spark.createDataFrame(rows, PAGES))).collect() if r["defect"] == "header" and r["page_id"].startswith("b-")}
+    assert got == {(r[0], 0) for r in rows}
+
+
+def test_misread_copies_have_a_piece_of_their_header():
+    rng = random.Random(4)
+    for _ in range(4000):
+        header = copy = "".join(rng.choice("abc") for _ in range(rng.randrange(6, 60)))
+        for _ in range(rng.randrange(scan_noise.most_edits(len(header)) + 1)):
+            at = rng.randrange(len(copy))
+            copy = copy[:at] + rng.choice(["", "x", "x" + copy[at]]) + copy[at + 1 :]
+        assert scan_noise.copy_pieces(copy, [len(header)]) & set(scan_noise.header_pieces(header))
+
+
 def test_edit_costs_follow_glyphs():
     assert scan_noise.edit_cost("tra*cks", "tracks") == 1 and scan_noise.edit_cost("lirnits", "limits") == 1
     assert scan_noise.edit_cost("propcsed", "proposed") == 2 and scan_noise.edit_cost("same", "same") == 0
