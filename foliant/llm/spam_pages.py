@@ -154,6 +154,11 @@ def pooled(n: int, own: np.ndarray, every: np.ndarray) -> np.ndarray:
     return (n * own + PRIOR * every) / (n + PRIOR)
 
 
+def middle(value: Column) -> Column:
+    """The exact median of values to four places, by counts of the different values, which are few."""
+    return F.percentile(F.round(value, 4), F.lit(0.5))
+
+
 def centres(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """language -> (median, inverse scatter); "" stands for all windows, and alone for those of no known language."""
     both = rows.filter(F.col("lang").isin(list(KNOWN))).unionAll(rows.withColumn("lang", F.lit("")))
@@ -162,11 +167,11 @@ def centres(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         own = {r["lang"]: np.array([r[f] for f in FEATURES]) for r in found}
         return {r["lang"]: pooled(r["n"], own[r["lang"]], own[""]) for r in found}
 
-    centre = by_windows(both.groupBy("lang").agg(F.count("*").alias("n"), *(F.percentile_approx(f, 0.5, 500).alias(f) for f in FEATURES)).collect())
+    centre = by_windows(both.groupBy("lang").agg(F.count("*").alias("n"), *(middle(F.col(f)).alias(f) for f in FEATURES)).collect())
     if not centre:
         return {}
     away = lambda f: F.abs(F.col(f) - by_language({k: v[FEATURES.index(f)] for k, v in centre.items()}))
-    spread = by_windows(both.groupBy("lang").agg(F.count("*").alias("n"), *(F.percentile_approx(away(f), 0.5, 500).alias(f) for f in FEATURES)).collect())
+    spread = by_windows(both.groupBy("lang").agg(F.count("*").alias("n"), *(middle(away(f)).alias(f) for f in FEATURES)).collect())
     scale = {lang: np.maximum(1.4826 * v, list(FLOOR.values())) for lang, v in spread.items()}
     # the scatter of the windows within three robust deviations in every feature
     near = both

@@ -195,3 +195,8 @@ def test_many_spam_texts_of_no_known_language_are_found(spark):
 def test_function_words_of_no_known_language_are_those_of_all():
     (window,) = spam_pages.windows("valve of reef und coil lathe", "zz")
     assert window[0] == "und" and window[2] == 2 / 6
+
+
+def test_medians_are_exact(spark):
+    rows = spark.range(30001).selectExpr("cast(round(pow(id / 30000, 3), 4) as double) as x")
+    assert rows.agg(spam_pages.middle(F.col("x"))).first()[0] == 0.125
