@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from foliant.functions.text import collapsed
 
@@ -28,21 +29,20 @@ def spans_of(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tu
         at = total if stop >= total else max(stop - overlap, at + 1)
 
 
-def chunk_spans(texts: DataFrame, key: str = "id", text: str = "content", collapse: bool = True, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """key, chunk_index, start_offset, end_offset: each start depends on the end before, so a text is cut in one task.
+def chunk_spans(texts: DataFrame, key: str = "id", text: str = "content", collapse: bool = True, size: int = SIZE, overlap: int = OVERLAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, chunk_index, start_offset, end_offset and the carried columns: each start depends on the end before, so a text is cut in one task.
 
     Null and blank texts have no chunks. Offsets count code points, of the text with white space collapsed if asked.
     """
-    kind = dict(texts.dtypes)[key]
+    value = collapsed(F.col(text)) if collapse else F.col(text)
+    source = texts.select(F.col(key).alias("key"), value.alias("text"), *carry).filter("text is not null and text != ''")
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, n, a, b) for k, t in zip(batch["key"], batch["text"], strict=True) for n, (a, b) in enumerate(spans_of(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["key", "chunk_index", "start_offset", "end_offset"])
+    @F.pandas_udf("array<struct<start_offset:int,end_offset:int>>")
+    def spans(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: [{"start_offset": a, "end_offset": b} for a, b in spans_of(t, size, overlap)])
 
-    value = collapsed(F.col(text)) if collapse else F.col(text)
-    source = texts.select(F.col(key).alias("key"), value.alias("text")).filter("text is not null and text != ''")
-    return source.mapInPandas(part, f"key {kind}, chunk_index int, start_offset int, end_offset int").withColumnRenamed("key", key)
+    cut = source.select("key", *carry, F.posexplode(spans("text")).alias("chunk_index", "span"))
+    return cut.select(F.col("key").alias(key), "chunk_index", "span.start_offset", "span.end_offset", *carry)
 
 
 def union_box(boxes: Column) -> Column:
@@ -62,8 +62,7 @@ def page_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
 
     The section is the last heading that begins at or before the chunk's end; a chunk that touches a scanned block is scanned.
     """
-    spans = chunk_spans(pages, "id", "content", False, size, overlap)
-    joined = spans.join(pages.select("id", "document_id", "page_number", "content", "blocks"), "id")
+    joined = chunk_spans(pages, "id", "content", False, size, overlap, ("content", "blocks"))
     headings = F.filter("blocks", lambda b: b["is_heading"] & (b["start_offset"] <= F.col("end_offset")))
     last = F.element_at(headings, -1)
     met = touching(F.col("blocks"), F.col("start_offset"), F.col("end_offset"))
@@ -78,9 +77,15 @@ def page_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
     )
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def running_ends(lengths: pd.Series) -> pd.Series:
+    """Where each line ends, if one character stands between lines."""
+    return lengths.map(lambda n: None if n is None else np.cumsum(np.asarray(n, np.int64) + 1) - 1)
+
+
 def line_offsets(pages: DataFrame) -> DataFrame:
-    """page_id, line_no, start_offset, end_offset of each line, by running sums of lengths."""
-    lines = pages.select(F.col("id").alias("page_id"), F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line"))
-    before = W.partitionBy("page_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int")
-    return lines.select("page_id", "line_no", start.alias("start_offset"), (start + F.length("line")).alias("end_offset"))
+    """page_id, line_no, start_offset, end_offset of each line: lengths add up within the row."""
+    lengths = F.transform(F.split("content", "\n", -1), lambda x: F.length(x))
+    rows = pages.select("id", lengths.alias("n")).withColumn("end", running_ends("n"))
+    rows = rows.select(F.col("id").alias("page_id"), F.posexplode(F.arrays_zip("n", "end")).alias("line_no", "x"))
+    return rows.select("page_id", "line_no", (F.col("x.end") - F.col("x.n")).alias("start_offset"), F.col("x.end").alias("end_offset"))

@@ -1,113 +1,251 @@
 """Ranking of chunks for many questions at once.
 
-Questions are a stated set and small; chunks are many. Questions meet chunks only through shared terms, so no question
-is paired with every chunk. Ranks are total orders: ties go to the lower chunk id.
+Questions are a stated set; chunks are many. Blocks of questions go to the tasks, where each chunk is scored in its row
+against every question of the block; a task keeps its own best chunks of each question, and only those are shuffled.
+Ranks are total orders: equal scores go by chunk id, in the order each ranking states.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import ascii_tokens, index_tokens, terms
-from foliant.runtime import small_side
 
 POOL = 40
 K1, B = 1.2, 0.75
 #: Weights of the two lists in a fusion, and the constant that ranks are added to.
 VECTOR_WEIGHT, KEYWORD_WEIGHT, RANK_CONSTANT = 1.0, 0.8, 60
-#: Query vectors that one pass compares with all vectors.
+#: Query vectors, or questions, that one pass compares with all vectors or chunks.
 BLOCK = 1024
-
-
-def question_terms(questions: DataFrame) -> DataFrame:
-    """question_id, term: each different term of each question."""
-    return questions.select("question_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf, doc_len: the inverted index, built without a shuffle of text."""
-    tokens = chunks.select(F.col("id").alias("chunk_id"), index_tokens(F.col("content")).alias("tokens"))
-    each = tokens.select("chunk_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    return each.groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
-
-
-def top(scored: DataFrame, k: int, score: str = "score", per: tuple[str, ...] = ("question_id",)) -> DataFrame:
-    """The k best rows of each question with their rank; the limit is taken before the shuffle as well."""
-    order = W.partitionBy(*per).orderBy(F.desc(score), "chunk_id")
+#: Questions whose terms make one matrix, and chunks that meet it at once.
+GROUP, ROWS = 256, 512
+
+
+class Group:
+    """Questions that meet chunks together: their terms, and how often each question has each."""
+
+    def __init__(self, rows: list[tuple[object, list[str]]]):
+        self.ids = np.array([q for q, _ in rows], object)
+        self.terms = [ts for _, ts in rows]
+        self.at = {t: k for k, t in enumerate(sorted({t for ts in self.terms for t in ts}))}
+        self.times = np.zeros((len(self.at), len(rows)))
+        for k, ts in enumerate(self.terms):
+            for t in ts:
+                self.times[self.at[t], k] += 1
+
+
+class Best:
+    """The k best chunks of each question that a task has seen; of equal scores the least id, or the greatest."""
+
+    def __init__(self, questions: int, k: int, greatest: bool):
+        self.k, self.greatest = k, greatest
+        self.floor = np.full(questions, np.finfo(float).tiny)  # a score of 0 is none
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: chunks x questions."""
+        row, question = np.nonzero(scores >= self.floor)
+        self.held.append((question, scores[row, question], ids[row]))
+        self.size += len(row)
+        if self.size > 4 * self.k * len(self.floor) + 10_000:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """question (its position), score, id of what is kept."""
+        if not self.held:
+            return np.empty(0, np.int64), np.empty(0), np.empty(0, object)
+        question, score, ids = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        by_id = np.unique(ids.astype(str), return_inverse=True)[1]
+        order = np.lexsort((-by_id if self.greatest else by_id, -score, question))
+        question, score, ids = question[order], score[order], ids[order]
+        place = np.arange(len(question)) - np.searchsorted(question, question)
+        last = place == self.k - 1
+        self.floor[question[last]] = score[last]
+        kept = place < self.k
+        self.held = [(question[kept], score[kept], ids[kept])]
+        self.size = int(kept.sum())
+        return self.held[0]
+
+
+def passes(questions: DataFrame) -> Iterator[list[Group]]:
+    """The questions with their terms, as many as one pass takes at a time, in groups."""
+    asked = questions.select("question_id", terms(F.col("question")).alias("terms")).filter("question_id is not null and size(terms) > 0")
+    parts = max(1, -(-asked.count() // BLOCK))
+    for part in range(parts):
+        rows = [(r["question_id"], r["terms"]) for r in asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part).collect()]
+        yield [Group(rows[at : at + GROUP]) for at in range(0, len(rows), GROUP)]
+
+
+class Words:
+    """The words of some chunks, each different word once, for counts over groups of questions."""
+
+    def __init__(self, tokens: pa.ListArray):
+        self.lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        coded = tokens.flatten().dictionary_encode()
+        self.known, self.codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        self.row = np.repeat(np.arange(len(tokens)), self.lengths)
+
+    def counts(self, group: Group) -> np.ndarray:
+        """How often each chunk has each term of the group: chunks x terms."""
+        n, m = len(self.lengths), len(group.at)
+        term = np.array([group.at.get(w, -1) for w in self.known], np.int64)[self.codes] if len(self.codes) else np.empty(0, np.int64)
+        kept = term >= 0
+        return np.bincount(self.row[kept] * m + term[kept], minlength=n * m).reshape(n, m)
+
+    def phrases(self, group: Group, counts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(chunk, question, times) where the different terms of a question stand one behind the other."""
+        there = (counts > 0).astype(np.float32) @ (group.times > 0).astype(np.float32)
+        wanted = np.array([len(set(ts)) for ts in group.terms])
+        starts = np.concatenate([[0], self.lengths.cumsum()])
+        for row, question in zip(*np.nonzero((there == wanted) & (wanted >= 2)), strict=True):
+            spelled = " " + "  ".join(self.known[c] for c in self.codes[starts[row] : starts[row + 1]]) + " "
+            times = spelled.count(" " + "  ".join(dict.fromkeys(group.terms[question])) + " ")
+            if times:
+                yield int(row), int(question), times
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+
+
+def best_chunks(source: DataFrame, questions: DataFrame, groups: list[Group], scorer: Callable[[], Callable[[pa.RecordBatch], list[np.ndarray]]], k: int, greatest: bool) -> DataFrame:
+    """question_id, chunk_id, score: each task's k best chunks of each question. source has chunk_id first.
+
+    scorer makes, in the task, what gives the scores of some chunks for each group.
+    """
+    shared = source.sparkSession.sparkContext.broadcast([g.ids for g in groups])
+    kind = dict(questions.dtypes)["question_id"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        score, best = scorer(), [Best(len(ids), k, greatest) for ids in shared.value]
+        for piece in slices(batches):
+            ids = piece.column(0).to_numpy(zero_copy_only=False)
+            for own, scores in zip(best, score(piece), strict=True):
+                own.offer(np.round(scores, 6), ids)
+        for own, asked in zip(best, shared.value, strict=True):
+            question, score_of, ids = own.rows()
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"question_id": asked[question], "chunk_id": ids, "score": score_of}), schema=schema, preserve_index=False)
+
+    schema = pa.schema([("question_id", {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())), ("chunk_id", pa.string()), ("score", pa.float64())])
+    return source.mapInArrow(part, f"question_id {kind}, chunk_id string, score double")
+
+
+def top(scored: DataFrame, k: int, greatest: bool = False) -> DataFrame:
+    """The k best rows of each question with their rank; equal scores go by chunk id, the least first or the greatest."""
+    order = W.partitionBy("question_id").orderBy(F.desc("score"), F.desc("chunk_id") if greatest else F.asc("chunk_id"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, pool: int = POOL) -> DataFrame:
     """question_id, chunk_id, score, rank: the best chunks by BM25, in which the phrase of all terms counts as one more term.
 
-    Statistics are those of all chunks given. Only postings of the questions' terms leave their tasks.
+    Statistics are those of all chunks given: one pass counts in how many chunks each asked term and phrase stands, the
+    next scores. Equal scores go by id.
     """
-    asked = question_terms(questions)
-    tokens = chunks.select(F.col("id").alias("chunk_id"), index_tokens(F.col("content")).alias("tokens"))
-    stats = tokens.agg(F.count("*").alias("chunks"), F.avg(F.greatest(F.size("tokens"), F.lit(0))).alias("avg_len"))
-    each = tokens.select("chunk_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    wanted = small_side(asked.select("term").distinct())
-    met = each.join(wanted, "term").groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
-    frequency = met.groupBy("term").agg(F.count("*").alias("df"))
-    n_words = met.join(frequency, "term").join(small_side(asked.select("question_id", "term")), "term").select("question_id", "chunk_id", "doc_len", "tf", "df")
-    # a phrase can stand only where its first two terms are neighbours
-    neighbours = tokens.select("chunk_id", "tokens", F.explode(F.arrays_zip(F.expr("slice(tokens, 1, greatest(size(tokens) - 1, 0))").alias("first"), F.expr("slice(tokens, 2, greatest(size(tokens), 1))").alias("second"))).alias("n"))
-    starts = questions.select("question_id", F.array_distinct(terms(F.col("question"))).alias("t")).filter(F.size("t") >= 2)
-    starts = starts.select("question_id", F.col("t")[0].alias("first"), F.col("t")[1].alias("second"), F.concat(F.lit(" "), F.array_join("t", "  "), F.lit(" ")).alias("phrase"))
-    begun = neighbours.select("chunk_id", "tokens", "n.first", "n.second").join(small_side(starts), ["first", "second"])
-    spelled = F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" "))
-    times = (F.length(spelled) - F.length(F.replace(spelled, F.col("phrase"), F.lit("")))) / F.length("phrase")
-    phrases = begun.select("question_id", "chunk_id", F.size("tokens").alias("doc_len"), times.cast("long").alias("tf")).filter("tf > 0").distinct()
-    phrase_df = phrases.groupBy("question_id").agg(F.count("*").alias("df"))
-    n_phrases = phrases.join(phrase_df, "question_id").select("question_id", "chunk_id", "doc_len", "tf", "df")
-    items = n_words.unionByName(n_phrases).crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return top(items.groupBy("question_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score")), pool)
+    source = chunks.select(F.col("id").alias("chunk_id"), index_tokens(F.col("content")).alias("tokens")).filter("chunk_id is not null")
+    return top(reduce(DataFrame.unionAll, (bm25_pass(source, questions, groups, pool) for groups in passes(questions))), pool)
+
+
+def bm25_pass(source: DataFrame, questions: DataFrame, groups: list[Group], pool: int) -> DataFrame:
+    context = source.sparkSession.sparkContext
+    asked = context.broadcast(groups)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, length = 0, 0
+        terms_in, phrases_in = ([np.zeros(size(g), np.int64) for g in asked.value] for size in (lambda g: len(g.at), lambda g: len(g.ids)))
+        for piece in slices(batches):
+            words = Words(piece.column(0))
+            chunks, length = chunks + len(words.lengths), length + int(words.lengths.sum())
+            for k, group in enumerate(asked.value):
+                counts = words.counts(group)
+                terms_in[k] += (counts > 0).sum(axis=0)
+                for _, question, _ in words.phrases(group, counts):
+                    phrases_in[k][question] += 1
+        rows = [("all", 0, 0, chunks), ("all", 0, 1, length)]
+        for name, of in (("term", terms_in), ("phrase", phrases_in)):
+            rows += [(name, k, int(at), int(x[at])) for k, x in enumerate(of) for at in x.nonzero()[0]]
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["kind", "group", "at", "n"]), preserve_index=False)
+
+    # what is asked for bounds these rows, not the chunks
+    counted = source.select("tokens").mapInArrow(count, "kind string, group long, at long, n long").groupBy("kind", "group", "at").agg(F.sum("n").alias("n")).collect()
+    n = {(r["kind"], r["group"], r["at"]): r["n"] for r in counted}
+    chunks, length = n.get(("all", 0, 0), 0), n.get(("all", 0, 1), 0)
+    average = max(length, 1) / max(chunks, 1)
+
+    def weight(kind: str, group: int, size: int) -> np.ndarray:
+        df = np.array([n.get((kind, group, at), 0) for at in range(size)], float)
+        idf = np.log((chunks - df + 0.5) / (df + 0.5))
+        return np.where(idf <= 0, 1e-6, idf)
+
+    weights = context.broadcast([((g.times > 0) * weight("term", k, len(g.at))[:, None], weight("phrase", k, len(g.ids))) for k, g in enumerate(groups)])
+
+    def scorer() -> Callable[[pa.RecordBatch], list[np.ndarray]]:
+        def score(piece: pa.RecordBatch) -> list[np.ndarray]:
+            words, out = Words(piece.column(1)), []
+            slow = K1 * (1 - B + B * words.lengths / average)
+            for group, (of_terms, of_phrases) in zip(asked.value, weights.value, strict=True):
+                counts = words.counts(group)
+                scores = (counts * (K1 + 1) / (counts + slow[:, None])) @ of_terms
+                for row, question, times in words.phrases(group, counts):
+                    scores[row, question] += of_phrases[question] * times * (K1 + 1) / (times + slow[row])
+                out.append(scores)
+            return out
+
+        return score
+
+    return best_chunks(source, questions, groups, scorer, pool, False)
 
 
 def lexical(chunks: DataFrame, questions: DataFrame, pool: int = POOL) -> DataFrame:
     """question_id, chunk_id, score, rank: overlap of terms (at most two each) and twice the length of each shared 2- or 3-word phrase.
 
-    A chunk takes part if one of its words is a term; phrases are met as substrings.
-    """
-    asked = questions.select("question_id", terms(F.col("question")).alias("terms"))
-    own = chunks.select(F.col("id").alias("chunk_id"), F.explode(terms(F.col("content"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    weights = asked.select("question_id", F.explode("terms").alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    met = own.join(small_side(weights), "term").groupBy("question_id", "chunk_id").agg(F.sum(F.least("tf", F.lit(2)) * F.col("times")).alias("overlap"))
-    bonus = shared_phrases(chunks, asked).groupBy("question_id", "chunk_id").agg(F.sum(2 * F.col("n")).alias("bonus"))
-    rows = met.join(bonus, ["question_id", "chunk_id"], "left")
-    return top(rows.select("question_id", "chunk_id", (F.col("overlap") + F.coalesce("bonus", F.lit(0))).cast("double").alias("score")), pool)
-
-
-def shared_phrases(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """question_id, chunk_id, n, place: the questions' runs of n = 2 or 3 terms that stand in a chunk with single blanks between.
-
-    A phrase may begin and end inside words, so neighbouring words meet it by the three letters on either side of the
-    blanks, which every term has, and are then compared in full.
+    Phrases are met as substrings, by one automaton over those of all questions. Of equal scores the greatest id is first.
     """
-    grams, seen = [], []
-    words = chunks.select(F.col("id").alias("chunk_id"), F.split(F.lower("content"), " ").alias("w"))
-    for n in (2, 3):
-        there = lambda c, n=n: F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - (n - 1)))
-        at = asked.select("question_id", "terms", F.explode(there("terms")).alias("place"))
-        term = lambda k: F.element_at("terms", F.col("place") + k)
-        middle = term(1) if n == 3 else F.lit("")
-        grams.append(at.select("question_id", F.lit(n).alias("n"), "place", term(0).alias("first"), middle.alias("middle"), term(n - 1).alias("last")))
-        word = lambda k: F.element_at("w", F.col("i") + k)
-        runs = words.select("chunk_id", "w", F.explode(there("w")).alias("i"))
-        seen.append(runs.select("chunk_id", F.lit(n).alias("n"), F.regexp_extract(word(0), "([a-z0-9]+)$", 1).alias("tail"), (word(1) if n == 3 else F.lit("")).alias("middle"), F.regexp_extract(word(n - 1), "^([a-z0-9]+)", 1).alias("head")))
-    wanted = grams[0].unionAll(grams[1]).withColumns({"right": F.right("first", F.lit(3)), "left": F.left("last", F.lit(3))})
-    found = seen[0].unionAll(seen[1]).withColumns({"right": F.right("tail", F.lit(3)), "left": F.left("head", F.lit(3))})
-    hits = found.join(small_side(wanted), ["n", "middle", "right", "left"]).filter(F.col("tail").endswith(F.col("first")) & F.col("head").startswith(F.col("last")))
-    return hits.select("question_id", "chunk_id", "n", "place").distinct()
+    source = chunks.select(F.col("id").alias("chunk_id"), terms(F.col("content")).alias("tokens"), F.lower("content").alias("content")).filter("chunk_id is not null")
+    return top(reduce(DataFrame.unionAll, (lexical_pass(source, questions, groups, pool) for groups in passes(questions))), pool, True)
+
+
+def lexical_pass(source: DataFrame, questions: DataFrame, groups: list[Group], pool: int) -> DataFrame:
+    asked = source.sparkSession.sparkContext.broadcast(groups)
+
+    def scorer() -> Callable[[pa.RecordBatch], list[np.ndarray]]:
+        worth: dict[str, dict[tuple[int, int], int]] = {}
+        for k, group in enumerate(asked.value):
+            for question, ts in enumerate(group.terms):
+                for n in (2, 3):
+                    for phrase in (" ".join(ts[at : at + n]) for at in range(len(ts) - n + 1)):
+                        own = worth.setdefault(phrase, {})
+                        own[k, question] = own.get((k, question), 0) + 2 * n
+        machine = ahocorasick.Automaton()
+        for phrase, own in worth.items():
+            machine.add_word(phrase, (phrase, own))
+        if worth:
+            machine.make_automaton()
+
+        def score(piece: pa.RecordBatch) -> list[np.ndarray]:
+            words = Words(piece.column(1))
+            out = [np.minimum(words.counts(group), 2) @ group.times for group in asked.value]
+            for row, text in enumerate(piece.column(2).to_pylist() if worth else ()):
+                for own in dict(found for _, found in machine.iter(text or "")).values():
+                    for (k, question), more in own.items():
+                        out[k][row, question] += more
+            return out
+
+        return score
+
+    return best_chunks(source, questions, groups, scorer, pool, True)
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:

@@ -17,30 +17,36 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(spanless, F.when(a["content"] == b["content"], 1.0).otherwise(0.0)).otherwise(shared / F.least(end(a) - start(a), end(b) - start(b)))
 
 
+def best_first(sources: DataFrame) -> list[Column]:
+    """The order of candidates: by their place in a fusion, if they have one, else by score and id."""
+    return [F.asc("place")] if "place" in sources.columns else [F.desc("score"), F.asc("chunk_id")]
+
+
 def without_overlaps(sources: DataFrame, ratio: float = OVERLAP) -> DataFrame:
     """The passages left after each, from the best down, drops if it overlaps one kept before on its page.
 
-    sources: question_id, chunk_id, document_id, page_number, start_offset, end_offset, content, score. A group holds
-    what one question found on one page, at most the size of the candidate pool.
+    sources: question_id, chunk_id, document_id, page_number, start_offset, end_offset, content, score and perhaps place.
+    A group holds what one question found on one page, at most the size of the candidate pool.
     """
-    row = F.struct((-F.col("score")).alias("order"), *(c for c in sources.columns if c not in ("question_id", "document_id", "page_number")))
     columns = ["chunk_id", *(c for c in sources.columns if c != "chunk_id")]
-    row = F.struct((-F.col("score")).alias("order"), *(c for c in columns if c not in ("question_id", "document_id", "page_number")))
+    order = F.col("place").cast("double") if "place" in columns else -F.col("score")
+    row = F.struct(order.alias("order"), *(c for c in columns if c not in ("question_id", "document_id", "page_number")))
     groups = sources.groupBy("question_id", "document_id", "page_number").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     keep = lambda kept, x: F.when(F.exists(kept, lambda k: overlap(k, x) >= ratio), kept).otherwise(F.concat(kept, F.array(x)))
-    folded = groups.withColumn("kept", F.aggregate(F.slice("rows", 2, 1_000_000), F.slice("rows", 1, 1), keep))
+    folded = groups.withColumn("kept", F.aggregate(F.expr("slice(rows, 2, size(rows))"), F.slice("rows", 1, 1), keep))
     return folded.select("question_id", "document_id", "page_number", F.explode("kept").alias("k")).select("question_id", "document_id", "page_number", "k.*").drop("order").select(*sources.columns)
 
 
 def diverse(sources: DataFrame, limit: int, by: tuple[str, ...] = ("document_id", "page_number")) -> DataFrame:
     """Up to limit passages of each question with their position: the best of each group first, then the second best.
 
-    If there are no more passages than the limit, they stay in order of score.
+    If there are no more passages than the limit, they stay in their order.
     """
-    rounds = F.row_number().over(W.partitionBy("question_id", *by).orderBy(F.desc("score"), "chunk_id"))
+    order = best_first(sources)
+    rounds = F.row_number().over(W.partitionBy("question_id", *by).orderBy(*order))
     few = F.count("*").over(W.partitionBy("question_id")) <= limit
     turn = sources.withColumns({"_round": rounds, "_few": few}).withColumn("_round", F.when(F.col("_few"), 1).otherwise(F.col("_round")))
-    place = F.row_number().over(W.partitionBy("question_id").orderBy("_round", F.desc("score"), "chunk_id"))
+    place = F.row_number().over(W.partitionBy("question_id").orderBy("_round", *order))
     return turn.withColumn("position", place).filter(F.col("position") <= limit).drop("_round", "_few")
 
 
@@ -54,14 +60,25 @@ def overview(chunks: DataFrame, limit: int, scope: str = "document_id") -> DataF
     return chunks.withColumn("_round", turn).withColumn("position", place).filter(F.col("position") <= limit).drop("_round")
 
 
-def evenly_spaced(rows: DataFrame, limit: int, scope: str, order: list[str], offset: float = 0.0) -> DataFrame:
+def numbered(rows: DataFrame, scope: str, part: str, order: list[str]) -> DataFrame:
+    """rows with at (from 0) and n: the place in the scope, in order of part and then of order, and the scope's size.
+
+    Rows are sorted within (scope, part) only; what stands before a part is a running sum over the parts' counts.
+    """
+    counts = rows.groupBy(scope, part).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(W.partitionBy(scope).orderBy(F.col(part).asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")
+    counts = counts.withColumns({"_before": before, "_n": F.sum("_c").over(W.partitionBy(scope))}).drop("_c")
+    inside = F.row_number().over(W.partitionBy(scope, part).orderBy(*order)) - 1
+    left, right = rows.withColumn("_inside", inside).alias("l"), counts.alias("r")
+    same = F.col(f"l.{scope}").eqNullSafe(F.col(f"r.{scope}")) & F.col(f"l.{part}").eqNullSafe(F.col(f"r.{part}"))
+    return left.join(right, same).select("l.*", (F.col("_inside") + F.col("_before")).alias("at"), F.col("_n").alias("n")).drop("_inside")
+
+
+def evenly_spaced(rows: DataFrame, limit: int, scope: str, part: str, order: list[str], offset: float = 0.0) -> DataFrame:
     """Up to limit rows of each scope, evenly spaced by position; all, if there are no more than the limit."""
-    at = F.row_number().over(W.partitionBy(scope).orderBy(*order)) - 1
-    n = F.count("*").over(W.partitionBy(scope))
-    step = F.col("_n") / limit
-    picks = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.least(F.floor(offset * step + i * step), F.col("_n") - 1))
-    placed = rows.withColumns({"_at": at.cast("long"), "_n": n})
-    return placed.filter((F.col("_n") <= limit) | F.array_contains(picks, F.col("_at"))).drop("_at", "_n")
+    step = F.col("n") / limit
+    picks = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.least(F.floor(offset * step + i * step), F.col("n") - 1))
+    return numbered(rows, scope, part, order).filter((F.col("n") <= limit) | F.array_contains(picks, F.col("at"))).drop("at", "n")
 
 
 def merged(primary: DataFrame, secondary: DataFrame, limit: int) -> DataFrame:

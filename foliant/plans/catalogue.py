@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import providers
@@ -32,7 +31,7 @@ def document_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
-    rows = chunking.page_chunks(corpus.pages(spark, sf).filter("blocks is not null"))
+    rows = chunking.page_chunks(corpus.pages(spark, sf))
     return rows.select("chunk_id", "start_offset", "end_offset", "section", "source_type", *(F.col("bbox")[k].alias(f"box{k}") for k in range(4)))
 
 
@@ -100,12 +99,12 @@ def overview_round_robin(spark: SparkSession, sf: str) -> DataFrame:
 
 def coverage_sample(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus.chunks(spark, sf).filter(F.length(F.trim("content")) >= 120).select("id", "document_id", "page_number", "start_offset")
-    return selection.evenly_spaced(rows, LIMIT, "document_id", ["page_number", "start_offset", "id"]).select("document_id", F.col("id").alias("chunk_id"))
+    return selection.evenly_spaced(rows, LIMIT, "document_id", "page_number", ["start_offset", "id"]).select("document_id", F.col("id").alias("chunk_id"))
 
 
 def suggestion_sample(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus.pages(spark, sf).filter(F.col("content").rlike(r"(?U)\S")).select("id", "document_id", "page_number")
-    return selection.evenly_spaced(rows, 14, "document_id", ["page_number"]).select("document_id", "page_number")
+    return selection.evenly_spaced(rows, 14, "document_id", "page_number", ["id"]).select("document_id", "page_number")
 
 
 def page_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,10 +248,9 @@ def citations_used(spark: SparkSession, sf: str) -> DataFrame:
 
 def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Passages of each document dealt to even batches of at most five questions: every batch gets each n-th passage."""
-    per = W.partitionBy("document_id")
-    rows = corpus.chunks(spark, sf).withColumn("place", F.row_number().over(per.orderBy("page_number", "start_offset", "id")) - 1).withColumn("n", F.count("*").over(per))
+    rows = selection.numbered(corpus.chunks(spark, sf).select("id", "document_id", "page_number", "start_offset"), "document_id", "page_number", ["start_offset", "id"])
     batches = F.greatest(F.lit(1), F.ceil(F.col("n") / 10)).cast("int")
-    return rows.select(F.col("id").alias("chunk_id"), F.pmod(F.col("place"), batches).cast("int").alias("batch"))
+    return rows.select(F.col("id").alias("chunk_id"), F.pmod(F.col("at"), batches).cast("int").alias("batch"))
 
 
 def ascii_token_counts(spark: SparkSession, sf: str) -> DataFrame:

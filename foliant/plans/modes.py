@@ -24,11 +24,13 @@ def with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 def candidates(chunks: DataFrame, questions: DataFrame, pool: int = ranking.POOL, similar: DataFrame | None = None) -> DataFrame:
     """Candidates of each question by fusion of two rankings: that of vectors if one is given, else of lexical overlap, and BM25.
 
-    similar: question_id, chunk_id, rank of an embedding provider's nearest chunks.
+    similar: question_id, chunk_id, rank of an embedding provider's nearest chunks. place is the order in the fusion:
+    equal scores go by the first ranking, then by the second.
     """
     first = similar if similar is not None else ranking.lexical(chunks, questions, pool)
     fused = ranking.fused(first, ranking.bm25(chunks, questions, pool))
-    return with_text(fused.select("question_id", "chunk_id", "score"), chunks)
+    place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), F.asc_nulls_last("first_rank"), "second_rank"))
+    return with_text(fused.withColumn("place", place).select("question_id", "chunk_id", "score", "place"), chunks)
 
 
 def similar_chunks(chunks: DataFrame, questions: DataFrame, provider: Callable[[list[str]], list[list[float]]], pool: int = ranking.POOL) -> DataFrame:
@@ -67,18 +69,18 @@ def location(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     about = with_text(about.filter("is_covered"), chunks)
     place = F.row_number().over(W.partitionBy("question_id").orderBy("rank"))
     total = F.count("*").over(W.partitionBy("question_id"))
-    scored = about.withColumn("score", (total - place + 1).cast("double")).select("question_id", "chunk_id", *SPAN, "score")
+    scored = about.withColumns({"score": (total - place + 1).cast("double"), "place": place}).select("question_id", "chunk_id", *SPAN, "score", "place")
     return selection.diverse(selection.without_overlaps(scored), TOP_K["location"]).select("question_id", "chunk_id", "position", "score")
 
 
 def selection_first(chunks: DataFrame, selections: DataFrame) -> DataFrame:
-    """The selected text itself at position 0, then what supports it, without passages that are the selection.
+    """The selected text itself at position 0, then the best that supports it, without passages whose text is the selection.
 
-    selections: question_id, question (the selected text).
+    selections: question_id, question (the selected text). A passage that is the selection takes a place among the best.
     """
     own = selections.select("question_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(0).alias("position"))
-    left = selection.without_overlaps(candidates(chunks, selections)).join(selections.select("question_id", F.trim("question").alias("own")), "question_id")
-    rows = left.filter(F.trim("content") != F.col("own"))
-    place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id"))
-    kept = rows.withColumn("position", place).filter(F.col("position") < TOP_K["selection"])
+    left = selection.without_overlaps(candidates(chunks, selections))
+    best = left.withColumn("_at", F.row_number().over(W.partitionBy("question_id").orderBy("place"))).filter(F.col("_at") < TOP_K["selection"])
+    rows = best.join(selections.select("question_id", F.col("question").alias("own")), "question_id").filter(F.col("content") != F.col("own"))
+    kept = rows.withColumn("position", F.row_number().over(W.partitionBy("question_id").orderBy("_at")))
     return own.unionAll(kept.select("question_id", "chunk_id", "position"))

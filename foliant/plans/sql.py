@@ -8,7 +8,7 @@ from foliant.plans import routing
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CHUNKS = "(select distinct id, document_id, page_number, content, section, start_offset, end_offset from chunks)"
 PAGES = "(select distinct id, document_id, page_number, content, status, source_type from page_text)"
-PAGES_BLOCKS = "(select distinct id, content, blocks from page_text where blocks is not null)"
+PAGES_BLOCKS = "(select distinct id, content, blocks from page_text)"
 FILES = "(select distinct id, filename, page_count, status, content_hash, source, created_at from pdf_documents)"
 IMAGES = "(select distinct id, document_id, page_number, bbox, xref from document_images)"
 MESSAGES = "(select distinct id, conversation_id, role, content, reply_to_message_id, created_at from messages)"
@@ -46,7 +46,7 @@ asked as (
 
 BM25_ALL = rf"""
 {ASKED},
-c as {CHUNKS.replace("(select", "(select")},
+c as {CHUNKS},
 tok as (select id, regexp_extract_all(regexp_replace(strip_accents(lower(content)), '\p{{Mn}}', '', 'g'), '[\p{{L}}\p{{N}}]+') as t from c),
 stats as (select count(*) as n, avg(coalesce(len(t), 0)) as avg_len from tok),
 post as (select term, id, count(*) as tf, dl from (select id, len(t) as dl, unnest(t) as term from tok) where term in (select term from asked) group by term, id, dl),
@@ -82,11 +82,12 @@ lt as (
   where length(term) > 2 and term not in {words(STOP_WORDS)} group by id, term),
 qterms as (select question_id, unnest(terms) as term from qt),
 base as (select q.question_id, l.id, sum(least(l.tf, 2)) as s from qterms q join lt l on l.term = q.term group by q.question_id, l.id),
+worth as (select g, question_id, sum(w) as w from grams group by g, question_id),
 extra as (
-  select b.question_id, b.id, sum(g.w) as s from base b join grams g on g.question_id = b.question_id join {CHUNKS} c on c.id = b.id
-  where contains(lower(c.content), g.g) group by b.question_id, b.id),
-lexed as (select b.question_id, b.id as chunk_id, cast(b.s + coalesce(e.s, 0) as double) as score from base b left join extra e on e.question_id = b.question_id and e.id = b.id),
-lex as (select question_id, chunk_id, score, row_number() over (partition by question_id order by score desc, chunk_id) as rank from lexed)"""
+  select w.question_id, h.id, sum(w.w) as s from (select g.g, c.id from (select distinct g from grams) g join {CHUNKS} c on contains(lower(c.content), g.g)) h join worth w on w.g = h.g
+  group by w.question_id, h.id),
+lexed as (select coalesce(b.question_id, e.question_id) as question_id, coalesce(b.id, e.id) as chunk_id, cast(coalesce(b.s, 0) + coalesce(e.s, 0) as double) as score from base b full join extra e on e.question_id = b.question_id and e.id = b.id),
+lex as (select question_id, chunk_id, score, row_number() over (partition by question_id order by score desc, chunk_id desc) as rank from lexed)"""
 
 
 def fused(pool: int) -> str:
@@ -97,6 +98,32 @@ fused as (
   from (select * from lex where rank <= {pool}) l full join (select * from bm where rank <= {pool}) b on b.question_id = l.question_id and b.chunk_id = l.chunk_id)"""
 
 
+def without_overlaps(source: str) -> str:
+    """left_over: the rows of a table of candidates (question_id, chunk_id, place, score) that the greedy removal of overlaps leaves."""
+    return f"""
+spans as (
+  select s.question_id, s.chunk_id, s.place, s.score, c.document_id, c.page_number,
+         {{'chunk_id': s.chunk_id, 'a': coalesce(c.start_offset, 0), 'b': coalesce(c.end_offset, 0), 'content': c.content}} as x
+  from {source} s join {CHUNKS} c on c.id = s.chunk_id),
+folded as (
+  select question_id, document_id, page_number, list_reduce(list([x] order by place), lambda kept, new: case when len(list_filter(kept, lambda k:
+    case when k.b <= k.a or new[1].b <= new[1].a then k.content = new[1].content
+         else greatest(0, least(k.b, new[1].b) - greatest(k.a, new[1].a)) / least(k.b - k.a, new[1].b - new[1].a) >= 0.6 end)) > 0 then kept else list_concat(kept, new) end) as kept
+  from spans group by question_id, document_id, page_number),
+left_over as (
+  select s.question_id, s.chunk_id, s.place, s.score, s.document_id, s.page_number from spans s
+  join (select question_id, unnest(kept).chunk_id as chunk_id from folded) f on f.question_id = s.question_id and f.chunk_id = s.chunk_id)"""
+
+
+def diverse(limit: int, by: str = "document_id, page_number") -> str:
+    """dealt: up to limit rows of left_over for each question, a group at a time, with their position."""
+    return f"""
+rounds as (
+  select *, case when count(*) over (partition by question_id) <= {limit} then 1 else row_number() over (partition by question_id, {by} order by place) end as turn from left_over),
+dealt as (
+  select * from (select question_id, chunk_id, score, cast(row_number() over (partition by question_id order by turn, place) as integer) as position from rounds) where position <= {limit})"""
+
+
 def cases(rules: tuple[tuple[str, str], ...], otherwise: str) -> str:
     return "case " + " ".join(f"when regexp_matches(question, '{bounded(p)}') then '{name}'" for name, p in rules) + f" else '{otherwise}' end"
 
@@ -122,7 +149,37 @@ n as (
   select r.message_id, count(t.term) as n_terms, count(o.s) as n_covered
   from r left join topic t on t.message_id = r.message_id left join own o on o.message_id = r.message_id and o.s = {stem("t.term")} group by r.message_id)"""
 
+PLACED = "placed as (select question_id, chunk_id, score, row_number() over (partition by question_id order by score desc, first_rank asc nulls last, second_rank) as place from fused)"
+CANDIDATES = f"{BM25_ALL}, {LEX_ALL}, {fused(40)}, {PLACED}, {without_overlaps('placed')}"
+FACT = f"{CANDIDATES}, {diverse(routing.TOP_K['fact'])}"
+DEALT = "select question_id, chunk_id, position, score from dealt"
+
 SQL: dict[str, str] = {
+    "dedup_greedy": f"with {CANDIDATES} select question_id, chunk_id, score from left_over",
+    "diverse_by_page": f"with {FACT} {DEALT}",
+    "diverse_by_document": f"with {CANDIDATES}, {diverse(routing.TOP_K['multi_document'], 'document_id')} {DEALT}",
+    "extraction_sources": f"with {CANDIDATES}, {diverse(routing.TOP_K['extraction'])} {DEALT}",
+    "evidence_chars": f"with {FACT} select d.question_id, count(*) as n_sources, cast(sum(length(c.content)) as bigint) as n_chars from dealt d join {CHUNKS} c on c.id = d.chunk_id group by d.question_id",
+    "selection_support": f"""
+with {CANDIDATES},
+best as (select *, row_number() over (partition by question_id order by place) as spot from left_over),
+other as (
+  select b.question_id, b.chunk_id, b.spot from best b join {CHUNKS} c on c.id = b.chunk_id join eval_items e on e.item_id = b.question_id
+  where b.spot < {routing.TOP_K['selection']} and c.content != e.text)
+select cast(item_id as bigint) as question_id, null as chunk_id, 0 as position from eval_items
+union all select question_id, chunk_id, cast(row_number() over (partition by question_id order by spot) as integer) from other""",
+    "location_lookup": f"""
+with {BM25_ALL},
+topic as (
+  select question_id, term from (select cast(item_id as bigint) as question_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from eval_items)
+  where length(term) > 2 and term not in {words(STOP_WORDS)}),
+sizes as (select question_id, count(*) as n from topic group by question_id),
+found as (select * from bm where rank <= 40),
+own as (select distinct id, {stem("term")} as s from (select id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) as term from {CHUNKS} where id in (select chunk_id from found))),
+k as (select f.question_id, f.chunk_id, f.rank, count(o.s) as k from found f join topic t on t.question_id = f.question_id left join own o on o.id = f.chunk_id and o.s = {stem("t.term")} group by f.question_id, f.chunk_id, f.rank),
+about as (select k.* from k join sizes s on s.question_id = k.question_id where k.k >= greatest(1, ceil(s.n * {COVERAGE}::decimal(3,2)))),
+found_on as (select question_id, chunk_id, row_number() over (partition by question_id order by rank) as place, cast(count(*) over (partition by question_id) - row_number() over (partition by question_id order by rank) + 1 as double) as score from about),
+{without_overlaps('found_on')}, {diverse(routing.TOP_K['location'])} {DEALT}""",
     "topic_is_covered": f"""
 with {BM25_ALL}, {LEX_ALL}, {fused(40)},
 topic as (select distinct question_id, term from (select cast(item_id as bigint) as question_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from eval_items) where length(term) > 2 and term not in {words(EVIDENCE_STOP_WORDS)}),

@@ -20,27 +20,32 @@ def register_parser(suffix: str, parser: Callable[[bytes], list[tuple[int, str]]
     PARSERS[suffix.lower()] = parser
 
 
+def unique(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Each key once, by one shuffle into as many parts as the session sets: much work on few bytes is to stay spread."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).dropDuplicates([key])
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks, each id once."""
-    return table(spark, sf_dir, "chunks").dropDuplicates(["id"])
+    return unique(table(spark, sf_dir, "chunks"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages, each id once."""
-    return table(spark, sf_dir, "page_text").dropDuplicates(["id"])
+    return unique(table(spark, sf_dir, "page_text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of the library, each id once."""
-    return table(spark, sf_dir, "pdf_documents").dropDuplicates(["id"])
+    return unique(table(spark, sf_dir, "pdf_documents"))
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "document_images").dropDuplicates(["id"])
+    return unique(table(spark, sf_dir, "document_images"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "messages").dropDuplicates(["id"])
+    return unique(table(spark, sf_dir, "messages"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

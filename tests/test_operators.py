@@ -43,8 +43,6 @@ def brute_lexical(question, content):
     split = lambda t: [w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) > 2 and w not in stop]
     q, c = split(question), split(content)
     score = sum(min(c.count(t), 2) for t in q)
-    if not score:
-        return 0
     return score + sum(2 * n for n in (2, 3) for i in range(len(q) - n + 1) if " ".join(q[i : i + n]) in content.lower())
 
 
@@ -97,7 +95,7 @@ def test_diversity_goes_round_the_pages(spark):
 def test_overview_and_even_spacing(spark):
     df = spark.createDataFrame([(f"d-{p}-{k}", "d", p) for p in range(1, 10) for k in range(3)], "chunk_id string, document_id string, page_number int")
     assert {r["page_number"] for r in selection.overview(df, 9).collect()} == set(range(1, 10))
-    spaced = selection.evenly_spaced(df, 4, "document_id", ["page_number", "chunk_id"]).collect()
+    spaced = selection.evenly_spaced(df, 4, "document_id", "page_number", ["chunk_id"]).collect()
     assert len(spaced) == 4 and len({r["page_number"] for r in spaced}) == 4
 
 
