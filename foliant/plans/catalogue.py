@@ -141,10 +141,19 @@ def calc_operations(spark: SparkSession, sf: str) -> DataFrame:
 
 def labelled_amounts(spark: SparkSession, sf: str) -> DataFrame:
     questions = corpus.questions(spark, sf)
-    found = modes.fact(corpus.chunks(spark, sf), questions).select("question_id", "chunk_id")
+    chunks = corpus.chunks(spark, sf)
+    found = modes.fact(chunks, questions).select("question_id", "chunk_id")
     labels = questions.select("question_id", calculation.label_terms(F.col("question")).alias("labels"))
-    texts = corpus.chunks(spark, sf).select(F.col("id").alias("chunk_id"), "content")
-    return calculation.labelled_amounts(found.join(labels, "question_id").join(texts, "chunk_id"))
+    passages = found.join(labels, "question_id").join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id")
+    return calculation.labelled_amounts(passages).select("question_id", "chunk_id", "label", "value", "unit")
+
+
+def calc_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The calculations that users' messages ask for, from the question or from the passages found for it."""
+    asked = _asked(spark, sf).filter(routing.is_calculation(F.col("question")))
+    chunks = corpus.chunks(spark, sf)
+    found = modes.calculation(chunks, asked).join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id")
+    return calculation.results(asked, found)
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,7 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         chunk_spans, document_spans, chunk_sections, line_offsets, term_frequencies, bm25_topk, lexical_topk, cosine_topk, rrf_fuse, dedup_greedy,
         diverse_by_page, diverse_by_document, hybrid_topk, extraction_sources, location_lookup, selection_support, overview_round_robin, coverage_sample,
-        suggestion_sample, page_lookup, section_lookup, phrase_search, toc_heuristic, known_sections, route_mode, calc_operations, labelled_amounts,
+        suggestion_sample, page_lookup, section_lookup, phrase_search, toc_heuristic, known_sections, route_mode, calc_operations, labelled_amounts, calc_results,
         term_coverage, support_check, keyword_coverage, page_status_summary, page_classes, figure_counts, decorative_images, duplicate_hash,
         chunk_scan, history_last_n, progress_fold, merge_sources, citation_places, topic_is_covered, evidence_chars, citations_used, batch_plan,
         ascii_token_counts, stream_daily_events, stream_session_scores,

@@ -57,6 +57,10 @@ def extraction(chunks: DataFrame, questions: DataFrame, similar: DataFrame | Non
     return answered(chunks, questions, "extraction", ("document_id", "page_number"), similar)
 
 
+def calculation(chunks: DataFrame, questions: DataFrame, similar: DataFrame | None = None) -> DataFrame:
+    return answered(chunks, questions, "calculation", ("document_id", "page_number"), similar)
+
+
 def covered(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pairs (chunk_id, topic: array of terms) with is_covered; each chunk is stemmed once, whatever asks for it."""
     own = chunks.select(F.col("id").alias("chunk_id"), stems(F.col("content")).alias("stems"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from foliant.functions.text import COVERAGE, EVIDENCE_STOP_WORDS, STOP_WORDS, SUFFIXES
+from foliant.operators.calculation import MOST_OPERANDS, UNITS, VOCABULARY
 from foliant.plans import routing
 
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -154,7 +155,51 @@ CANDIDATES = f"{BM25_ALL}, {LEX_ALL}, {fused(40)}, {PLACED}, {without_overlaps('
 FACT = f"{CANDIDATES}, {diverse(routing.TOP_K['fact'])}"
 DEALT = "select question_id, chunk_id, position, score from dealt"
 
+ASKED_CALC = f"(select question_id as item_id, question as text from {USER} where {IS_CALC})"
+
+
+def over(source: str, sql: str) -> str:
+    """The SQL with questions (item_id, text) of another source than the evaluation items."""
+    return sql.replace("cast(item_id as bigint)", "item_id").replace("from eval_items", f"from {source}").replace("join eval_items", f"join {source}")
+
+
+NUMBER = r"[-+]?\$?\d[\d,]*(?:\.\d+)?%?"
+UNIT = "(?:" + "|".join(f"{u}\\b" if u.isalpha() else u for u in sorted(UNITS, key=len, reverse=True)) + ")"
+AMOUNT = rf"{NUMBER}(?:\s?{UNIT})?"
+YEAR_ONLY = "regexp_matches({0}, '^(?:19|20)\\d{{2}}$')"
+
+
+def value_of(raw: str) -> str:
+    return f"try_cast(regexp_replace(regexp_extract({raw}, '^{NUMBER}'), '[,$%]', '', 'g') as double)"
+
+
+def unit_of(raw: str) -> str:
+    rest = f"lower(trim(substr({raw}, length(regexp_extract({raw}, '^{NUMBER}')) + 1)))"
+    return f"(case when {rest} != '' then {rest} when contains({raw}, '%') then '%' when contains({raw}, '$') then 'usd' end)"
+
+
+#: amount: every number of the lines that name a label, as it is written, with what stands before it. Wants dealt, asked_of.
+AMOUNTS = rf"""
+labels as (
+  select question_id, list(term order by place) as labels from (
+    select item_id as question_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term, unnest(range(len(regexp_extract_all(lower(text), '[a-z0-9]+')))) as place from asked_of)
+  where length(term) > 2 and term not in {words(STOP_WORDS)} and term not in {words(VOCABULARY)} and not regexp_matches(term, '^[0-9]+$') group by question_id),
+line as (
+  select d.question_id, d.chunk_id, d.position, l.labels, unnest(string_split(regexp_replace(c.content, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) as line,
+         unnest(range(len(string_split(regexp_replace(c.content, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))))) as line_no
+  from dealt d join {CHUNKS} c on c.id = d.chunk_id join labels l on l.question_id = d.question_id),
+named as (select *, list_filter(labels, lambda t: contains(lower(line), t)) as named from line),
+marked as (select *, string_split(regexp_replace(line, '(?i)(^|[^A-Za-z0-9])({AMOUNT})', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(1)) as pieces from named where len(named) > 0),
+each as (select *, unnest(range(2, len(pieces) + 1)) as k from marked),
+amount as (
+  select question_id, chunk_id, position, line_no, k, named, string_split(pieces[k], chr(2))[1] as raw, replace(array_to_string(pieces[1:k - 1], ''), chr(2), '') as before from each),
+labelled as (
+  select question_id, chunk_id, position, line_no, k, raw, {value_of("raw")} as value, {unit_of("raw")} as unit,
+         coalesce(list_filter(named, lambda t: contains(lower(before), t))[-1], named[1]) as label
+  from amount where {value_of("raw")} is not null and not {YEAR_ONLY.format("raw")} and not regexp_matches(before, '(?i)\b(?:chapter|section|page|pages|figure|fig|table|step|part|item|appendix|no)\.?\s*$'))"""
+
 SQL: dict[str, str] = {
+    "labelled_amounts": f"with {FACT}, asked_of as (select cast(item_id as bigint) as item_id, text from eval_items), {AMOUNTS} select question_id, chunk_id, label, value, unit from labelled",
     "dedup_greedy": f"with {CANDIDATES} select question_id, chunk_id, score from left_over",
     "diverse_by_page": f"with {FACT} {DEALT}",
     "diverse_by_document": f"with {CANDIDATES}, {diverse(routing.TOP_K['multi_document'], 'document_id')} {DEALT}",

@@ -126,17 +126,44 @@ def test_routing_rules_in_order(spark):
     assert got[1]["page"] == 12 and got[2]["topic"] == "ZigBee" and got[6]["section"] == "Sensors" and got[9]["topic"] == "MQTT" and got[10]["format"] == "table"
 
 
-def test_amounts_leave_years_and_places_out():
-    assert [(v, u) for v, u, _ in calculation.amounts("In 2022 revenue was $80,000 and 12.5% more than 40 kg, chapter 3, Q1")] == [(80000.0, "usd"), (12.5, "%"), (40.0, "kg")]
+def test_amounts_leave_years_and_places_out(spark):
+    text = "In 2022 revenue was $80,000 and 12.5% more than 40 kg, chapter 3, Q1, 55kgs"
+    got = spark.createDataFrame([(text,)], "t string").select(F.explode(calculation.amounts(F.col("t"))).alias("a")).select("a.*").collect()
+    assert [(r["value"], r["unit"]) for r in got if not r["is_year"] and not r["is_place"]] == [(80000.0, "usd"), (12.5, "%"), (40.0, "kg"), (55.0, None)]
+    assert [text[r["at"]] for r in got] == ["2", "$", "1", "4", "3", "5"]
 
 
 def test_labelled_amounts_and_results(spark):
-    df = spark.createDataFrame([(1, ["revenue", "cost"], "c", "Revenue was 80000. Cost was 50000 days."), (2, ["x"], "c", None)], "question_id long, labels array<string>, chunk_id string, content string")
-    assert sorted((r["label"], r["value"]) for r in calculation.labelled_amounts(df).collect()) == [("cost", 50000.0), ("revenue", 80000.0)]
+    df = spark.createDataFrame([(1, ["revenue", "cost"], "c", "Revenue was 80000. Cost was 50000 days."), (2, ["x"], "c", None), (3, [], "c", "x 1")], "question_id long, labels array<string>, chunk_id string, content string")
+    assert sorted((r["label"], r["value"], r["unit"]) for r in calculation.labelled_amounts(df).collect()) == [("cost", 50000.0, "days"), ("revenue", 80000.0, None)]
     ops = spark.createDataFrame([("percentage_increase", 80.0, 95.0), ("ratio", 1.0, 0.0), ("difference", 5.0, 3.0)], "o string, a double, b double")
     assert [r["x"] for r in ops.select(calculation.computed(F.col("o"), F.col("a"), F.col("b")).alias("x")).collect()] == [18.75, None, 2.0]
 
 
+def test_calculations_to_the_end(spark):
+    asked = {
+        1: "difference between 80000 and 50000",
+        2: "average of 10, 20 and 30",
+        3: "What is the percentage increase in revenue from 2022 to 2023?",
+        4: "difference between revenue and cost",
+        5: "ratio of 10 kg to 5 m, between 10 kg and 5 m",
+        6: "ratio of rain and sun",
+        7: "total weight",
+        8: "ratio between 4 and 0",
+        9: "What is the total length?",
+    }
+    passages = [
+        (3, "a", 1, "Revenue was 100 usd in 2022. It rose to 120 usd by 2023, revenue of 125 usd planned."),
+        (4, "a", 1, "Revenue was 80000 then 90000."), (4, "b", 2, "The cost was 50000."),
+        (7, "a", 1, "Weights of 1 kg, 2 kg, 3 kg, 4 kg, 5 kg, 6 kg, 7 kg, 8 kg, 9 kg, 10 kg, 11 kg, each a weight: 1 weight 2, weight 3 kg. weight 4 5 6 7 8 9 10 11 12 13 14"),
+        (9, "a", 1, "The length is 2 m. A length of 3 m."),
+    ]
+    got = {r["question_id"]: r for r in calculation.results(spark.createDataFrame(list(asked.items()), "question_id long, question string"), spark.createDataFrame(passages, "question_id long, chunk_id string, position int, content string")).collect()}
+    assert {k: (r["status"], r["result"]) for k, r in got.items()} == {
+        1: ("ok", 30000.0), 2: ("ok", 20.0), 3: ("ok", 4.166667), 4: ("ok", 30000.0), 5: ("units", None), 6: ("missing", None), 7: ("too_many", None), 8: ("undefined", None), 9: ("ok", 5.0),
+    }
+
+
 def test_support_of_values(spark):
     rows = [("Speed is 1,250 kbps", "up to 1250 kbps"), ("1250", "1251"), ("yes", "whatever"), ("wireless sensor network", "a network of wireless sensors"), ("wireless sensor network", "cables")]
     df = spark.createDataFrame(rows, "v string, p string")
