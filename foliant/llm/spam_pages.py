@@ -3,9 +3,10 @@
 Texts are cut into windows of WINDOW words. A window is described by its densities (links, separators, commas, digits,
 marks of tables and citations), the entropy and repetition of its words, and its share of function words. Per language,
 the centre is the median and the scatter the covariance of the windows that lie near the centre by median absolute
-deviations; a window's robust Mahalanobis distance is taken to it. Far windows are spam where they lie in a direction
-of spam: fewer function words, more repetition, links or separators, and not the numbers and marks of tables,
-references and contents lists. A document is spam where such windows hold more than half of its text.
+deviations. The robust Mahalanobis distance of a window from it is taken along the directions of spam: the deviation,
+whitened by the scatter, is projected on the whitened direction. A window that lies farther than CUTOFF along one of
+them is spam, if every feature of the direction deviates the way it points and the numbers and marks of tables,
+references and contents lists do not. A document is spam where such windows hold more than half of its text.
 
 Every window of every document enters the statistics. Only the statistics of a few languages reach the driver.
 
@@ -41,19 +42,19 @@ FUNCTION_WORDS = {
 WINDOW, LEAST = 30, 5
 #: Documents are spam when flagged windows hold more than this share of their characters.
 SHARE = 0.5
-#: Squared distance beyond which a window is an outlier: the 0.95 quantile of chi-squared for the features.
-CUTOFF = 16.9
+#: Distance along a direction of spam beyond which a window is an outlier: the 0.9993 quantile of a normal deviation.
+CUTOFF = 3.2
 FEATURES = ("function", "repeated", "entropy", "links", "separators", "commas", "digits", "marks", "sentences")
 #: Least standard deviation of each feature; most windows have none of some of them.
 FLOOR = dict(zip(FEATURES, (0.03, 0.04, 0.015, 0.03, 0.02, 0.03, 0.04, 0.02, 0.02), strict=True))
-#: Directions of spam: the least deviation, in scatter units, in each of a direction's features.
+#: Directions of spam: of each feature its part in the direction, in scatter units, and how far it must deviate that way itself.
 DIRECTIONS = (
-    {"function": -2.5},  # keywords, tags and paths strung together without grammar
-    {"repeated": 3.5, "entropy": -3.5},  # the same phrase over and over
-    {"links": 5.0, "function": -1.2},
-    {"sentences": -2.0, "function": -1.5},
-    {"separators": 4.0, "function": -1.0},
-    {"commas": 3.5, "function": -1.0},
+    {"function": (-1.0, 1.0)},  # keywords, tags and paths strung together without grammar
+    {"repeated": (1.0, 3.0), "entropy": (-1.0, 3.0)},  # the same phrase over and over
+    {"links": (1.0, 1.0), "function": (-0.3, 1.0)},
+    {"sentences": (-1.0, 1.0), "function": (-1.0, 1.0)},
+    {"separators": (1.0, 1.0), "function": (-1.0, 1.0)},
+    {"commas": (1.0, 1.0), "function": (-0.3, 1.0)},
 )
 #: Marks of tables, references and contents lists beyond this deviation point away from spam.
 AWAY = 3.0
@@ -202,27 +203,38 @@ def by_language(values: dict[str, float]) -> Column:
     return out
 
 
+def along(direction: dict[str, tuple[float, float]], inverse: np.ndarray) -> np.ndarray:
+    """What a deviation is multiplied with to give its distance along a direction: the whitened direction, of length 1."""
+    scale = np.linalg.inv(inverse).diagonal() ** 0.5
+    to = np.array([direction[f][0] if f in direction else 0.0 for f in FEATURES]) * scale
+    return inverse @ to / (to @ inverse @ to) ** 0.5
+
+
 def scored(rows: DataFrame) -> DataFrame:
-    """rows with the squared robust distance and whether the window lies in a direction of spam."""
+    """rows with towards: the distance along the direction of spam that is farthest among those the window points in, or null."""
     stats = centres(rows)
     if not stats:
-        return rows.withColumns({"distance": F.lit(0.0), "towards": F.lit(False)})
-    size = range(len(FEATURES))
-    pairs = [(i, j) for i in size for j in size if i <= j]
-    values = [(k, *map(float, m), *map(float, np.linalg.inv(inv).diagonal() ** 0.5), *(float(inv[i, j]) * (1 + (i < j)) for i, j in pairs)) for k, (m, inv) in stats.items()]
-    names = ["_lang", *(f"_m{i}" for i in size), *(f"_s{i}" for i in size), *(f"_c{i}_{j}" for i, j in pairs)]
+        return rows.withColumn("towards", F.lit(None).cast("double"))
+    size, ways = range(len(FEATURES)), range(len(DIRECTIONS))
+    values = []
+    for lang, (mean, inverse) in stats.items():
+        scale = np.linalg.inv(inverse).diagonal() ** 0.5
+        values.append((lang, *map(float, mean), *map(float, scale), *(float(x) for d in DIRECTIONS for x in along(d, inverse))))
+    names = ["_lang", *(f"_m{i}" for i in size), *(f"_s{i}" for i in size), *(f"_a{k}_{i}" for k in ways for i in size)]
     known = rows.sparkSession.createDataFrame(values, ", ".join(f"{n} {'string' if n == '_lang' else 'double'}" for n in names))
     of = F.when(F.col("lang").isin([k for k in stats if k]), F.col("lang")).otherwise("")
     away = rows.withColumn("_lang", of).join(F.broadcast(known), "_lang").withColumns({f"_d{i}": F.col(f) - F.col(f"_m{i}") for i, f in enumerate(FEATURES)})
-    distance = reduce(Column.__add__, (F.col(f"_d{i}") * F.col(f"_d{j}") * F.col(f"_c{i}_{j}") for i, j in pairs))
     units = {f: F.col(f"_d{i}") / F.col(f"_s{i}") for i, f in enumerate(FEATURES)}
-    inside = lambda need: reduce(Column.__and__, ((units[f] >= v) if v > 0 else (units[f] <= v) for f, v in need.items()))
-    towards = reduce(Column.__or__, map(inside, DIRECTIONS)) & (units["marks"] < AWAY)
-    return away.select(*rows.columns, distance.alias("distance"), towards.alias("towards"))
+
+    def distance(k: int) -> Column:
+        points = reduce(Column.__and__, (units[f] * math.copysign(1, part) >= least for f, (part, least) in DIRECTIONS[k].items()))
+        return F.when(points & (units["marks"] < AWAY), reduce(Column.__add__, (F.col(f"_d{i}") * F.col(f"_a{k}_{i}") for i in size)))
+
+    return away.select(*rows.columns, F.greatest(*map(distance, ways)).alias("towards"))
 
 
-def spam_share(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def spam_share(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cutoff: float = CUTOFF) -> DataFrame:
     """id, spam_share: the share of each text's characters that lies in windows flagged as spam."""
     rows = scored(checkpoint(measured(documents, id_col, text_col, lang_col)))
-    flagged = (F.col("distance") > CUTOFF) & F.col("towards")
+    flagged = F.col("towards") > cutoff
     return rows.groupBy("id").agg((F.sum(F.when(flagged, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("spam_share")).withColumnRenamed("id", id_col)

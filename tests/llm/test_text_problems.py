@@ -178,6 +178,17 @@ def test_spam_is_found_and_tables_are_not(spark):
     assert 1006 not in shares and 1007 not in shares
 
 
+def test_the_distance_decides(spark):
+    rng = random.Random(9)
+    usual = dict(zip(spam_pages.FEATURES, (0.4, 0.2, 0.9, 0.1, 0.1, 0.1, 0.1, 0.05, 0.1), strict=True))
+    rows = [(0, "en", 100, *(rng.gauss(m, 0.05) for m in usual.values())) for _ in range(2000)]
+    for i, more in ((1, -0.15), (2, -0.6)):  # as few function words as now and then among the others, and far fewer
+        rows.append((i, "en", 100, *(m + more * (f == "function") for f, m in usual.items())))
+    df = spark.createDataFrame(rows, "id long, lang string, chars long, " + ", ".join(f"{f} double" for f in spam_pages.FEATURES))
+    towards = {r["id"]: r["towards"] for r in spam_pages.scored(df).filter("id > 0").collect()}
+    assert 1 < towards[1] < spam_pages.CUTOFF < towards[2]
+
+
 def test_spam_of_nothing(spark):
     assert spam_pages.spam_share(documents(spark).limit(0)).count() == 0
     assert spam_pages.spam_share(documents(spark).filter(F.col("doc_id") == 1000)).count() == 1
