@@ -1,9 +1,10 @@
 """Problem 4: defects of answers.
 
-A pair is an assistant message with the latest earlier user message of its conversation. Copies show when the answer is
-compressed with the question as a zstandard dictionary; refusals and languages by dictionaries of phrases and function
-words; cut-off answers by a model of terminal contexts, which counts over all assistant messages how often a word, the
-word before it with the word's shape, and the word's last letters end a line or an item, and how often they do not.
+A pair is an assistant message with the latest earlier user message of its conversation. An answer is a copy when,
+compressed with the question as a zstandard dictionary, it leaves little of itself: at most LEFT of what it takes alone,
+and fewer bytes than a short sentence (OWN). Refusals and languages show by dictionaries of phrases and function words;
+cut-off answers by a model of terminal contexts, which counts over all answers of pairs how often a word, the word before
+it with the word's shape, and the word's last letters end a line or an item, and how often they do not.
 
 Pairing splits a conversation by the hour: the question comes from the hour's own messages or from the last earlier
 hour that has one, so a conversation of any size is never in one task. The model's counts are joined to the answers'
@@ -21,8 +22,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -32,6 +37,8 @@ from foliant.llm.words import WORD, words
 from foliant.runtime import checkpoint
 
 HOUR = 3_600_000_000
+#: A copy, compressed with the question, keeps at most this share of its size and at most so many bytes.
+LEFT, OWN = 0.6, 56
 INVISIBLE = "".join(map(chr, (0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x206A), 0xFEFF)))
 # Words that only announce an answer, and words that stand for no value.
 LABELS = "answer antwort réponse reponse respuesta result ergebnis résultat resultado output response assistant".split()
@@ -105,20 +112,35 @@ def other_language(question: str, answer: str) -> bool:
     return bool(own and given and given != own and given not in allowed)
 
 
+@cache
+def frame() -> zstandard.ZstdCompressionParameters:
+    """Frames without sizes, sums and names, so that what is counted is the text."""
+    return zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+@cache
+def plain() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(compression_params=frame())
+
+
 def copies(question: str, answer: str) -> bool:
-    """Whether the answer, compressed with the question as dictionary, leaves next to nothing, and no words of its own."""
-    q, a = (" ".join(t.lower().split()) for t in (question, answer))
-    own = words(a)
-    if len(own) < 3 or not q:
-        return False
-    plain, knowing = zstandard.ZstdCompressor(level=9), zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(q.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-    empty = len(plain.compress(b""))
-    rest, whole = len(knowing.compress(a.encode())) - empty, max(1, len(plain.compress(a.encode())) - empty)
-    if rest > 0.6 * whole:
+    """Whether the answer, compressed with the question as dictionary, leaves next to nothing of its own."""
+    q, a = (" ".join(t.lower().split()).encode("utf-8", "replace") for t in (question, answer))
+    if not q or len(WORD.findall(answer)) < 3:
         return False
-    known = set(words(q))
-    new = [w for w in own if w not in known]
-    return len(new) <= 6 and len(own) - len(new) >= max(3, 0.5 * len(own), 0.3 * len(known))
+    knowing = zstandard.ZstdCompressor(compression_params=frame(), dict_data=zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    rest = len(knowing.compress(a))
+    return rest <= OWN and rest <= LEFT * len(plain().compress(a))
+
+
+#: What every refusal holds, for an automaton that reads each text once.
+HINT = "(?i)" + REFUSALS.pattern.replace(r"\b", "").replace("^", "").replace(r"\w", r"\S")
+
+
+def may_refuse(answers: pd.Series) -> np.ndarray:
+    """Which answers hold a phrase of refusing at all; only these are looked at sentence by sentence."""
+    texts = pc.replace_substring_regex(pa.array(answers, pa.string()), r"\[\d+\]", " ")
+    return pc.fill_null(pc.match_substring_regex(texts, HINT), False).to_numpy(zero_copy_only=False)
 
 
 def refuses(answer: str) -> bool:
@@ -142,23 +164,34 @@ def contexts(line: str) -> tuple[str, list[tuple[str, str, str]]]:
 
 def terminal_counts(texts: Iterator[str | None]) -> Counter:
     """(key, whether it ended a line, sentence or item) -> how often. The last line of a text proves an end only by a full stop."""
-    counts: Counter = Counter()
+    pieces: Counter = Counter()
     for text in texts:
         lines = [x for x in (text or "").split("\n") if x.strip() and not x.lstrip().startswith(("|", "{"))]
         for n, line in enumerate(lines):
-            pieces = [p for p in re.split(r"(?<=[.!?])\s+", line) if p.strip()]
-            for m, piece in enumerate(pieces):
-                kind, keys = contexts(ITEM.sub("", piece) if STOP.search(line) else piece)  # an item that is a sentence is text
-                ended = bool(STOP.search(piece)) and not piece.rstrip().endswith("...") or m == len(pieces) - 1 and n < len(lines) - 1 and kind == "item"
-                for k, three in enumerate(keys):
-                    last = k == len(keys) - 1
-                    if last and not ended:
-                        continue
-                    for key in three[:2]:
-                        counts[key, last] += 1
-                    counts[three[2], True] += 1
-                for w in re.findall(r"[^\W\d_]{4,}", piece.lower()):
-                    counts.update(((f"t {w[i : i + 3]}", False) for i in range(len(w) - 3)))
+            stopped = bool(STOP.search(line))
+            own = [p for p in re.split(r"(?<=[.!?])\s+", line) if p.strip()]
+            for m, piece in enumerate(own):
+                text_of = ITEM.sub("", piece) if stopped else piece  # an item that is a sentence is text
+                ended = bool(STOP.search(piece)) and not piece.rstrip().endswith("...") or m == len(own) - 1 and n < len(lines) - 1 and bool(ITEM.match(text_of))
+                pieces[text_of, ended, piece] += 1
+    counts: Counter = Counter()
+    words_in: Counter = Counter()
+    keys_in: Counter = Counter()
+    for (text_of, ended, piece), n in pieces.items():
+        keys = contexts(text_of)[1]
+        for three in keys[:-1]:
+            keys_in[three, False] += n
+        if keys and ended:
+            keys_in[keys[-1], True] += n
+        for w in re.findall(r"[^\W\d_]{4,}", piece.lower()):
+            words_in[w] += n
+    for ((word, before, letters), last), n in keys_in.items():
+        counts[word, last] += n
+        counts[before, last] += n
+        counts[letters, True] += n
+    for w, n in words_in.items():
+        for i in range(len(w) - 3):
+            counts[f"t {w[i : i + 3]}", False] += n
     return counts
 
 
@@ -217,13 +250,13 @@ def defects(messages: DataFrame) -> DataFrame:
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, q, a in batch.itertuples(index=False, name=None):
+            for (i, q, a), declining in zip(batch.itertuples(index=False, name=None), may_refuse(batch["answer"]), strict=True):
                 defect, keys = None, None
-                if not a or not bare(a):
+                if not a or not (core := bare(a)):
                     defect = "empty"
-                elif copies(q, bare(a)):
+                elif copies(q, core):
                     defect = "copy"
-                elif refuses(a):
+                elif declining and refuses(a):
                     defect = "refusal"
                 else:
                     how = ending(a)

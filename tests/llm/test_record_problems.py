@@ -4,6 +4,7 @@ import datetime
 import itertools
 import random
 
+import pandas as pd
 import pytest
 
 from foliant.llm import answer_defects, leakage, near_duplicates, packing
@@ -189,3 +190,16 @@ def test_leaks_equal_those_of_all_comparisons(spark):
     got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked(df, held).collect()}
     assert got == brute_leaks([(d, t or "") for d, t in docs], [(i, t or "") for i, t in items])
     assert leakage.leaked(df.limit(0), held).count() == 0 and leakage.leaked(df, held.limit(0)).count() == 0
+
+
+def test_compression_decides_what_is_a_copy():
+    question = "Which pump feeds the old boiler in hall seven near the gate of the northern works?"
+    assert answer_defects.copies(question, "You asked: " + question) and answer_defects.copies(question, question.upper())
+    assert not answer_defects.copies(question, "Gate, near seven: the works of the northern hall feeds old pump, boiler which the in.")  # the same words
+    assert not answer_defects.copies(question, question + " Pump B17, which was fitted in 1998 and runs on two motors of 40 kW each, feeds it.")
+
+
+def test_no_refusal_is_missed_by_the_first_look():
+    texts = ["I cannot [3] answer this.", "Leider kann ich das nicht sagen.", "Je ne trouve rien.", "No puedo responder.", "Sorry, no.", "The pump runs.", None]
+    looked = answer_defects.may_refuse(pd.Series(texts))
+    assert all(x for x, t in zip(looked, texts, strict=True) if t and answer_defects.refuses(t)) and not looked[-2] and not looked[-1]
