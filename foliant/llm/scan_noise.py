@@ -1,27 +1,37 @@
 """Problem 1: noise in text from scanned pages.
 
-Words are counted over all pages. A word of a scanned page that no born-digital page has is linked to the frequent
-words that a plausible misreading turns into it: both are reduced to a skeleton in which glyphs that are taken for one
-another are the same, and words whose skeletons are equal, or equal after one letter is dropped, are joined. Among the
-linked words the one with the best sum of edit cost, frequency and fit in context is taken; the fit is the cosine of
-its skip-gram vector with those of the words around. Running headers and page numbers are found at the page's edges, by
-form and by repetition in the document; words broken at line ends are joined unless the hyphen belongs to the word.
-
-Only words that are not frequent leave their pages, as rows. To all tasks go the LEXICON most frequent words, and their
-skip-gram vectors, both of bounded size. Where born-digital pages have more words, those that a page asks for beyond
-the lexicon are joined with all of them, so that the lexicon's size changes no result.
+Skip-gram vectors of the frequent words are learned on the text of all pages. A word's place in their space is the mean
+of the vectors around it: of all its occurrences for a known word (its profile), of its own occurrence for a rare one.
+A word of a scanned page that no born-digital page has is linked to the frequent words that are its neighbours in this
+space and that a plausible misreading turns into it: both are reduced to skeletons in which glyphs that are taken for
+one another are the same, words whose skeletons are equal, or equal after one letter is dropped, meet, and the edit
+between them must be cheap. Neighbours are words as near to their profile as all but MISFIT of the known words of
+scanned pages are to theirs. Among the linked words the one with the best sum of edit cost, frequency and nearness is
+taken. Running headers and page numbers are found at the page's edges, by form and by repetition in the document; words
+broken at line ends are joined unless the hyphen belongs to the word.
+
+Known are the words of born-digital pages, and of scanned pages those that occur SETTLED times and that no plausible
+edit turns into a word ten times as frequent; so scans alone can be repaired too.
+
+Only words that are not frequent leave their pages, as rows. To all tasks go the LEXICON most frequent words with their
+profiles, and the vectors of the VOCABULARY most frequent words, all of bounded size. Where there are more known words,
+those that a page asks for beyond the lexicon are joined with all of them, so that the lexicon's size changes no
+result; words beyond the vocabulary have profiles like all others.
 
 Cases: pages of other source types, null or blank content give no rows; a page with fewer blocks than lines, or none,
 is judged by its text alone; repeated rows count once; a hyphen at a page's end counts as a broken word unless such
-beginnings of compounds are known; extra columns are ignored; an empty table gives no rows.
+beginnings of compounds are known; a library too small for vectors has no misread words; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,8 +46,16 @@ from foliant.runtime import checkpoint, small_side
 
 #: The most frequent words, which go to all tasks (rarer ones are joined); how often a word must occur to be linked to.
 LEXICON, FREQUENT = 100_000, 2
-#: Skip-gram vectors: their length, the window, and how often a word must occur to have one.
-VECTOR, REACH, LEARNED = 16, 3, 20
+#: How often a word that only scanned pages have must occur to be known, and how much more often what it could be a misreading of.
+SETTLED, RATIO = 20, 10
+#: Skip-gram vectors: their length, the window, passes over the text, how often a word must occur to have one, words that have one at most.
+VECTOR, REACH, PASSES, LEARNED, VOCABULARY = 16, 4, 2, 5, 100_000
+#: Words that make up more than this share of all text are thinned out before learning, but never below so many occurrences.
+THIN, KEPT = 3e-5, 200
+#: Words of text that one task learns from, before the tasks' vectors are averaged.
+LESSON = 200_000
+#: Share of the known words of scanned pages that may lie farther from their profile than a neighbour.
+MISFIT = 0.01
 #: Lines at each edge of a page among which headers and page numbers are sought.
 EDGE = 3
 #: A misread copy of a header differs by at most this many letters, and by one in six.
@@ -70,6 +88,12 @@ def ordinary(text: str) -> str:
     return unicodedata.normalize("NFC", RARE.sub(lambda m: plain(m[0]), text.translate(_plain)))
 
 
+@lru_cache(maxsize=1 << 17)
+def form_of(token: str) -> str:
+    """The form of a token as it stands on a page."""
+    return form(ordinary(token))
+
+
 def form(token: str) -> str:
     """How a word is counted: without outer punctuation, in lower case, digits of codes and amounts as 0."""
     word = token.strip(OUTER).lower()
@@ -278,14 +302,14 @@ def header_lines(scanned: DataFrame, pages: DataFrame) -> DataFrame:
             for document, content, heading in zip(batch["document_id"], batch["content"], batch["heading"], strict=True):
                 lines = content.split("\n")
                 for text, is_heading in zip(lines, per_line(heading, len(lines), False), strict=True):
-                    if not is_heading and len(text) < 200 and not text.rstrip().endswith((".", *BREAKS)) and len(text.strip()) > 12:
+                    if not is_heading and not text.rstrip().endswith((".", *BREAKS)) and len(text.strip()) > 12:
                         rows.add((title_key(ordinary(text)), document))
             yield pd.DataFrame(sorted(rows, key=str), columns=["key", "document_id"])
 
     digital = pages.filter("source_type = 'text' and content is not null").select("document_id", "content", F.col("blocks.is_heading").alias("heading"))
-    elsewhere = digital.mapInPandas(site, "key string, document_id string").join(small_side(titles.select("key").distinct()), "key", "left_semi")
+    elsewhere = digital.mapInPandas(site, "key string, document_id string").join(small_side(titles.select(F.col("key")).distinct()), "key", "left_semi")
     shared = elsewhere.groupBy("key").agg(F.countDistinct("document_id").alias("n")).filter("n >= 2").select("key")
-    own = checkpoint(titles.join(small_side(checkpoint(shared)), "key", "left_anti"))
+    own = checkpoint(titles.join(small_side(shared), "key", "left_anti"))
     repeated = checkpoint(own.groupBy("document_id", "key").agg(F.countDistinct("page_id").alias("n")))
     # misread copies of any line that the document repeats
     single = own.filter("not strong").join(repeated.filter("n = 1"), ["document_id", "key"])
@@ -329,7 +353,7 @@ class Reader:
         return not f or bool(PLAIN_NUMBER.match(f)) or self.count(f) > 0
 
     def read(self, content: str, skip: set[int]) -> tuple[list[tuple], list[tuple]]:
-        """(line, hyphen token, joined word, next line) of broken words; (line, place, token, next line, rest, context) of odd words."""
+        """(line, hyphen token, next line) of broken words; (line, place, token, next line, length of the first part) of odd words."""
         lines = [[] if k in skip else x.split() for k, x in enumerate(content.split("\n"))]
         broken, odd, continued = [], [], set()
         there = [k for k, x in enumerate(lines) if x]
@@ -338,7 +362,7 @@ class Reader:
             if end[-1] not in BREAKS or len(end) < 2 or not end[-2].isalpha():
                 continue
             start = end[:-1].lstrip(OUTER)
-            after = next((j for j in there[n + 1 : n + 4] if lines[j][0][0].islower() or not lines[j][0][0].isalnum() and lines[j][0][-1:].isalpha()), None)
+            after = next((j for j in there[n + 1 :] if lines[j][0][0].islower() or not lines[j][0][0].isalnum() and lines[j][0][-1:].isalpha()), None)
             rest = lines[after][0].rstrip(OUTER) if after is not None else ""
             whole, compound = form(start + rest), form(f"{start}-{rest}")
             together, apart, first = self.count(whole), self.count(compound), self.count_first(form(start))
@@ -355,7 +379,7 @@ class Reader:
                 continued.add((after, 0))
                 token = start + rest if together >= apart else f"{start}-{rest}"
                 if not self.is_known(token):
-                    odd.append((k, len(lines[k]) - 1, token, after, len(start), self.context(lines, k, len(lines[k]) - 1)))
+                    odd.append((k, len(lines[k]) - 1, token, after, len(start)))
             else:
                 continued.add((k, len(lines[k]) - 1))
         for n, k in enumerate(there):
@@ -364,41 +388,142 @@ class Reader:
                     continue
                 if n == 0 and place == 0 and token[0].islower() and not any(c in STRAY for c in token):
                     continue  # may continue a word of the page before
-                odd.append((k, place, token, None, 0, self.context(lines, k, place)))
+                odd.append((k, place, token, None, 0))
         return broken, odd
 
-    def context(self, lines: list[list[str]], line: int, place: int) -> list[str]:
-        near = lines[line][max(0, place - REACH) : place] + lines[line][place + 1 : place + 1 + REACH]
-        return [f for f in map(form, near) if f in self.known or f in self.rare]
+
+def linked(tokens: DataFrame, meant: DataFrame) -> DataFrame:
+    """token, meant, cost: the words that a plausible misreading turns into a token; they meet in a skeleton. Both: word."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(w, key) for w in batch["word"] for key in skeleton_keys(w.strip(OUTER))], columns=["word", "key"])
+
+    def cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            costs = [edit_cost(t.strip(OUTER), m) for t, m in zip(batch["token"], batch["meant"], strict=True)]
+            kept = [c <= allowed(t) for c, t in zip(costs, batch["token"], strict=True)]
+            yield batch.assign(cost=costs)[kept]
+
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work on each row
+    own = tokens.select("word").distinct().mapInPandas(keys, "word string, key string").select(F.col("word").alias("token"), "key")
+    of = meant.select("word").filter(F.length("word") > 1).mapInPandas(keys, "word string, key string").select(F.col("word").alias("meant"), "key")
+    pairs = own.join(of, "key").select("token", "meant").distinct().repartition(parts)
+    return pairs.mapInPandas(cost, "token string, meant string, cost double")
+
+
+def known_words(counted: DataFrame) -> DataFrame:
+    """word, n: how often each known word occurs: on born-digital pages, or a settled one on scanned pages."""
+    n = F.col("digital") + F.col("scanned")
+    often = checkpoint(counted.filter((F.col("digital") == 0) & (F.col("scanned") >= SETTLED)))
+    more = counted.filter(n >= SETTLED * RATIO)
+    links = linked(often, more).join(often.select(F.col("word").alias("token"), "scanned"), "token").join(more.select(F.col("word").alias("meant"), n.alias("n")), "meant")
+    misread = links.filter(F.col("n") >= RATIO * F.col("scanned")).select(F.col("token").alias("word")).distinct()
+    settled = often.join(misread, "word", "left_anti").select("word", F.col("scanned").alias("n"))
+    return counted.filter("digital >= 1").select("word", F.col("digital").alias("n")).unionAll(settled)
 
 
 def frequent_words(words: DataFrame) -> dict[str, int]:
-    """The LEXICON most frequent words of born-digital pages."""
-    top = words.filter(F.col("digital") >= 1).orderBy(F.desc("digital"), "word").limit(LEXICON)
-    return {r["word"]: r["digital"] for r in top.collect()}
+    """The LEXICON most frequent known words."""
+    top = words.orderBy(F.desc("n"), "word").limit(LEXICON)
+    return {r["word"]: r["n"] for r in top.collect()}
 
 
-def vectors(scanned: DataFrame, frequent: dict[str, int]) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of the frequent words, learned on the lines of all scanned pages."""
-    known = scanned.sparkSession.sparkContext.broadcast(frozenset(w for w, n in frequent.items() if w.isalpha()))
+def shares(counted: DataFrame) -> dict[str, float]:
+    """The words that are thinned out -> the share of their occurrences that is kept; at most 1 / THIN words."""
+    n = F.col("digital") + F.col("scanned")
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    common = {r["word"]: r["n"] for r in counted.select("word", n.alias("n")).filter((F.col("n") > THIN * total) & (F.col("n") > KEPT)).collect()}
+    return {w: max((THIN * total / n) ** 0.5, KEPT / n) for w, n in common.items()}
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"words": [[f for f in map(form, text.split()) if f in known.value] for text in batch["content"]]})
 
-    # the learner reads its input twice
-    sentences = checkpoint(scanned.select("content").mapInPandas(part, "words array<string>").filter(F.size("words") > 1))
+def sentences(pages: DataFrame, share: dict[str, float]) -> DataFrame:
+    """text: the words of each page, as they are counted, with blanks between; words that are everywhere are thinned out."""
+    thin = pages.sparkSession.sparkContext.broadcast(share)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = thin.value
+        for batch in batches:
+            out = []
+            for content in batch.column(0).to_pylist():
+                chance = random.Random(content).random
+                out.append(" ".join(f for f in map(form_of, content.split()) if f and (f not in share or chance() < share[f])))
+            yield pa.RecordBatch.from_pydict({"text": out}, schema=pa.schema([("text", pa.string())]))
+
+    return pages.select("content").filter(F.col("content").rlike(r"(?U)\S")).mapInArrow(part, "text string")
+
+
+def vectors(texts: DataFrame, counted: DataFrame) -> dict[str, np.ndarray]:
+    """Skip-gram vectors of the VOCABULARY most frequent words, learned on all texts; of length 1, their common part taken off."""
+    n = F.col("digital") + F.col("scanned")
+    least = counted.select(n.alias("n")).filter(F.col("n") >= LEARNED).orderBy(F.desc("n")).offset(VOCABULARY).limit(1).collect()
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    tasks = max(1, min(texts.rdd.getNumPartitions(), -(-total // LESSON)))
+    learner = Word2Vec(vectorSize=VECTOR, windowSize=REACH, minCount=least[0]["n"] + 1 if least else LEARNED, maxIter=PASSES, numPartitions=tasks, seed=1, inputCol="words", outputCol="vector")
     try:
-        model = Word2Vec(vectorSize=VECTOR, windowSize=REACH, minCount=LEARNED, maxIter=1, numPartitions=4, seed=1, inputCol="words", outputCol="vector").fit(sentences)
+        model = learner.fit(texts.select(F.split("text", " ").alias("words")))
     except Exception as error:  # too little text for a single word to be learned
         if "vocabulary size should be > 0" in str(error):
             return {}
         raise
-    return {r["word"]: np.array(r["vector"].toArray(), np.float32) for r in model.getVectors().collect()}
+    learned = model.getVectors().collect()
+    space = unit(np.array([r["vector"].toArray() for r in learned], np.float32))
+    return dict(zip((r["word"] for r in learned), unit(space - space.mean(axis=0)), strict=True))
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zeros stay zeros."""
+    length = np.linalg.norm(rows, axis=-1, keepdims=True)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+class Space:
+    """Where the words of a text stand: the mean of the vectors around each."""
+
+    def __init__(self, learned: dict[str, np.ndarray]):
+        self.at = {w: k for k, w in enumerate(learned)}
+        self.rows = np.vstack([*learned.values(), np.zeros((1, VECTOR), np.float32)]) if learned else np.zeros((1, VECTOR), np.float32)
+
+    def around(self, forms: list[str]) -> np.ndarray:
+        """For each word the direction of the words within REACH; zeros if none of them has a vector."""
+        at, last = self.at, len(self.rows) - 1
+        own = self.rows[[at.get(f, last) for f in forms]] if forms else np.zeros((0, VECTOR), np.float32)
+        before = np.vstack([np.zeros((1, VECTOR), np.float32), own.cumsum(axis=0)])
+        k = np.arange(len(forms))
+        return unit(before[np.minimum(k + REACH + 1, len(forms))] - before[np.maximum(k - REACH, 0)] - own)
+
+
+def profiles(texts: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
+    """word, profile: the mean place of each word over all texts, of length 1."""
+    names = [f"v{k}" for k in range(VECTOR)]
+    by = texts.sparkSession.sparkContext.broadcast(learned)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, number, sums = Space(by.value), {}, np.zeros((1024, VECTOR))
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"word": list(number), **{c: sums[: len(number), k] for k, c in enumerate(names)}})
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                forms = text.split(" ")
+                own = np.array([number.setdefault(f, len(number)) for f in forms])
+                if len(number) > len(sums):
+                    sums = np.vstack([sums, np.zeros((max(len(sums), len(number) - len(sums)), VECTOR))])
+                np.add.at(sums, own, space.around(forms))
+            if len(number) > 200_000:  # memory stays bounded
+                yield given()
+                number, sums = {}, np.zeros((1024, VECTOR))
+        if number:
+            yield given()
+
+    summed = texts.select("text").mapInArrow(part, "word string, " + ", ".join(f"{c} double" for c in names)).groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
+    length = F.sqrt(sum((F.col(c) * F.col(c) for c in names), F.lit(0.0)))
+    return summed.withColumn("_l", length).filter("word != '' and _l > 0").select("word", F.array(*((F.col(c) / F.col("_l")).cast("float") for c in names)).alias("profile"))
 
 
 def with_rare(there: DataFrame, words: DataFrame, shared: Broadcast) -> DataFrame:
-    """there with rare: how often born-digital pages have what a page asks for beyond the lexicon (null: the lexicon is all)."""
+    """there with rare: how often known words are what a page asks for beyond the lexicon (null: the lexicon is all)."""
     if len(shared.value) < LEXICON:
         return there.withColumn("rare", F.lit(None).cast("array<struct<key string, n long>>"))
 
@@ -412,84 +537,89 @@ def with_rare(there: DataFrame, words: DataFrame, shared: Broadcast) -> DataFram
                 rows += [(page, key) for key in sorted(reader.asked)]
             yield pd.DataFrame(rows, columns=["page_id", "key"])
 
-    digital = words.filter(F.col("digital") >= 1).select(F.col("word").alias("key"), F.col("digital").alias("n"))
-    compounds = digital.filter("instr(substring(key, 2, length(key) - 2), '-') > 0")
+    known = words.select(F.col("word").alias("key"), "n")
+    compounds = known.filter("instr(substring(key, 2, length(key) - 2), '-') > 0")
     firsts = compounds.groupBy(F.concat(F.substring_index("key", "-", 1), F.lit(Reader.BEGINS)).alias("key")).agg(F.sum("n").alias("n"))
     asked = there.select("page_id", "content", "gone").mapInPandas(part, "page_id string, key string")
-    rare = asked.join(digital.unionAll(firsts), "key").groupBy("page_id").agg(F.collect_list(F.struct("key", "n")).alias("rare"))
+    rare = asked.join(known.unionAll(firsts), "key").groupBy("page_id").agg(F.collect_list(F.struct("key", "n")).alias("rare"))
     return there.join(rare, "page_id", "left")
 
 
-def odd_words(scanned: DataFrame, gone: DataFrame, frequent: dict[str, int], words: DataFrame) -> DataFrame:
-    """Rows of broken words (kind hyphen) and odd words (kind word) of the pages' lines other than furniture."""
-    shared = scanned.sparkSession.sparkContext.broadcast(frequent)
+#: Steps of the nearness of known words to their profiles in which it is counted.
+STEPS = 400
+
+
+def odd_words(scanned: DataFrame, gone: DataFrame, frequent: dict[str, int], words: DataFrame, learned: dict[str, np.ndarray], near: dict[str, np.ndarray]) -> DataFrame:
+    """Rows of broken words (kind hyphen) and odd words (kind word) of the pages' lines other than furniture.
+
+    Also (kind fit) how many known words of a page are how near to their profile: line_no is the step, place the number.
+    Words that were thinned out before learning have their vectors shortened to the share that was kept.
+    """
+    context = scanned.sparkSession.sparkContext
+    shared, places, around_by = context.broadcast(frequent), context.broadcast(near), context.broadcast(learned)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(shared.value)
+        reader, space, place_of = Reader(shared.value), Space(around_by.value), places.value
+        known = {w: k for k, w in enumerate(place_of)}
+        profile = np.vstack(list(place_of.values())) if place_of else np.zeros((0, VECTOR), np.float32)
         for batch in batches:
-            rows = []
+            rows, fits = [], np.zeros(STEPS + 1, np.int64)
             for page, content, confidence, skip, rare in zip(batch["page_id"], batch["content"], batch["confidence"], batch["gone"], batch["rare"], strict=True):
                 reader.rare, reader.asked = {} if rare is None else {r["key"]: r["n"] for r in rare}, set()
-                broken, odd = reader.read(content, set() if skip is None else set(skip))
-                sure = per_line(confidence, content.count("\n") + 1, 1.0)
+                skip = set() if skip is None else set(skip)
+                broken, odd = reader.read(content, skip)
+                lines = [[] if k in skip else x.split() for k, x in enumerate(content.split("\n"))]
+                starts = np.cumsum([0, *map(len, lines)])
+                forms = [form(t) for x in lines for t in x]
+                around = space.around(forms)
+                at, of = np.array([(k, known[f]) for k, f in enumerate(forms) if f in known], np.int64).reshape(-1, 2).T
+                nearness = np.einsum("ij,ij->i", around[at], profile[of])[around[at].any(axis=1)]
+                fits += np.bincount(((nearness.clip(-1, 1) + 1) * STEPS / 2).astype(int), minlength=STEPS + 1)
+                sure = per_line(confidence, len(lines), 1.0)
                 rows += [(page, "hyphen", k, 0, start, after, 0, None, 1.0) for k, start, after in broken]
-                rows += [(page, "word", k, place, token, after, cut, near, sure[k] if after is None else min(sure[k], sure[after])) for k, place, token, after, cut, near in odd]
-            out = pd.DataFrame(rows, columns=["page_id", "kind", "line_no", "place", "token", "next_line", "cut", "near", "confidence"])
+                rows += [(page, "word", k, place, token, after, cut, around[starts[k] + place], sure[k] if after is None else min(sure[k], sure[after])) for k, place, token, after, cut in odd]
+            rows += [(None, "fit", int(k), int(fits[k]), None, None, 0, None, 1.0) for k in fits.nonzero()[0]]
+            out = pd.DataFrame(rows, columns=["page_id", "kind", "line_no", "place", "token", "next_line", "cut", "around", "confidence"])
             yield out.astype({"next_line": "Int64"})
 
     without = gone.groupBy("page_id").agg(F.collect_set("line_no").alias("gone"))
-    there = with_rare(scanned.join(small_side(without), "page_id", "left"), words, shared)
-    return there.mapInPandas(part, "page_id string, kind string, line_no int, place int, token string, next_line int, cut int, near array<string>, confidence double")
+    there = with_rare(scanned.join(without, "page_id", "left"), words, shared)
+    return there.mapInPandas(part, "page_id string, kind string, line_no int, place int, token string, next_line int, cut int, around array<float>, confidence double")
 
 
-def candidates(odd: DataFrame, words: DataFrame) -> DataFrame:
-    """token, meant: frequent words whose skeleton the token's skeleton meets."""
+def least_fit(odd: DataFrame) -> float:
+    """The nearness to their profiles that all but MISFIT of the known words of scanned pages reach; beyond any if none is near one."""
+    counts = {r["line_no"]: r["n"] for r in odd.filter("kind = 'fit'").groupBy("line_no").agg(F.sum("place").alias("n")).collect()}
+    total, below = sum(counts.values()), 0
+    for step in sorted(counts):
+        below += counts[step]
+        if below > MISFIT * total:
+            return 2 * step / STEPS - 1
+    return 2.0
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(w, key) for w in batch["word"] for key in skeleton_keys(w.strip(OUTER))], columns=["word", "key"])
-
-    tokens = odd.filter("kind = 'word'").select(F.col("token").alias("word")).distinct().mapInPandas(keys, "word string, key string").select(F.col("word").alias("token"), "key")
-    meant = words.filter(F.col("digital") >= FREQUENT).filter(F.length("word") > 1)
-    meant = meant.select("word").mapInPandas(keys, "word string, key string").select(F.col("word").alias("meant"), "key")
-    parts = int(odd.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work on each row
-    pairs = tokens.join(meant, "key").select("token", "meant").distinct().repartition(parts)
-    return pairs
 
-
-def corrections(odd: DataFrame, words: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
-    """The odd words that are misread, each with the word that was meant (null if none is plausible)."""
-    vector = odd.sparkSession.sparkContext.broadcast(learned)
-
-    def cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            costs = [edit_cost(t.strip(OUTER), m) for t, m in zip(batch["token"], batch["meant"], strict=True)]
-            kept = [c <= allowed(t) for c, t in zip(costs, batch["token"], strict=True)]
-            yield batch.assign(cost=costs)[kept]
+def corrections(odd: DataFrame, words: DataFrame, places: DataFrame) -> DataFrame:
+    """The odd words that are misread, each with the word that was meant: the best of its neighbours by plausible edits."""
+    least = least_fit(odd)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fits = []
-            for near, meant in zip(batch["near"], batch["meant"], strict=True):
-                own, around = vector.value.get(meant), [v for v in map(vector.value.get, near if near is not None else ()) if v is not None]
-                if own is None or not around:
-                    fits.append(0.0)
-                    continue
-                mean = np.mean(around, axis=0)
-                fits.append(float(own @ mean / (np.linalg.norm(own) * np.linalg.norm(mean) + 1e-9)))
-            yield batch.assign(score=-2.0 * batch["cost"] + np.log(batch["n"]) * 0.5 + np.array(fits)).drop(columns=["near", "n"])
-
-    links = candidates(odd, words).mapInPandas(cost, "token string, meant string, cost double")
-    links = checkpoint(links.join(words.select(F.col("word").alias("meant"), F.col("digital").alias("n")), "meant"))
+            if len(batch):
+                fit = np.einsum("ij,ij->i", np.stack(batch["around"].to_numpy()), np.stack(batch["profile"].to_numpy()))
+                scored = batch.assign(score=-2.0 * batch["cost"] + np.log(batch["n"]) * 0.5 + fit)[fit >= least]
+                yield scored[["page_id", "line_no", "place", "token", "meant", "cost", "score"]]
+
+    frequent = words.filter(F.col("n") >= FREQUENT)
+    links = linked(odd.filter("kind = 'word'").select(F.col("token").alias("word")), frequent)
+    known = frequent.join(places, "word").select(F.col("word").alias("meant"), "n", "profile")
+    links = checkpoint(links.join(known, "meant"))
     at = ["page_id", "line_no", "place"]
-    scored = odd.filter("kind = 'word'").join(links, "token").select(*at, "token", "near", "meant", "n", "cost").mapInPandas(score, "page_id string, line_no int, place int, token string, meant string, cost double, score double")
+    met = odd.filter("kind = 'word'").join(links, "token").select(*at, "token", "around", "meant", "n", "cost", "profile")
+    scored = met.mapInPandas(score, "page_id string, line_no int, place int, token string, meant string, cost double, score double")
     best = scored.groupBy(*at).agg(F.max_by(F.struct("meant", "cost"), F.struct("score", "meant")).alias("best"))
     # an edit that no glyphs explain counts only where the reading of the line was unsure
     plausible = (F.col("best.cost") < 2) | (F.col("confidence") < SURE)
-    # words that some scanned and no digital page has, and that nothing frequent is like, may be right
-    misread = F.col("meant").isNotNull() | F.col("token").rlike(r"[~*^`!¬=\\_]|\p{L}\|\p{L}|\p{L}\d\p{L}|\p{Ll}[(\[{]\p{Ll}")
-    linked = odd.filter("kind = 'word'").join(best, at, "left").withColumn("meant", F.when(plausible, F.col("best.meant"))).drop("best")
-    return linked.filter(misread)
+    return odd.filter("kind = 'word'").drop("around").join(best, at).filter(plausible).withColumn("meant", F.col("best.meant")).drop("best")
 
 
 def defects(pages: DataFrame) -> DataFrame:
@@ -498,8 +628,8 @@ def defects(pages: DataFrame) -> DataFrame:
     broken, wrong = parts["odd"].filter("kind = 'hyphen'"), parts["wrong"]
     first = F.substring("token", F.lit(1), F.col("cut"))
     # of a word on two lines the error is where the meant word differs
-    head = F.col("next_line").isNull() | F.col("meant").isNull() | (F.lower(first) != F.substring("meant", F.lit(1), F.col("cut")))
-    tail = F.col("next_line").isNotNull() & F.col("meant").isNotNull() & ~F.expr("endswith(meant, lower(substring(token, cut + 1)))")
+    head = F.col("next_line").isNull() | (F.lower(first) != F.substring("meant", F.lit(1), F.col("cut")))
+    tail = F.col("next_line").isNotNull() & ~F.expr("endswith(meant, lower(substring(token, cut + 1)))")
     chars = wrong.select("page_id", F.explode(F.array_compact(F.array(F.when(head, F.col("line_no")), F.when(tail, F.col("next_line"))))).alias("line_no"))
     rows = parts["furniture"].unionAll(broken.select("page_id", "line_no", F.lit("hyphen").alias("defect"))).unionAll(chars.select("page_id", "line_no", F.lit("char").alias("defect")))
     return rows.distinct()
@@ -507,19 +637,25 @@ def defects(pages: DataFrame) -> DataFrame:
 
 def analysed(pages: DataFrame) -> dict[str, DataFrame]:
     """The parts of the analysis: scanned pages, furniture, broken and odd words, misread words."""
-    words = checkpoint(count_words(pages))
+    counted = checkpoint(count_words(pages))
+    words = checkpoint(known_words(counted))
     frequent = frequent_words(words)
+    share = shares(counted)
+    texts = checkpoint(sentences(pages, share))
+    learned = vectors(texts, counted)
+    places = checkpoint(profiles(texts, learned))
+    top = words.orderBy(F.desc("n"), "word").limit(LEXICON).join(places, "word")
+    near = {r["word"]: np.array(r["profile"], np.float32) for r in top.select("word", "profile").toLocalIterator()}
     scanned = checkpoint(read_pages(pages))
     gone = checkpoint(header_lines(scanned, pages))
-    odd = checkpoint(odd_words(scanned, gone, frequent, words))
-    wrong = corrections(odd, words, vectors(scanned, frequent))
-    return {"scanned": scanned, "furniture": gone, "odd": odd, "wrong": wrong}
+    odd = checkpoint(odd_words(scanned, gone, frequent, words, {w: v * share.get(w, 1.0) for w, v in learned.items()}, near))
+    return {"scanned": scanned, "furniture": gone, "odd": odd, "wrong": corrections(odd, words, places)}
 
 
 def repaired(pages: DataFrame) -> DataFrame:
     """page_id, text: scanned pages as paragraphs, with broken words whole, misread words right and furniture gone."""
     parts = analysed(pages)
-    fixes = parts["wrong"].filter("meant is not null").groupBy("page_id").agg(F.collect_list(F.struct("line_no", "place", "token", "next_line", "meant")).alias("fixes"))
+    fixes = parts["wrong"].groupBy("page_id").agg(F.collect_list(F.struct("line_no", "place", "token", "next_line", "meant")).alias("fixes"))
     joins = parts["odd"].filter("kind = 'hyphen'").groupBy("page_id").agg(F.collect_list(F.struct("line_no", "next_line")).alias("joins"))
     gone = parts["furniture"].groupBy("page_id").agg(F.collect_set("line_no").alias("gone"))
 

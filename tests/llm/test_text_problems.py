@@ -102,6 +102,33 @@ def test_defects_of_scanned_lines(spark):
     assert got == want
 
 
+def test_without_vectors_no_word_is_linked(spark, monkeypatch):
+    taken = lambda: {(r["page_id"], r["line_no"]) for r in scan_noise.defects(scanned_library(spark)).filter("defect = 'char'").collect()}
+    assert taken()
+    monkeypatch.setattr(scan_noise, "vectors", lambda texts, counted: {})
+    assert not taken()
+
+
+def test_a_rare_word_in_other_company_is_left(spark):
+    rng = random.Random(3)
+    towns, parts, does = "Tamor Selin Vorag Belun".split(), "valve reef coil lathe piston".split(), "turns drives cools heats".split()
+    travel = lambda: f"we went from {rng.choice(towns)} to {rng.choice(towns)} by night train and slept"
+    works = lambda w=None: f"each {rng.choice(parts)} {rng.choice(does)} one {w or rng.choice([*parts, 'castor'])} while oil runs"
+    rows = [(f"n-{k}", f"n{k}", 1, " ".join((travel, works)[k % 2]() for _ in range(16)), None, "text", 1, "x") for k in range(200)]
+    around = lambda say, x: " ".join([say(), say(), x, say(), say()])
+    texts = {"o-1": around(works, works("castcr")), "o-2": around(travel, "we went from Castcr to Selin by night train and slept")}
+    rows += [(i, "o", 1, t, blocks(t, 0.7), "ocr", 1, "x") for i, t in texts.items()]
+    rows += [(f"q-{k}", f"q{k}", 1, t := around((travel, works)[k % 2], (travel, works)[k % 2]()), blocks(t, 0.95), "ocr", 1, "x") for k in range(40)]
+    assert {r["page_id"] for r in scan_noise.defects(spark.createDataFrame(rows, PAGES)).filter("defect = 'char'").collect()} == {"o-1"}
+
+
+def test_scans_alone_are_repaired(spark):
+    text = "The sensor describes a wireless camera. When the camera fails, the second sensor follows it at once."
+    worse = text.replace("wireless", "wire~less").replace("second", "sec0nd")
+    rows = [(f"s-{k}", f"s{k}", 1, t := worse if k == 7 else text, blocks(t, 0.7), "ocr", 1, "x") for k in range(40)]
+    assert [tuple(r) for r in scan_noise.defects(spark.createDataFrame(rows, PAGES)).collect()] == [("s-7", 0, "char")]
+
+
 def test_repaired_pages_are_paragraphs(spark):
     got = {r["page_id"]: r["text"] for r in scan_noise.repaired(scanned_library(spark)).collect()}
     assert got["s-2"] == "The proposed sensor describes a wireless classifier. When the long-term camera fails, the second quarter follows."
