@@ -26,6 +26,8 @@ TOKENIZER = os.environ.get("FOLIANT_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.ti
 # Fixed value: how texts are split before the merges of this vocabulary apply.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GROUP, SEED = 4096, 6
+#: Tasks among which the groups are dealt at most.
+PARTS = 10_000
 _encodings: dict[str, object] = {}
 
 
@@ -121,4 +123,20 @@ def packed(documents: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
         return pd.DataFrame(out, columns=["window_id", "id", "part", "first_token", "n_tokens", "bin_id"])
 
     sized = token_counts(documents, id_col, text_col, tokenizer).withColumn("group", F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(groups)))
-    return sized.groupBy("group").applyInPandas(pack, f"window_id int, id {kind}, part int, first_token long, n_tokens long, bin_id long").withColumnRenamed("id", id_col)
+    # few bytes, but much work: a number of parts that is not merged by bytes
+    spread = sized.repartition(min(groups, PARTS), "group")
+    return spread.groupBy("group").applyInPandas(pack, f"window_id int, id {kind}, part int, first_token long, n_tokens long, bin_id long").withColumnRenamed("id", id_col)
+
+
+def fill(placed: DataFrame, windows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """window_id, bins, least_bins, texts, gaps, overfull, waste: what a packing must keep to, and the share of room it leaves unused.
+
+    least_bins is what the tokens alone would fill; gaps counts texts whose parts do not make up the text; overfull is
+    whether any bin holds more than the window.
+    """
+    room = windows.select("window_id", "capacity_tokens").distinct()
+    per_bin = placed.groupBy("window_id", "bin_id").agg(F.sum("n_tokens").alias("n")).groupBy("window_id").agg(F.count("*").alias("bins"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"))
+    parts = placed.groupBy("window_id", id_col).agg(F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count("*").alias("parts"), F.countDistinct("part").alias("different"))
+    per_text = parts.groupBy("window_id").agg(F.count("*").alias("texts"), F.count_if((F.col("n") != F.col("end")) | (F.col("parts") != F.col("different"))).alias("gaps"))
+    waste = 1 - F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))
+    return per_bin.join(per_text, "window_id").join(F.broadcast(room), "window_id").select("window_id", "bins", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_bins"), "texts", "gaps", waste.alias("waste"), (F.col("fullest") > F.col("capacity_tokens")).alias("overfull"))
