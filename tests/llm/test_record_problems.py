@@ -99,15 +99,28 @@ def test_long_chains_are_one_component(spark):
 
 def test_a_hot_shard_is_divided_without_loss(spark):
     rng = random.Random(4)
-    rows = [(1, k, rng.getrandbits(62)) for k in range(200)] + [(2, 1000, 5), (2, 1001, 4)]
-    df = spark.createDataFrame(rows, "shard long, key long, fingerprint long")
+    rows = [(1, k.to_bytes(16), rng.getrandbits(62)) for k in range(200)] + [(2, (1000).to_bytes(16), 5), (2, (1001).to_bytes(16), 4)]
+    df = spark.createDataFrame(rows, "shard long, key binary, fingerprint long")
     hot = spark.createDataFrame([(1, 3)], "shard long, parts int")
     most = 26
-    got = {(r["a"], r["b"]) for r in near_duplicates.tree_pairs(near_duplicates.divided(df, hot), most).collect()}
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in near_duplicates.tree_pairs(near_duplicates.divided(df, hot), most).collect()}
     want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and (a[2] ^ b[2]).bit_count() <= most}
     assert got == want
 
 
+def test_shards_divided_by_further_values_lose_nothing(spark, monkeypatch):
+    rows = editions(5)
+    df = spark.createDataFrame(rows, "id string, content string")
+    taken = lambda: {(r["id_a"], r["id_b"]) for r in near_duplicates.near_duplicates(df).collect()}
+    whole = taken()
+    monkeypatch.setattr(near_duplicates, "HOT_ROWS", 0)
+    monkeypatch.setattr(near_duplicates, "SAMPLE", 1)
+    assert len(whole & taken()) >= 0.99 * len(whole)
+    monkeypatch.setattr(near_duplicates, "HOT_SHARDS", 0)
+    monkeypatch.setattr(near_duplicates, "TREE_ROWS", 2)
+    assert taken() == whole
+
+
 def test_bk_tree_equals_a_scan():
     rng = random.Random(0)
     prints = [rng.getrandbits(64) for _ in range(300)]
@@ -155,6 +168,25 @@ def test_windows_hold_every_token_once(spark):
     assert totals == {k: len(encode(t)) if t else 0 for k, t, _ in rows}
     assert max(bins.values()) <= 64 and {r["window_id"] for r in got} == {1}
     assert packing.packed(df.limit(0), windows).count() == 0
+    kept = packing.fill(packing.packed(df, windows, group=20), windows).first()
+    assert kept["texts"] == 63 and kept["gaps"] == 0 and not kept["overfull"] and kept["bins"] <= 1.05 * kept["least_bins"] + 4
+
+
+def test_nearly_no_room_is_wasted(spark):
+    pytest.importorskip("tiktoken")
+    rng = random.Random(2)
+    df = spark.createDataFrame([(k, "valve " * int(rng.lognormvariate(4, 1.2))) for k in range(4000)], "doc_id long, text string")
+    windows = spark.createDataFrame([(1, 512), (2, 2048)], "window_id int, capacity_tokens int")
+    assert all(r["waste"] < 0.01 for r in packing.fill(packing.packed(df, windows), windows).collect())
+
+
+def test_documents_of_all_sizes_meet_their_items():
+    rng = random.Random(8)
+    items = [(k, [f"w{rng.randrange(400)}" for _ in range(40)]) for k in range(30)]
+    index = leakage.Items(items)
+    for n in (1, 3, 30):  # one passage alone, several items, all of them and much else
+        text = " ".join(" ".join([f"x{rng.random()}", *w[5:17]]) for _, w in items[:n]) + " plain" * 10 * n
+        assert {i for _, i in index.search([text, None, "plain"])} == set(range(n))
 
 
 # --- leaks -------------------------------------------------------------------------------------------------------
