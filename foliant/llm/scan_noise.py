@@ -42,14 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.lookalikes import BLANKS, HOMOGLYPHS, INVISIBLE, plain
-from foliant.runtime import checkpoint, small_side
+from foliant.runtime import checkpoint
 
 #: The most frequent words, which go to all tasks (rarer ones are joined); how often a word must occur to be linked to.
 LEXICON, FREQUENT = 100_000, 2
 #: How often a word that only scanned pages have must occur to be known, and how much more often what it could be a misreading of.
 SETTLED, RATIO = 20, 10
 #: Skip-gram vectors: their length, the window, passes over the text, how often a word must occur to have one, words that have one at most.
-VECTOR, REACH, PASSES, LEARNED, VOCABULARY = 16, 4, 2, 5, 100_000
+VECTOR, REACH, PASSES, LEARNED, VOCABULARY = 16, 4, 1, 5, 100_000
 #: Words that make up more than this share of all text are thinned out before learning, but never below so many occurrences.
 THIN, KEPT = 3e-5, 200
 #: Words of text that one task learns from, before the tasks' vectors are averaged.
@@ -94,6 +94,7 @@ def form_of(token: str) -> str:
     return form(ordinary(token))
 
 
+@lru_cache(maxsize=1 << 17)
 def form(token: str) -> str:
     """How a word is counted: without outer punctuation, in lower case, digits of codes and amounts as 0."""
     word = token.strip(OUTER).lower()
@@ -307,9 +308,9 @@ def header_lines(scanned: DataFrame, pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(sorted(rows, key=str), columns=["key", "document_id"])
 
     digital = pages.filter("source_type = 'text' and content is not null").select("document_id", "content", F.col("blocks.is_heading").alias("heading"))
-    elsewhere = digital.mapInPandas(site, "key string, document_id string").join(small_side(titles.select(F.col("key")).distinct()), "key", "left_semi")
+    elsewhere = digital.mapInPandas(site, "key string, document_id string").join(titles.select("key").distinct(), "key", "left_semi")
     shared = elsewhere.groupBy("key").agg(F.countDistinct("document_id").alias("n")).filter("n >= 2").select("key")
-    own = checkpoint(titles.join(small_side(shared), "key", "left_anti"))
+    own = checkpoint(titles.join(shared, "key", "left_anti"))
     repeated = checkpoint(own.groupBy("document_id", "key").agg(F.countDistinct("page_id").alias("n")))
     # misread copies of any line that the document repeats
     single = own.filter("not strong").join(repeated.filter("n = 1"), ["document_id", "key"])
@@ -423,16 +424,15 @@ def known_words(counted: DataFrame) -> DataFrame:
     return counted.filter("digital >= 1").select("word", F.col("digital").alias("n")).unionAll(settled)
 
 
-def frequent_words(words: DataFrame) -> dict[str, int]:
-    """The LEXICON most frequent known words."""
-    top = words.orderBy(F.desc("n"), "word").limit(LEXICON)
-    return {r["word"]: r["n"] for r in top.collect()}
+def frequent_words(words: DataFrame, places: DataFrame) -> tuple[dict[str, int], dict[str, np.ndarray]]:
+    """The LEXICON most frequent known words, with their counts and, as far as they have one, their profiles."""
+    top = words.orderBy(F.desc("n"), "word").limit(LEXICON).join(places, "word", "left").collect()
+    return {r["word"]: r["n"] for r in top}, {r["word"]: np.array(r["profile"], np.float32) for r in top if r["profile"] is not None}
 
 
-def shares(counted: DataFrame) -> dict[str, float]:
+def shares(counted: DataFrame, total: int) -> dict[str, float]:
     """The words that are thinned out -> the share of their occurrences that is kept; at most 1 / THIN words."""
     n = F.col("digital") + F.col("scanned")
-    total = counted.agg(F.sum(n)).first()[0] or 0
     common = {r["word"]: r["n"] for r in counted.select("word", n.alias("n")).filter((F.col("n") > THIN * total) & (F.col("n") > KEPT)).collect()}
     return {w: max((THIN * total / n) ** 0.5, KEPT / n) for w, n in common.items()}
 
@@ -453,13 +453,20 @@ def sentences(pages: DataFrame, share: dict[str, float]) -> DataFrame:
     return pages.select("content").filter(F.col("content").rlike(r"(?U)\S")).mapInArrow(part, "text string")
 
 
-def vectors(texts: DataFrame, counted: DataFrame) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of the VOCABULARY most frequent words, learned on all texts; of length 1, their common part taken off."""
+def sizes(counted: DataFrame) -> tuple[int, int]:
+    """How many words of text there are, and how many different ones that occur LEARNED times."""
     n = F.col("digital") + F.col("scanned")
-    least = counted.select(n.alias("n")).filter(F.col("n") >= LEARNED).orderBy(F.desc("n")).offset(VOCABULARY).limit(1).collect()
-    total = counted.agg(F.sum(n)).first()[0] or 0
+    got = counted.agg(F.sum(n).alias("words"), F.count_if(n >= LEARNED).alias("learned")).first()
+    return got["words"] or 0, got["learned"]
+
+
+def vectors(texts: DataFrame, counted: DataFrame, total: int, different: int) -> dict[str, np.ndarray]:
+    """Skip-gram vectors of the VOCABULARY most frequent words, learned on all texts; of length 1, their common part taken off."""
+    least = LEARNED
+    if different > VOCABULARY:
+        least = counted.select((F.col("digital") + F.col("scanned")).alias("n")).orderBy(F.desc("n")).offset(VOCABULARY).limit(1).first()["n"] + 1
     tasks = max(1, min(texts.rdd.getNumPartitions(), -(-total // LESSON)))
-    learner = Word2Vec(vectorSize=VECTOR, windowSize=REACH, minCount=least[0]["n"] + 1 if least else LEARNED, maxIter=PASSES, numPartitions=tasks, seed=1, inputCol="words", outputCol="vector")
+    learner = Word2Vec(vectorSize=VECTOR, windowSize=REACH, minCount=least, maxIter=PASSES, numPartitions=tasks, seed=1, inputCol="words", outputCol="vector")
     try:
         model = learner.fit(texts.select(F.split("text", " ").alias("words")))
     except Exception as error:  # too little text for a single word to be learned
@@ -478,19 +485,27 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 class Space:
-    """Where the words of a text stand: the mean of the vectors around each."""
+    """Where the words of texts stand: the mean of the vectors around each."""
 
     def __init__(self, learned: dict[str, np.ndarray]):
         self.at = {w: k for k, w in enumerate(learned)}
         self.rows = np.vstack([*learned.values(), np.zeros((1, VECTOR), np.float32)]) if learned else np.zeros((1, VECTOR), np.float32)
 
-    def around(self, forms: list[str]) -> np.ndarray:
-        """For each word the direction of the words within REACH; zeros if none of them has a vector."""
-        at, last = self.at, len(self.rows) - 1
-        own = self.rows[[at.get(f, last) for f in forms]] if forms else np.zeros((0, VECTOR), np.float32)
-        before = np.vstack([np.zeros((1, VECTOR), np.float32), own.cumsum(axis=0)])
-        k = np.arange(len(forms))
-        return unit(before[np.minimum(k + REACH + 1, len(forms))] - before[np.maximum(k - REACH, 0)] - own)
+    def around(self, texts: list[list[str]]) -> np.ndarray:
+        """For each word of each text the direction of the words within REACH; zeros if none of them has a vector."""
+        get, none = self.at.get, len(self.rows) - 1
+        gap = [none] * REACH
+        codes, own, at = list(gap), [], REACH
+        for text in texts:
+            codes += [get(f, none) for f in text]
+            codes += gap
+            own.append(np.arange(at, at + len(text)))
+            at += len(text) + REACH
+        if not own:
+            return np.zeros((0, VECTOR), np.float32)
+        vectors, k = self.rows[codes], np.concatenate(own)
+        before = np.vstack([np.zeros((1, VECTOR)), vectors.cumsum(axis=0, dtype=np.float64)])
+        return unit((before[k + REACH + 1] - before[k - REACH] - vectors[k]).astype(np.float32))
 
 
 def profiles(texts: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
@@ -505,12 +520,14 @@ def profiles(texts: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
             return pa.RecordBatch.from_pydict({"word": list(number), **{c: sums[: len(number), k] for k, c in enumerate(names)}})
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                forms = text.split(" ")
-                own = np.array([number.setdefault(f, len(number)) for f in forms])
+            for at in range(0, batch.num_rows, 500):
+                split = [t.split(" ") for t in batch.column(0).slice(at, 500).to_pylist()]
+                own = np.array([number.setdefault(f, len(number)) for forms in split for f in forms])
                 if len(number) > len(sums):
                     sums = np.vstack([sums, np.zeros((max(len(sums), len(number) - len(sums)), VECTOR))])
-                np.add.at(sums, own, space.around(forms))
+                there = space.around(split)
+                for k in range(VECTOR):
+                    sums[: len(number), k] += np.bincount(own, there[:, k], len(number))
             if len(number) > 200_000:  # memory stays bounded
                 yield given()
                 number, sums = {}, np.zeros((1024, VECTOR))
@@ -562,19 +579,21 @@ def odd_words(scanned: DataFrame, gone: DataFrame, frequent: dict[str, int], wor
         reader, space, place_of = Reader(shared.value), Space(around_by.value), places.value
         known = {w: k for k, w in enumerate(place_of)}
         profile = np.vstack(list(place_of.values())) if place_of else np.zeros((0, VECTOR), np.float32)
-        for batch in batches:
+        for batch in (b.iloc[at : at + 500] for b in batches for at in range(0, len(b), 500)):
             rows, fits = [], np.zeros(STEPS + 1, np.int64)
-            for page, content, confidence, skip, rare in zip(batch["page_id"], batch["content"], batch["confidence"], batch["gone"], batch["rare"], strict=True):
+            gone = [set() if skip is None else set(skip) for skip in batch["gone"]]
+            split = [[[] if k in skip else x.split() for k, x in enumerate(content.split("\n"))] for content, skip in zip(batch["content"], gone, strict=True)]
+            forms = [[form(t) for x in lines for t in x] for lines in split]
+            around = space.around(forms)
+            at, of = np.array([(k, known[f]) for k, f in enumerate(f for text in forms for f in text) if f in known], np.int64).reshape(-1, 2).T
+            nearness = np.einsum("ij,ij->i", around[at], profile[of])[around[at].any(axis=1)]
+            fits += np.bincount(((nearness.clip(-1, 1) + 1) * STEPS / 2).astype(int), minlength=STEPS + 1)
+            first = 0
+            for page, content, confidence, skip, rare, lines in zip(batch["page_id"], batch["content"], batch["confidence"], gone, batch["rare"], split, strict=True):
                 reader.rare, reader.asked = {} if rare is None else {r["key"]: r["n"] for r in rare}, set()
-                skip = set() if skip is None else set(skip)
                 broken, odd = reader.read(content, skip)
-                lines = [[] if k in skip else x.split() for k, x in enumerate(content.split("\n"))]
-                starts = np.cumsum([0, *map(len, lines)])
-                forms = [form(t) for x in lines for t in x]
-                around = space.around(forms)
-                at, of = np.array([(k, known[f]) for k, f in enumerate(forms) if f in known], np.int64).reshape(-1, 2).T
-                nearness = np.einsum("ij,ij->i", around[at], profile[of])[around[at].any(axis=1)]
-                fits += np.bincount(((nearness.clip(-1, 1) + 1) * STEPS / 2).astype(int), minlength=STEPS + 1)
+                starts = np.cumsum([first, *map(len, lines)])
+                first = starts[-1]
                 sure = per_line(confidence, len(lines), 1.0)
                 rows += [(page, "hyphen", k, 0, start, after, 0, None, 1.0) for k, start, after in broken]
                 rows += [(page, "word", k, place, token, after, cut, around[starts[k] + place], sure[k] if after is None else min(sure[k], sure[after])) for k, place, token, after, cut in odd]
@@ -639,13 +658,12 @@ def analysed(pages: DataFrame) -> dict[str, DataFrame]:
     """The parts of the analysis: scanned pages, furniture, broken and odd words, misread words."""
     counted = checkpoint(count_words(pages))
     words = checkpoint(known_words(counted))
-    frequent = frequent_words(words)
-    share = shares(counted)
+    total, different = sizes(counted)
+    share = shares(counted, total)
     texts = checkpoint(sentences(pages, share))
-    learned = vectors(texts, counted)
+    learned = vectors(texts, counted, total, different)
     places = checkpoint(profiles(texts, learned))
-    top = words.orderBy(F.desc("n"), "word").limit(LEXICON).join(places, "word")
-    near = {r["word"]: np.array(r["profile"], np.float32) for r in top.select("word", "profile").toLocalIterator()}
+    frequent, near = frequent_words(words, places)
     scanned = checkpoint(read_pages(pages))
     gone = checkpoint(header_lines(scanned, pages))
     odd = checkpoint(odd_words(scanned, gone, frequent, words, {w: v * share.get(w, 1.0) for w, v in learned.items()}, near))

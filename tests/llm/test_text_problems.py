@@ -105,7 +105,7 @@ def test_defects_of_scanned_lines(spark):
 def test_without_vectors_no_word_is_linked(spark, monkeypatch):
     taken = lambda: {(r["page_id"], r["line_no"]) for r in scan_noise.defects(scanned_library(spark)).filter("defect = 'char'").collect()}
     assert taken()
-    monkeypatch.setattr(scan_noise, "vectors", lambda texts, counted: {})
+    monkeypatch.setattr(scan_noise, "vectors", lambda *_: {})
     assert not taken()
 
 
