@@ -82,6 +82,11 @@ def test_site_lines_equal_the_plain_count(spark):
     assert site_lines.site_lines(df.limit(0), docs).count() == 0
 
 
+def test_a_hot_leaf_is_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(site_lines, "HOT", 2)
+    test_site_lines_equal_the_plain_count(spark)
+
+
 # --- scanned pages -----------------------------------------------------------------------------------------------
 
 
