@@ -1,8 +1,12 @@
 """Problem 2: one form for text that looks the same.
 
 Units are code points and composable sequences (a letter with combining marks). Units drawn alike are joined, over
-any number of steps, by union-find; each class is represented by its most frequent unit in the corpus; a
-multi-pattern automaton rewrites the text greedily from the left, longest match first.
+any number of steps, by union-find; a class is represented by its most frequent unit in the corpus, for each script of
+its letters apart; a multi-pattern automaton rewrites the text greedily from the left, longest match first.
+
+A letter is rewritten within its own script, and into another only in a word of letters of several scripts: there into
+the script of the letters that no other script has, else into that of most letters, else into the corpus's own. So no
+letter of a word's own script ever changes its script, whatever script the corpus has most of.
 
 Both passes are narrow (no shuffle of text). What reaches the driver is the census of distinct units, bounded by
 Unicode itself: single code points, and sequences only where a precomposed form exists.
@@ -17,6 +21,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -25,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-# Letters of other scripts, and rare Latin letters, drawn like a Latin letter.
+# Letters of other scripts drawn like a Latin letter.
 HOMOGLYPHS = dict(
     zip(
-        "аеорсухіѕјһԁԛԝАВЕЅІЈКМНОРСТХҮοοΑΒΕΖΗΙΚΜΝΟΡΤΥΧνօսհոɡɑı",
-        "aeopcyxisjhdqwABESIJKMHOPCTXYooABEZHIKMNOPTYXvouhngai",
+        "аеорсухіѕјһԁԛԝАВЕЅІЈКМНОРСТХҮοΑΒΕΖΗΙΚΜΝΟΡΤΥΧνօսհո",
+        "aeopcyxisjhdqwABESIJKMHOPCTXYoABEZHIKMNOPTYXvouhn",
         strict=True,
     )
 )
@@ -94,14 +99,34 @@ def partners(unit: str) -> list[str]:
         return [""]
     if unit in BLANKS:
         return [" "]
-    return [plain(unit), HOMOGLYPHS.get(unit, unit)]
+    return [plain(unit), HOMOGLYPHS.get(unit, unit), unicodedata.normalize("NFC", unit)]
+
+
+#: Letters that have a look-alike in another script.
+AMBIGUOUS = frozenset(HOMOGLYPHS) | frozenset(HOMOGLYPHS.values())
 
 
-def representatives(census: dict[str, int]) -> dict[str, str]:
-    """Each unit that must change -> its class's most frequent unit (ties: the least code point).
+@cache
+def script(unit: str) -> str:
+    """The script of a letter, in its ordinary form; nothing for what is no letter."""
+    char = plain(unit[0])[0] if unit else ""
+    return unicodedata.name(char, "").partition(" ")[0] if char.isalpha() else ""
 
-    The class of invisible characters is represented by the empty string, which stands between any two characters.
+
+class Forms(dict):
+    """Each unit that must change within its script -> its class's most frequent unit of that script (ties: the least code point).
+
+    across: each letter that other scripts have too -> script -> the class's most frequent letter of it. usual: the
+    script that the corpus has most of; foreign: the letters of other scripts that share letters. The class of invisible characters is represented by the empty string, which
+    stands between any two characters.
     """
+
+    across: dict[str, dict[str, str]]
+    usual: str
+    foreign: frozenset[str]
+
+
+def representatives(census: dict[str, int]) -> Forms:
     parent: dict[str, str] = {}
 
     def root(x: str) -> str:
@@ -118,12 +143,21 @@ def representatives(census: dict[str, int]) -> dict[str, str]:
             if y != x and root(x) != root(y):
                 parent[root(x)] = root(y)
                 todo.append(y)
-    best: dict[str, str] = {}
+    best: dict[str, dict[str, str]] = {}
     rank = lambda u: (u != "", -census.get(u, 0), len(u), u)
     for unit in parent:
-        r = root(unit)
-        best[r] = min(best.get(r, unit), unit, key=rank)
-    return {u: best[root(u)] for u in parent if u and best[root(u)] != u}
+        own = best.setdefault(root(unit), {})
+        own[script(unit)] = min(own.get(script(unit), unit), unit, key=rank)
+    forms = Forms((u, to) for u in parent if u and (to := best[root(u)][script(u)]) != u)
+    forms.across = {u: best[root(u)] for u in parent if u in AMBIGUOUS and len(best[root(u)]) > 1}
+    counts = Counter()
+    for unit, n in census.items():
+        counts[script(unit)] += n
+    del counts[""]
+    forms.usual = max(sorted(counts), key=lambda k: counts[k], default="LATIN")
+    sharing = {script(u) for u in forms.across} - {forms.usual}
+    forms.foreign = frozenset(u for u in census if len(u) == 1 and script(u) in sharing and plain(u) == u)
+    return forms
 
 
 def census(texts: DataFrame, column: str) -> dict[str, int]:
@@ -139,31 +173,64 @@ def census(texts: DataFrame, column: str) -> dict[str, int]:
 
 
 class Rewriter:
-    """Rewrites texts by an automaton over the units that must change."""
+    """Rewrites texts by an automaton over the units that must change, and the letters of other scripts than the usual."""
 
-    def __init__(self, table: dict[str, str]):
+    def __init__(self, forms: Forms):
+        self.forms = forms
+        self.foreign = forms.foreign
         self.machine = ahocorasick.Automaton()
-        for unit, to in table.items():
-            self.machine.add_word(unit, (unit, to))
-        self.empty = not table
-        if table:
+        for unit in forms.keys() | self.foreign:
+            self.machine.add_word(unit, unit)
+        self.empty = not len(self.machine)
+        if not self.empty:
             self.machine.make_automaton()
+        self.any_foreign = re.compile(f"[{''.join(map(re.escape, sorted(self.foreign)))}]") if self.foreign else None
+
+    def units(self) -> set[str]:
+        """The units whose last character a text must have to change at all."""
+        return self.forms.keys() | self.foreign
 
     def __call__(self, text: str) -> str:
         if self.empty:
             return text
+        mixed = bool(self.any_foreign and self.any_foreign.search(text))
         out, at, word = [], 0, None
-        for end, (unit, to) in self.machine.iter_long(text):
+        for end, unit in self.machine.iter_long(text):
             start = end + 1 - len(unit)
-            if unit in HOMOGLYPHS or unit in INVISIBLE:
+            if start < at:
+                continue
+            if mixed or unit in INVISIBLE:
                 if word is None or not word.start() <= start < word.end():
                     word = EXTENT.search(text, self._left(text, start))
-                if word and not self._latin(word.group(), unit in INVISIBLE):
+                inside = word is not None and word.start() <= start < word.end()
+                if inside and mixed and (to := self.word_script(word.group())):
+                    out += [text[at : word.start()], self.brought(word.group(), to)]
+                    at = word.end()
                     continue
-            out += [text[at:start], to]
-            at = end + 1
+                if unit in INVISIBLE and inside and not self._droppable(word.group()):
+                    continue
+            if unit in self.forms:
+                out += [text[at:start], self.forms[unit]]
+                at = end + 1
         return "".join(out) + text[at:] if out else text
 
+    def word_script(self, word: str) -> str | None:
+        """The script that a word of letters of several scripts belongs to; none if it has but one."""
+        letters = [plain(c)[0] for c in word if c.isalpha() and c not in INVISIBLE]
+        every = Counter(map(script, letters))
+        if len(every) < 2:
+            return None
+        sure = Counter(script(c) for c in letters if c not in AMBIGUOUS) or every
+        most = max(sure.values())
+        tied = sorted(k for k, n in sure.items() if n == most)
+        return self.forms.usual if self.forms.usual in tied else tied[0]
+
+    def brought(self, word: str, to: str) -> str:
+        """The word with its letters in one script, as far as they have a form there, and in the ordinary form."""
+        letters = (self.forms.get(c, c) for c in word)
+        joined = unicodedata.normalize("NFC", "".join(letters))
+        return "".join(self.forms.across.get(c, {}).get(to, c) for c in joined)
+
     @staticmethod
     def _left(text: str, at: int) -> int:
         while at > 0 and EXTENT.fullmatch(text[at - 1]):
@@ -171,35 +238,32 @@ class Rewriter:
         return at
 
     @staticmethod
-    def _latin(word: str, invisible: bool) -> bool:
-        """Whether a word has a Latin letter: words wholly in another script are left as they are.
-
-        Joiners belong to the spelling of scripts that need them, so an invisible character stays only in a word of
-        letters that are neither Latin, Greek nor Cyrillic.
-        """
+    def _droppable(word: str) -> bool:
+        """Whether invisible characters go from a word: joiners belong to the spelling of scripts that need them, so they
+        stay in a word of letters that are neither Latin, Greek nor Cyrillic."""
         letters = [c for c in word if c.isalpha() and c not in INVISIBLE]
-        if not letters and not any(c.isdigit() for c in word):
-            return invisible
-        names = ["LATIN" if c.isascii() else unicodedata.name(plain(c)[0], "") for c in letters]
-        known = ("LATIN", "GREEK", "CYRILLIC") if invisible else ("LATIN",)
-        return any(n.startswith(known) for n in names) or invisible and not letters
+        return not letters or any(script(c) in ("LATIN", "GREEK", "CYRILLIC") for c in letters)
 
 
-def rewritten(texts: DataFrame, column: str, table: dict[str, str], to: str = "unified") -> DataFrame:
+def rewritten(texts: DataFrame, column: str, forms: Forms, to: str = "unified") -> DataFrame:
     """texts with one more column: the text in one form. Equal to the text itself where nothing had to change."""
     schema = StructType([*texts.schema.fields, StructField(to, StringType())])
     at = texts.columns.index(column)
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+    shared = texts.sparkSession.sparkContext.broadcast((dict(forms), forms.across, forms.usual, forms.foreign))
+    units = Rewriter(forms).units()
     # a cheap test in Arrow finds the few texts that hold a unit at all
-    wanted = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in sorted({u[-1] for u in table})) + "]"
+    wanted = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in sorted({u[-1] for u in units})) + "]"
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        rewrite = Rewriter(shared.value)
+        own, across, usual, foreign = shared.value
+        table = Forms(own)
+        table.across, table.usual, table.foreign = across, usual, foreign
+        rewrite = Rewriter(table)
         for batch in batches:
             col = batch.column(at)
-            if shared.value:
+            if units:
                 hits = pc.fill_null(pc.match_substring_regex(col, wanted), False)
                 new = [rewrite(t) for t in col.filter(hits).to_pylist()]
                 col = pc.replace_with_mask(col, hits, pa.array(new, col.type))

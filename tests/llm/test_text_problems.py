@@ -38,6 +38,27 @@ def test_classes_are_transitive_and_the_invisible_vanish():
     assert table[wide_and_mark] == "ü" and table["ｕ"] == "u" and table[chr(0x200D)] == ""
 
 
+def unified(texts, corpus):
+    rewrite = lookalikes.Rewriter(lookalikes.representatives(dict(lookalikes.count_units(corpus + texts))))
+    return [rewrite(t) for t in texts]
+
+
+RUSSIAN, GREEK, TURKISH, ENGLISH = "Датчик стоит у реки, а насос работает хорошо", "Ο αισθητήρας και η αντλία λειτουργούν πολύ καλά", "Ilık ırmak kıyısında bir sensör ve ısı kaynağı", "The sensor and the pump stand at the river"
+
+
+@pytest.mark.parametrize("corpus", [RUSSIAN, GREEK, TURKISH, ENGLISH])
+def test_no_letter_of_a_words_own_script_is_changed(corpus):
+    texts = ["data is here", RUSSIAN, GREEK, TURKISH, "ｄａｔａ", "Δt 5 Å"]
+    assert unified(texts, [corpus] * 200) == ["data is here", RUSSIAN, GREEK, TURKISH, "data", "Δt 5 Å"]
+
+
+@pytest.mark.parametrize("corpus", [RUSSIAN, GREEK, ENGLISH])
+def test_words_of_two_scripts_come_to_one(corpus):
+    given = ["s" + chr(0x435) + "ns" + chr(0x43E) + "r", "д" + "a" + "тчик", "αντλί" + "α" + "v", chr(0x212A) + "elvin"]
+    want = ["sensor", "датчик", "αντλί" + "αν", "Kelvin"]
+    assert unified(given, [corpus] * 50 + [RUSSIAN, GREEK, ENGLISH, "Kelvin Kelvin"]) == want
+
+
 def test_unify_handles_nulls_and_clashing_columns(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a" + chr(0x200B) + "b", "x"), (3, "a" + chr(0x200B) + "b", "x")]
     df = spark.createDataFrame(rows, "id int, text string, unit string")
