@@ -109,7 +109,7 @@ AMBIGUOUS = frozenset(HOMOGLYPHS) | frozenset(HOMOGLYPHS.values())
 @cache
 def script(unit: str) -> str:
     """The script of a letter, in its ordinary form; nothing for what is no letter."""
-    char = plain(unit[0])[0] if unit else ""
+    char = unicodedata.normalize("NFC", plain(unit[0]))[0] if unit else ""
     return unicodedata.name(char, "").partition(" ")[0] if char.isalpha() else ""
 
 
