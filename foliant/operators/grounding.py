@@ -81,10 +81,29 @@ def located(pairs: DataFrame, needle: str = "excerpt", text: str = "content") ->
 
 
 def place(needle: str | None, text: str | None) -> tuple[str, int, int]:
+    """Where an excerpt stands in a text, whatever its case and the white space in it: as it is, else its longest common run."""
+    needle = " ".join((needle or "").split())
     if not needle or not text:
         return "none", -1, -1
-    at = text.find(needle)
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    sought = "".join(c.lower() if len(c.lower()) == 1 else c for c in needle)
+    at = low.find(sought)
     if at >= 0:
         return "exact", at, at + len(needle)
-    run = difflib.SequenceMatcher(None, text, needle, autojunk=False).find_longest_match()
-    return ("approximate", run.a, run.a + run.size) if run.size >= max(20, len(needle) / 2) else ("none", -1, -1)
+    run = difflib.SequenceMatcher(None, low, sought, autojunk=False).find_longest_match()
+    return ("approximate", run.a, run.a + run.size) if run.size >= max(20, len(needle) // 2) else ("none", -1, -1)
+
+
+def cited_boxes(cited: DataFrame, pages: DataFrame) -> DataFrame:
+    """cited with box and box_source: the passage's own box (exact), that of the blocks its text touches (approximate), or none (unavailable).
+
+    cited: document_id, page_number, content, bbox. Only passages without a box meet their pages' text.
+    """
+    has = F.coalesce(F.size("bbox"), F.lit(0)) > 0
+    own = cited.filter(has).withColumns({"box": F.col("bbox"), "box_source": F.lit("exact")})
+    of = pages.select("document_id", "page_number", F.col("content").alias("_page"), F.col("blocks").alias("_blocks"))
+    sought = located(cited.filter(~has).join(of, ["document_id", "page_number"], "left"), "content", "_page")
+    met = touching(F.col("_blocks"), F.col("at"), F.col("to"))
+    box = F.when(F.col("found") != "none", union_box(F.transform(met, lambda b: b["bbox"])))
+    rest = sought.withColumn("box", box).withColumn("box_source", F.when(F.col("box").isNotNull(), "approximate").otherwise("unavailable"))
+    return own.unionByName(rest.select(*own.columns))

@@ -32,11 +32,16 @@ GROUP, ROWS = 256, 512
 
 
 class Group:
-    """Questions that meet chunks together: their terms, and how often each question has each."""
-
-    def __init__(self, rows: list[tuple[object, list[str]]]):
-        self.ids = np.array([q for q, _ in rows], object)
-        self.terms = [ts for _, ts in rows]
+    """Questions that meet chunks together: their terms, how often each question has each, and the documents each is asked of."""
+
+    def __init__(self, rows: list[tuple[object, list[str], list[str] | None]]):
+        self.ids = np.array([q for q, _, _ in rows], object)
+        self.terms = [ts for _, ts, _ in rows]
+        self.anywhere = np.array([not scope for _, _, scope in rows])
+        self.asked_of: dict[str, list[int]] = {}
+        for k, (_, _, scope) in enumerate(rows):
+            for document in scope or ():
+                self.asked_of.setdefault(document, []).append(k)
         self.at = {t: k for k, t in enumerate(sorted({t for ts in self.terms for t in ts}))}
         self.times = np.zeros((len(self.at), len(rows)))
         for k, ts in enumerate(self.terms):
@@ -44,6 +49,18 @@ class Group:
                 self.times[self.at[t], k] += 1
 
 
+    def open_to(self, documents: pa.Array) -> np.ndarray:
+        """Which questions are asked of each chunk's document: chunks x questions."""
+        coded = documents.dictionary_encode()
+        out = np.tile(self.anywhere, (len(coded.dictionary), 1))
+        for k, document in enumerate(coded.dictionary.to_pylist()):
+            out[k, self.asked_of.get(document, [])] = True
+        if not len(out):
+            return np.tile(self.anywhere, (len(documents), 1))
+        codes = coded.indices.fill_null(0).to_numpy(zero_copy_only=False)
+        return np.where(documents.is_null().to_numpy(zero_copy_only=False)[:, None], self.anywhere, out[codes])
+
+
 class Best:
     """The k best chunks of each question that a task has seen; of equal scores the least id, or the greatest."""
 
@@ -79,11 +96,15 @@ class Best:
 
 
 def passes(questions: DataFrame) -> Iterator[list[Group]]:
-    """The questions with their terms, as many as one pass takes at a time, in groups."""
-    asked = questions.select("question_id", terms(F.col("question")).alias("terms")).filter("question_id is not null and size(terms) > 0")
+    """The questions with their terms, as many as one pass takes at a time, in groups.
+
+    questions: question_id, question, and optionally scope, the documents each is asked of (null or empty: all).
+    """
+    scope = F.col("scope") if "scope" in questions.columns else F.lit(None).cast("array<string>")
+    asked = questions.select("question_id", terms(F.col("question")).alias("terms"), scope.alias("scope")).filter("question_id is not null and size(terms) > 0")
     parts = max(1, -(-asked.count() // BLOCK))
     for part in range(parts):
-        rows = [(r["question_id"], r["terms"]) for r in asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part).collect()]
+        rows = [(r["question_id"], r["terms"], r["scope"]) for r in asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part).collect()]
         yield [Group(rows[at : at + GROUP]) for at in range(0, len(rows), GROUP)]
 
 
@@ -115,28 +136,34 @@ class Words:
                 yield int(row), int(question), times
 
 
+def document_of(chunks: DataFrame) -> Column:
+    return (F.col("document_id") if "document_id" in chunks.columns else F.lit(None).cast("string")).alias("document_id")
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
 
 
 def best_chunks(source: DataFrame, questions: DataFrame, groups: list[Group], scorer: Callable[[], Callable[[pa.RecordBatch], list[np.ndarray]]], k: int, greatest: bool) -> DataFrame:
-    """question_id, chunk_id, score: each task's k best chunks of each question. source has chunk_id first.
+    """question_id, chunk_id, score: each task's k best chunks of each question. source has chunk_id first, document_id last.
 
     scorer makes, in the task, what gives the scores of some chunks for each group.
     """
-    shared = source.sparkSession.sparkContext.broadcast([g.ids for g in groups])
+    shared = source.sparkSession.sparkContext.broadcast(groups)
     kind = dict(questions.dtypes)["question_id"]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        score, best = scorer(), [Best(len(ids), k, greatest) for ids in shared.value]
+        score, best = scorer(), [Best(len(g.ids), k, greatest) for g in shared.value]
         for piece in slices(batches):
             ids = piece.column(0).to_numpy(zero_copy_only=False)
-            for own, scores in zip(best, score(piece), strict=True):
+            for own, group, scores in zip(best, shared.value, score(piece), strict=True):
+                if group.asked_of:  # the limit is taken within a question's documents, the statistics are those of all
+                    scores = scores * group.open_to(piece.column(piece.num_columns - 1))
                 own.offer(np.round(scores, 6), ids)
-        for own, asked in zip(best, shared.value, strict=True):
+        for own, group in zip(best, shared.value, strict=True):
             question, score_of, ids = own.rows()
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({"question_id": asked[question], "chunk_id": ids, "score": score_of}), schema=schema, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"question_id": group.ids[question], "chunk_id": ids, "score": score_of}), schema=schema, preserve_index=False)
 
     schema = pa.schema([("question_id", {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())), ("chunk_id", pa.string()), ("score", pa.float64())])
     return source.mapInArrow(part, f"question_id {kind}, chunk_id string, score double")
@@ -154,7 +181,7 @@ def bm25(chunks: DataFrame, questions: DataFrame, pool: int = POOL) -> DataFrame
     Statistics are those of all chunks given: one pass counts in how many chunks each asked term and phrase stands, the
     next scores. Equal scores go by id.
     """
-    source = chunks.select(F.col("id").alias("chunk_id"), index_tokens(F.col("content")).alias("tokens")).filter("chunk_id is not null")
+    source = chunks.select(F.col("id").alias("chunk_id"), index_tokens(F.col("content")).alias("tokens"), document_of(chunks)).filter("chunk_id is not null")
     return top(reduce(DataFrame.unionAll, (bm25_pass(source, questions, groups, pool) for groups in passes(questions))), pool)
 
 
@@ -213,7 +240,7 @@ def lexical(chunks: DataFrame, questions: DataFrame, pool: int = POOL) -> DataFr
 
     Phrases are met as substrings, by one automaton over those of all questions. Of equal scores the greatest id is first.
     """
-    source = chunks.select(F.col("id").alias("chunk_id"), terms(F.col("content")).alias("tokens"), F.lower("content").alias("content")).filter("chunk_id is not null")
+    source = chunks.select(F.col("id").alias("chunk_id"), terms(F.col("content")).alias("tokens"), F.lower("content").alias("content"), document_of(chunks)).filter("chunk_id is not null")
     return top(reduce(DataFrame.unionAll, (lexical_pass(source, questions, groups, pool) for groups in passes(questions))), pool, True)
 
 

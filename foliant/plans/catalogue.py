@@ -52,6 +52,13 @@ def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.lexical(corpus.chunks(spark, sf), corpus.questions(spark, sf), 10)
 
 
+def scoped_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The best chunks by BM25 for users' messages, each asked of the documents that its conversation cites, if it cites any."""
+    cited = corpus.messages(spark, sf).select("conversation_id", F.explode("citations").alias("c")).groupBy("conversation_id").agg(F.collect_set("c.document_id").alias("scope"))
+    of = corpus.messages(spark, sf).select(F.col("id").alias("question_id"), "conversation_id").join(cited, "conversation_id", "left").drop("conversation_id")
+    return ranking.bm25(corpus.chunks(spark, sf), _asked(spark, sf).join(of, "question_id"), 5)
+
+
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return ranking.cosine(vectors, vectors.filter("vec_id % 100 = 0"), 10)
@@ -234,6 +241,12 @@ def citation_places(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("chunk_id", "found", "at", "to")
 
 
+def citation_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Where on its page each chunk can be shown, and how surely."""
+    boxes = grounding.cited_boxes(corpus.chunks(spark, sf).select(F.col("id").alias("chunk_id"), "document_id", "page_number", "content", "bbox"), corpus.pages(spark, sf))
+    return boxes.select("chunk_id", "box_source", *(F.col("box")[k].alias(f"box{k}") for k in range(4)))
+
+
 def topic_is_covered(spark: SparkSession, sf: str) -> DataFrame:
     """Whether any of the passages found for a question is about it."""
     questions, chunks = corpus.questions(spark, sf), corpus.chunks(spark, sf)
@@ -281,11 +294,11 @@ def stream_session_scores(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chunk_spans, document_spans, chunk_sections, line_offsets, term_frequencies, bm25_topk, lexical_topk, cosine_topk, rrf_fuse, dedup_greedy,
+        chunk_spans, document_spans, chunk_sections, line_offsets, term_frequencies, bm25_topk, lexical_topk, scoped_topk, cosine_topk, rrf_fuse, dedup_greedy,
         diverse_by_page, diverse_by_document, hybrid_topk, extraction_sources, location_lookup, selection_support, overview_round_robin, coverage_sample,
         suggestion_sample, page_lookup, section_lookup, phrase_search, toc_heuristic, known_sections, route_mode, calc_operations, labelled_amounts, calc_results,
         term_coverage, support_check, keyword_coverage, page_status_summary, page_classes, figure_counts, decorative_images, duplicate_hash,
-        chunk_scan, history_last_n, progress_fold, merge_sources, citation_places, topic_is_covered, evidence_chars, citations_used, batch_plan,
+        chunk_scan, history_last_n, progress_fold, merge_sources, citation_places, citation_boxes, topic_is_covered, evidence_chars, citations_used, batch_plan,
         ascii_token_counts, stream_daily_events, stream_session_scores,
     )
 }

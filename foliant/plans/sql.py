@@ -198,7 +198,17 @@ labelled as (
          coalesce(list_filter(named, lambda t: contains(lower(before), t))[-1], named[1]) as label
   from amount where {value_of("raw")} is not null and not {YEAR_ONLY.format("raw")} and not regexp_matches(before, '(?i)\b(?:chapter|section|page|pages|figure|fig|table|step|part|item|appendix|no)\.?\s*$'))"""
 
+ASKED_USER = f"(select question_id as item_id, question as text from {USER})"
+
 SQL: dict[str, str] = {
+    "scoped_topk": f"""
+with {over(ASKED_USER, BM25_ALL)},
+cited as (select distinct conversation_id, c.document_id as document_id from (select conversation_id, unnest(citations) as c from (select distinct id, conversation_id, citations from messages))),
+placed as (
+  select bm.question_id, bm.chunk_id, bm.score from bm join {MESSAGES} m on m.id = bm.question_id join {CHUNKS} c on c.id = bm.chunk_id
+  where m.conversation_id not in (select conversation_id from cited where conversation_id is not null) or exists (select 1 from cited x where x.conversation_id = m.conversation_id and x.document_id = c.document_id)),
+ranked as (select *, cast(row_number() over (partition by question_id order by score desc, chunk_id) as integer) as rank from placed)
+select question_id, chunk_id, score, rank from ranked where rank <= 5""",
     "labelled_amounts": f"with {FACT}, asked_of as (select cast(item_id as bigint) as item_id, text from eval_items), {AMOUNTS} select question_id, chunk_id, label, value, unit from labelled",
     "dedup_greedy": f"with {CANDIDATES} select question_id, chunk_id, score from left_over",
     "diverse_by_page": f"with {FACT} {DEALT}",

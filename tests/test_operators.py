@@ -36,6 +36,39 @@ def test_bm25_puts_the_phrase_first(spark):
     assert [(r["question_id"], r["chunk_id"]) for r in got] == [(1, "a-1-1"), (1, "a-1-0")]
 
 
+def test_a_scope_narrows_hits_but_not_statistics(spark):
+    rows = [("a-1-0", "a", "MQTT broker one"), ("a-1-1", "a", "the MQTT broker of MQTT"), ("b-1-0", "b", "MQTT broker two"), ("c-1-0", None, "MQTT broker")]
+    chunks = spark.createDataFrame(rows, "id string, document_id string, content string")
+    asked = spark.createDataFrame([(1, "mqtt", ["b"]), (2, "mqtt", None), (3, "mqtt", []), (4, "mqtt", ["a", "x"]), (5, "mqtt", ["x"])], "question_id long, question string, scope array<string>")
+    for rank in (ranking.bm25, ranking.lexical):
+        got = rank(chunks, asked, 2).collect()
+        found = {q: {r["chunk_id"] for r in got if r["question_id"] == q} for q in range(1, 6)}
+        assert found[1] == {"b-1-0"} and found[2] == found[3] and len(found[2]) == 2 and found[4] == {"a-1-0", "a-1-1"} and not found[5]
+    scores = {(r["question_id"], r["chunk_id"]): r["score"] for r in ranking.bm25(chunks, asked, 4).collect()}
+    assert scores[1, "b-1-0"] == scores[2, "b-1-0"]
+
+
+def test_ties_follow_the_contracts(spark):
+    chunks = spark.createDataFrame([("a", "x", "one pump"), ("b", "x", "one pump")], "id string, document_id string, content string")
+    asked = spark.createDataFrame([(1, "pump")], "question_id long, question string")
+    assert [r["chunk_id"] for r in ranking.lexical(chunks, asked).orderBy("rank").collect()] == ["b", "a"]
+    assert [r["chunk_id"] for r in ranking.bm25(chunks, asked).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_many_questions_go_in_passes_and_groups(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"term{k}" for k in range(30)]
+    chunks = spark.createDataFrame([(f"c{k:03}", " ".join(rng.choice(words) for _ in range(15))) for k in range(60)] + [("empty", ""), ("null", None)], "id string, content string")
+    asked = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(4))) for k in range(40)], "question_id long, question string")
+    taken = lambda: [sorted(map(tuple, rank(chunks, asked, 3).collect())) for rank in (ranking.bm25, ranking.lexical)]
+    whole = taken()
+    monkeypatch.setattr(ranking, "BLOCK", 12)
+    monkeypatch.setattr(ranking, "GROUP", 5)
+    monkeypatch.setattr(ranking, "ROWS", 7)
+    assert taken() == whole
+    assert ranking.bm25(chunks.limit(0), asked).count() == 0 and ranking.lexical(chunks, asked.limit(0)).count() == 0
+
+
 def brute_lexical(question, content):
     stop = set("a an and are about the of for in is it to was what which with this that".split())
     import re
@@ -174,9 +207,19 @@ def test_places_of_excerpts():
     text = "The quick brown fox jumps over the lazy dog near the river."
     assert grounding.place("brown fox", text) == ("exact", 10, 19)
     assert grounding.place("the quick brown fox jumps over the lazy cat", text)[0] == "approximate"
+    assert grounding.place("BROWN \n fox", text) == ("exact", 10, 19)
     assert grounding.place("something else entirely here", text)[0] == "none" and grounding.place(None, text)[0] == "none"
 
 
+def test_citations_are_exact_approximate_or_unavailable(spark):
+    block = lambda a, b, x: (a, b, [x, x, x + 1.0, x + 1.0], "text", False, 10.0, None)
+    text = "First line of the page.\nSecond line of it, which is longer."
+    pages = spark.createDataFrame([("d", 1, text, [block(0, 23, 1.0), block(24, len(text), 5.0)])], "document_id string, page_number int, content string, blocks array<struct<start_offset int, end_offset int, bbox array<double>, source_type string, is_heading boolean, font_size double, confidence double>>")
+    cited = [("a", "d", 1, "x", [9.0, 9.0, 9.5, 9.5]), ("b", "d", 1, "second LINE of it", None), ("c", "d", 1, "nothing like this here at all", []), ("e", "d", 7, "First line", None)]
+    got = {r["i"]: (r["box_source"], r["box"]) for r in grounding.cited_boxes(spark.createDataFrame(cited, "i string, document_id string, page_number int, content string, bbox array<double>"), pages).collect()}
+    assert got == {"a": ("exact", [9.0, 9.0, 9.5, 9.5]), "b": ("approximate", [5.0, 5.0, 6.0, 6.0]), "c": ("unavailable", None), "e": ("unavailable", None)}
+
+
 def test_contents_collapse_running_headings(spark):
     block = lambda a, b, size, h=True: (a, b, [0.0] * 4, "text", h, size, None)
     rows = [("d-1", "d", 1, "Big\nSmall", [block(0, 3, 20.0), block(4, 9, 12.0)]), ("d-2", "d", 2, "Small\niv", [block(0, 5, 12.0), block(6, 8, 12.0)])]

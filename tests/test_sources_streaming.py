@@ -1,4 +1,7 @@
 import datetime
+from types import SimpleNamespace
+
+import pytest
 
 from foliant import runtime
 from foliant.functions import providers
@@ -25,8 +28,16 @@ def test_files_are_hashed_and_parsed_without_failing_one_another(spark, tmp_path
 
 def test_a_side_is_broadcast_only_if_it_is_small(spark):
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in plan(runtime.small_side(spark.range(5), 10))
-    assert "ResolvedHint" not in plan(runtime.small_side(spark.range(50), 10))
+    assert "ResolvedHint" in plan(runtime.small_side(spark.range(5), 1000))
+    assert "ResolvedHint" not in plan(runtime.small_side(spark.range(50), 1000))
+    wide = spark.createDataFrame([(1, ["x" * 2000], {"a": 1}["a"])], "id int, texts array<string>, n int")
+    assert "ResolvedHint" not in plan(runtime.small_side(wide, 1000)) and "ResolvedHint" in plan(runtime.small_side(wide.limit(0), 1000))
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    conf, cluster = SimpleNamespace(get=lambda *_: None), SimpleNamespace(master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        runtime.checkpoint_folder(SimpleNamespace(conf=conf, sparkContext=cluster))
 
 
 def test_duplicate_files_point_at_the_first_that_did_not_fail(spark):
