@@ -77,10 +77,9 @@ def known_sections(chunks: DataFrame) -> DataFrame:
 
 def duplicate_files(documents: DataFrame) -> DataFrame:
     """id, first_id: files whose content an earlier file that did not fail already has; equal times go by id."""
-    order = W.partitionBy("content_hash").orderBy("created_at", "id")
     kept = documents.filter("content_hash is not null and status != 'failed'")
-    first = kept.withColumn("first_id", F.first("id").over(order))
-    return first.filter("id != first_id").select("id", "first_id")
+    first = kept.groupBy("content_hash").agg(F.min_by("id", F.struct("created_at", "id")).alias("first_id"))
+    return kept.join(first, "content_hash").filter("id != first_id").select("id", "first_id")
 
 
 def recent_turns(messages: DataFrame, n: int = 6, excerpt: int = 300) -> DataFrame:

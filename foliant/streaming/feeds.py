@@ -20,10 +20,10 @@ def stream(spark: SparkSession, path: str) -> DataFrame:
 
     A table may be a folder of files or one file; of one file, the stream is over its folder.
     """
-    there = spark.read.parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
-    reader = spark.readStream.schema(there.schema)
-    if there.inputFiles()[:1] and there.inputFiles()[0].endswith("/" + name):
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
@@ -41,17 +41,20 @@ def daily_events(events: DataFrame) -> DataFrame:
 def session_scores(evaluations: DataFrame) -> DataFrame:
     """session, answered, score whenever a session goes on: each item counts once, by its first evaluation.
 
-    evaluations: session long, seq long, item string, points double. The state of a session is the items it has answered.
+    evaluations: session long, seq long, item string, points double. The state of a session is the items it has answered;
+    of new rows only the first of each item is held, so a session of any length takes the room of its items.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, score = state.get if state.exists else ([], 0.0)
-        known = set(seen)
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        for item, points in zip(rows["item"], rows["points"], strict=True):
-            if item not in known:
-                known.add(item)
-                score += points
+        known, first = set(seen), {}
+        for batch in batches:
+            for item, seq, points in zip(batch["item"], batch["seq"], batch["points"], strict=True):
+                if item not in known and (item not in first or seq < first[item][0]):
+                    first[item] = (seq, points)
+        for item, (_, points) in sorted(first.items(), key=lambda x: x[1][0]):
+            known.add(item)
+            score += points
         state.update((sorted(known), score))
         yield pd.DataFrame({"session": [key[0]], "answered": [len(known)], "score": [round(score, 6)]})
 

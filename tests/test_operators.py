@@ -227,6 +227,13 @@ def test_contents_collapse_running_headings(spark):
     assert [(r["title"], r["page_number"], r["level"]) for r in library.contents(df).orderBy("position").collect()] == [("Big", 1, 1), ("Small", 1, 2)]
 
 
+def test_decorative_images_are_on_most_pages(spark):
+    rows = [("d", 7, p) for p in (1, 2, 3, 3)] + [("d", 8, 1), ("d", 8, 2), ("d", None, 1), ("e", 7, 1), ("e", 7, 2), ("f", 7, 1)]
+    images = spark.createDataFrame(rows, "document_id string, xref int, page_number int")
+    documents = spark.createDataFrame([("d", 4), ("e", 3), ("f", None)], "id string, page_count int")
+    assert [tuple(r) for r in library.decorative(images, documents).collect()] == [("d", 7, 3)]
+
+
 def test_running_score_counts_items_once(spark):
     rows = [("s", 1, "a", 1.0), ("s", 2, "b", 0.0), ("s", 3, "a", 1.0), ("s", 4, "c", 0.5)]
     got = library.running_score(spark.createDataFrame(rows, "session string, seq long, item string, points double")).orderBy("seq").collect()
