@@ -54,9 +54,19 @@ def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def scoped_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The best chunks by BM25 for users' messages, each asked of the documents that its conversation cites, if it cites any."""
+    return ranking.bm25(corpus.chunks(spark, sf), _scoped(spark, sf), 5)
+
+
+def answer_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The passages for users' messages, each routed to its mode and asked of the documents that its conversation cites."""
+    return modes.answers(corpus.chunks(spark, sf), _scoped(spark, sf))
+
+
+def _scoped(spark: SparkSession, sf: str) -> DataFrame:
+    """The users' messages as questions with the documents that their conversation cites as scope."""
     cited = corpus.messages(spark, sf).select("conversation_id", F.explode("citations").alias("c")).groupBy("conversation_id").agg(F.collect_set("c.document_id").alias("scope"))
     of = corpus.messages(spark, sf).select(F.col("id").alias("question_id"), "conversation_id").join(cited, "conversation_id", "left").drop("conversation_id")
-    return ranking.bm25(corpus.chunks(spark, sf), _asked(spark, sf).join(of, "question_id"), 5)
+    return _asked(spark, sf).join(of, "question_id")
 
 
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,7 +304,7 @@ def stream_session_scores(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chunk_spans, document_spans, chunk_sections, line_offsets, term_frequencies, bm25_topk, lexical_topk, scoped_topk, cosine_topk, rrf_fuse, dedup_greedy,
+        chunk_spans, document_spans, chunk_sections, line_offsets, term_frequencies, bm25_topk, lexical_topk, scoped_topk, answer_plan, cosine_topk, rrf_fuse, dedup_greedy,
         diverse_by_page, diverse_by_document, hybrid_topk, extraction_sources, location_lookup, selection_support, overview_round_robin, coverage_sample,
         suggestion_sample, page_lookup, section_lookup, phrase_search, toc_heuristic, known_sections, route_mode, calc_operations, labelled_amounts, calc_results,
         term_coverage, support_check, keyword_coverage, page_status_summary, page_classes, figure_counts, decorative_images, duplicate_hash,

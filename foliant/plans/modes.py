@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from foliant.functions import providers
 from foliant.functions.text import covers, stems, terms
 from foliant.operators import ranking, selection
-from foliant.plans.routing import TOP_K
+from foliant.plans.routing import TOP_K, route
+from foliant.runtime import checkpoint
 
 SPAN = ("document_id", "page_number", "start_offset", "end_offset", "content")
 
@@ -88,3 +90,61 @@ def selection_first(chunks: DataFrame, selections: DataFrame) -> DataFrame:
     rows = best.join(selections.select("question_id", F.col("question").alias("own")), "question_id").filter(F.col("content") != F.col("own"))
     kept = rows.withColumn("position", F.row_number().over(W.partitionBy("question_id").orderBy("_at")))
     return own.unionAll(kept.select("question_id", "chunk_id", "position"))
+
+
+def within(rows: DataFrame) -> DataFrame:
+    """Rows of questions and chunks whose document is in the question's scope; no scope is all documents."""
+    return rows.filter((F.coalesce(F.size("scope"), F.lit(0)) <= 0) | F.array_contains("scope", F.col("document_id")))
+
+
+def pages(chunks: DataFrame, plan: DataFrame) -> DataFrame:
+    """The chunks of the page each question names, in reading order; if it has but one, then those of the pages around."""
+    place = chunks.select(F.col("id").alias("chunk_id"), "document_id", "page_number", "start_offset")
+    asked = plan.select("question_id", "page", "scope", "top_k", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))).alias("step"))
+    near = within(asked.withColumn("page_number", F.col("page") + F.col("step")).join(place, "page_number"))
+    order = W.partitionBy("question_id").orderBy(F.col("step") != 0, F.coalesce("start_offset", F.lit(0)), "document_id", "page_number", "chunk_id")
+    # of the page itself no more than top_k are kept, of the pages around as many more at most
+    first = near.withColumn("position", F.row_number().over(W.partitionBy("question_id", F.col("step") != 0).orderBy(F.coalesce("start_offset", F.lit(0)), "document_id", "page_number", "chunk_id"))).filter(F.col("position") <= F.col("top_k"))
+    counted = first.withColumn("own", F.sum(F.when(F.col("step") == 0, 1).otherwise(0)).over(W.partitionBy("question_id")))
+    kept = counted.filter((F.col("own") > 0) & ((F.col("step") == 0) | (F.col("own") == 1)))
+    return kept.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= F.col("top_k")).select("question_id", "chunk_id", "position")
+
+
+def sections(chunks: DataFrame, plan: DataFrame) -> DataFrame:
+    """The chunks under headings that hold the section each question names, in reading order. They meet by the section's first word."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    headings = chunks.select("section").filter("section is not null").distinct().select("section", F.explode(F.array_distinct(words(F.col("section")))).alias("word"))
+    asked = plan.select("question_id", "scope", "top_k", F.lower("section").alias("needle"), F.get(words(F.col("section")), F.lit(0)).alias("word"))
+    met = asked.join(headings, "word").filter(F.contains(F.lower("section"), F.col("needle"))).drop("word", "needle")
+    place = chunks.select(F.col("id").alias("chunk_id"), "document_id", "page_number", "start_offset", "section")
+    order = W.partitionBy("question_id").orderBy("document_id", "page_number", F.coalesce("start_offset", F.lit(0)), "chunk_id")
+    hits = within(met.join(place, "section")).withColumn("position", F.row_number().over(order))
+    return hits.filter(F.col("position") <= F.col("top_k")).select("question_id", "chunk_id", "position")
+
+
+def answers(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, mode, chunk_id, position: each question is routed, and its passages are found in the way of its mode.
+
+    questions: question_id, question, and optionally scope (documents it is asked of). One fusion of rankings serves all
+    modes that rest on it; a section that no heading holds is sought by fusion too.
+    """
+    asked = questions if "scope" in questions.columns else questions.withColumn("scope", F.lit(None).cast("array<string>"))
+    routed = route(asked.select("question_id", "question", F.size("scope").alias("n_documents")), chunks.select("section").filter("section is not null"))
+    plan = checkpoint(asked.select("question_id", "question", "scope").join(routed.select("question_id", "mode", "page", "topic", "section", "top_k"), "question_id"))
+    of = lambda *modes: plan.filter(F.col("mode").isin(*modes))
+    named = checkpoint(sections(chunks, of("section")))
+    unnamed = of("section").join(named, "question_id", "left_anti").withColumn("question", F.concat_ws(" ", "section", "question"))
+    fused = of("fact", "multi_document", "calculation", "extraction").unionByName(unnamed)
+    left = checkpoint(selection.without_overlaps(candidates(chunks, fused.select("question_id", "question", "scope"))).drop("content").join(fused.select("question_id", "mode"), "question_id"))
+    found = [named, pages(chunks, of("page")), location(chunks, of("location").select("question_id", F.col("topic").alias("question"), "scope")).select("question_id", "chunk_id", "position")]
+    for mode, by in (("fact", ("document_id", "page_number")), ("multi_document", ("document_id",)), ("calculation", ("document_id", "page_number")), ("extraction", ("document_id", "page_number"))):
+        found.append(selection.diverse(left.filter(F.col("mode") == mode), TOP_K[mode], by).select("question_id", "chunk_id", "position"))
+    best = left.filter("mode = 'section'").withColumn("position", F.row_number().over(W.partitionBy("question_id").orderBy("place")))
+    found.append(best.filter(F.col("position") <= TOP_K["section"]).select("question_id", "chunk_id", "position"))
+    place = chunks.select(F.col("id").alias("chunk_id"), "document_id", "page_number")
+    scoped = of("overview").select("question_id", F.explode("scope").alias("document_id")).join(place, "document_id")
+    found.append(selection.overview(scoped, TOP_K["overview"], "question_id").select("question_id", "chunk_id", "position"))
+    whole = selection.overview(place.withColumn("mode", F.lit("overview")), TOP_K["overview"], "mode").select("mode", "chunk_id", "position")  # ten rows
+    found.append(of("overview").filter(F.coalesce(F.size("scope"), F.lit(0)) <= 0).join(F.broadcast(whole), "mode").select("question_id", "chunk_id", "position"))
+    every = reduce(DataFrame.unionByName, found)
+    return every.join(plan.select("question_id", "mode"), "question_id").select("question_id", "mode", "chunk_id", "position")

@@ -246,3 +246,22 @@ def test_location_finds_only_what_is_said(spark):
     questions = spark.createDataFrame([(1, "ZigBee"), (2, "temperature sensors"), (3, "quantum sensors")], "question_id long, question string")
     got = sorted((r["question_id"], r["chunk_id"]) for r in modes.location(chunks, questions).collect())
     assert got == [(1, "r-1-0"), (2, "r-2-0")]
+
+
+def test_each_question_is_answered_in_its_mode(spark):
+    rows = [(f"{d}-{p}-{k}", d, p, f"ZigBee sensors of {d} page {p} part {k} report a rate of {p}{k} kbps.", "Sensors" if p == 2 else None, 100 * k, 100 * k + 60) for d in "ab" for p in (1, 2, 3) for k in range(1 if p == 3 else 2)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    asked = {
+        1: ("Who sells ZigBee sensors?", ["a"]), 2: ("Who sells ZigBee sensors?", ["a", "b"]), 3: ("What is on page 3?", ["b"]), 4: ("What is on page 9?", None),
+        5: ("Where is ZigBee explained?", None), 6: ("What does the Sensors section say?", ["a"]), 7: ("Give me a brief overview", None), 8: ("Give me a brief overview", ["b"]),
+        9: ("What does the appendix section say about ZigBee?", ["b"]), 10: ("What is on page 2?", ["a"]),
+    }
+    df = spark.createDataFrame([(k, *v) for k, v in asked.items()], "question_id long, question string, scope array<string>")
+    got = {}
+    for r in modes.answers(chunks, df).orderBy("question_id", "position").collect():
+        got.setdefault((r["question_id"], r["mode"]), []).append(r["chunk_id"])
+    assert {x[0] for x in got[1, "fact"]} == {"a"} and {x[0] for x in got[2, "multi_document"]} == {"a", "b"}
+    assert got[3, "page"] == ["b-3-0", "b-2-0", "b-2-1"] and not any(k == 4 for k, _ in got) and got[10, "page"] == ["a-2-0", "a-2-1"]
+    assert {x[0] for x in got[5, "location"]} == {"a", "b"} and got[6, "section"] == ["a-2-0", "a-2-1"]
+    assert len(got[7, "overview"]) == 10 and got[8, "overview"] == ["b-1-0", "b-2-0", "b-3-0", "b-1-1", "b-2-1"]
+    assert {x[0] for x in got[9, "section"]} == {"b"}
