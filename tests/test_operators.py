@@ -48,6 +48,28 @@ def test_a_scope_narrows_hits_but_not_statistics(spark):
     assert scores[1, "b-1-0"] == scores[2, "b-1-0"]
 
 
+def test_scoped_questions_meet_their_own_documents_alone(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"term{k}" for k in range(12)]
+    rows = [(f"c{k:03}", rng.choice("abcde"), " ".join(rng.choice(words) for _ in range(15))) for k in range(80)]
+    chunks = spark.createDataFrame(rows, "id string, document_id string, content string")
+    asked = [(k, " ".join(rng.choice(words) for _ in range(3)), rng.sample("abcde", k % 4)) for k in range(30)]
+    questions = spark.createDataFrame(asked, "question_id long, question string, scope array<string>")
+    of, scope = {r[0]: r[1] for r in rows}, {q: s for q, _, s in asked}
+    monkeypatch.setattr(ranking, "PRODUCTS", 50)
+    for rank, sign in ((ranking.bm25, 1), (ranking.lexical, -1)):
+        free = rank(chunks, questions.drop("scope"), 100).collect()
+        want = set()
+        for q in scope:
+            inside = [(r["score"], r["chunk_id"]) for r in free if r["question_id"] == q and (not scope[q] or of[r["chunk_id"]] in scope[q])]
+            inside.sort(key=lambda x: (-x[0], sign * int(x[1][1:])))
+            want |= {(q, c, s, k + 1) for k, (s, c) in enumerate(inside[:4])}
+        scoped = rank(chunks, questions, 4)
+        assert {tuple(r) for r in scoped.select("question_id", "chunk_id", "score", "rank").collect()} == want
+        # no chunk is compared with questions of other documents
+        assert "FlatMapCoGroupsInArrow" in scoped._jdf.queryExecution().toString()
+
+
 def test_ties_follow_the_contracts(spark):
     chunks = spark.createDataFrame([("a", "x", "one pump"), ("b", "x", "one pump")], "id string, document_id string, content string")
     asked = spark.createDataFrame([(1, "pump")], "question_id long, question string")
