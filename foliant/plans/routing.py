@@ -85,15 +85,25 @@ def is_calculation(question: Column) -> Column:
     return matches(question, STRONG) | (matches(question, WEAK) & (question.rlike("[0-9]") | names_quantity))
 
 
+def has_cue(question: Column) -> Column:
+    """Whether a question may be about a section; only then is a heading sought in it."""
+    return matches(question, SECTION_CUE) | matches(question, GENERIC) | matches(question, DISCUSSED)
+
+
 def named_sections(questions: DataFrame, sections: DataFrame) -> DataFrame:
-    """question_id, heading: the longest known heading that occurs in the question (ties: the first by name).
+    """question_id, heading: the longest known heading that occurs in the question and whose first word is a word of it (ties: the first by name).
 
-    Questions meet headings by the heading's first word, so no question is compared with every heading.
+    Questions meet headings of four words or more by the heading's second and third, which stand between others and so
+    are words of the question too, others by the first: no question is compared with every heading that begins alike.
     """
-    first = lambda c: F.regexp_extract(F.lower(c), r"([\p{L}\p{N}]+)", 1)
-    known = sections.select("section").distinct().withColumn("word", first(F.col("section")))
-    words = questions.select("question_id", "question", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"([\p{L}\p{N}]+)"), 1))).alias("word"))
-    hits = words.join(known, "word").filter(F.contains(F.lower("question"), F.lower("section")))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    w = F.col("words")
+    known = sections.select("section").distinct().withColumn("words", words(F.col("section"))).filter(F.size("words") > 0)
+    known = known.select("section", w[0].alias("first"), F.when(F.size("words") >= 4, F.concat_ws(" ", F.slice("words", 2, 2))).otherwise(w[0]).alias("key"))
+    pairs = F.transform(F.slice(w, F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), lambda x, k: F.concat_ws(" ", x, F.get(w, k + 1)))
+    asked = questions.select("question_id", "question", words(F.col("question")).alias("words"))
+    keys = asked.withColumn("key", F.explode(F.array_distinct(F.concat("words", pairs))))
+    hits = keys.join(known, "key").filter(F.contains(F.lower("question"), F.lower("section")) & F.array_contains("words", F.col("first")))
     return hits.groupBy("question_id").agg(F.min_by("section", F.struct(-F.length("section"), F.col("section"))).alias("heading"))
 
 
@@ -110,9 +120,8 @@ def route(questions: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     if sections is None:
         rows = rows.withColumn("heading", F.lit(None).cast("string"))
     else:
-        rows = rows.join(named_sections(questions, sections), "question_id", "left")
-    cue = matches(q, SECTION_CUE) | matches(q, GENERIC) | matches(q, DISCUSSED)
-    section = F.when(cue, F.coalesce("heading", group(q, GENERIC), group(q, NAMED), group(q, DISCUSSED)))
+        rows = rows.join(named_sections(questions.filter(has_cue(q)), sections), "question_id", "left")
+    section = F.when(has_cue(q), F.coalesce("heading", group(q, GENERIC), group(q, NAMED), group(q, DISCUSSED)))
     is_location = reduce(Column.__or__, (matches(q, p) for p in LOCATIONS))
     mode = (
         F.when(F.col("selected_text").rlike(r"(?U)\S"), "selection")

@@ -287,3 +287,25 @@ def test_each_question_is_answered_in_its_mode(spark):
     assert {x[0] for x in got[5, "location"]} == {"a", "b"} and got[6, "section"] == ["a-2-0", "a-2-1"]
     assert len(got[7, "overview"]) == 10 and got[8, "overview"] == ["b-1-0", "b-2-0", "b-3-0", "b-1-1", "b-2-1"]
     assert {x[0] for x in got[9, "section"]} == {"b"}
+
+
+def test_headings_are_sought_by_rare_words_and_only_where_a_section_may_be_meant(spark):
+    headings = ["The pump", "The pump of the plant", "The pump of the plants in use", "The valve of the plant", "Of", "(§) Pump of the", "He pump of the plant now"]
+    known = spark.createDataFrame([(h,) for h in headings] + [(f"The part {k} of the plant",) for k in range(200)], "section string")
+    asked = {1: "What does the section The pump of the planting say?", 2: "the PUMP section", 3: "the pump of the plant", 4: "What is in section the part 7 of the plant?", 5: "chapter bathe pump of the plant now", 6: None}
+    df = spark.createDataFrame(list(asked.items()), "question_id long, question string")
+
+    import re
+
+    split = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    every = [r["section"] for r in known.collect()]
+    want = {}
+    for k, q in asked.items():
+        if q and (held := [h for h in every if h.lower() in q.lower() and split(h)[0] in split(q)]):
+            want[k] = min(held, key=lambda h: (-len(h), h))
+    found = routing.named_sections(df, known)
+    assert {r["question_id"]: r["heading"] for r in found.collect()} == want
+    got = {r["question_id"]: r["section"] for r in routing.route(df, known).collect()}
+    assert got[1] == "The pump of the plant" and got[3] is None and got[4] == "The part 7 of the plant"
+    # headings of four words do not meet questions by a first word that many share
+    assert "slice(words" in found._jdf.queryExecution().toString()
