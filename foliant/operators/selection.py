@@ -55,9 +55,18 @@ def overview(chunks: DataFrame, limit: int, scope: str = "document_id") -> DataF
 
     Chunks of a page go by id as text, pages by document and number.
     """
-    turn = F.row_number().over(W.partitionBy("document_id", "page_number").orderBy("chunk_id"))
+    return in_turn(turns(chunks), limit, scope)
+
+
+def turns(chunks: DataFrame) -> DataFrame:
+    """Chunks with _round, their place on their page by id; each chunk may be there once only."""
+    return chunks.withColumn("_round", F.row_number().over(W.partitionBy("document_id", "page_number").orderBy("chunk_id")))
+
+
+def in_turn(chunks: DataFrame, limit: int, scope: str) -> DataFrame:
+    """Up to limit chunks of each scope by their turn, pages by document and number."""
     place = F.row_number().over(W.partitionBy(scope).orderBy("_round", "document_id", "page_number"))
-    return chunks.withColumn("_round", turn).withColumn("position", place).filter(F.col("position") <= limit).drop("_round")
+    return chunks.withColumn("position", place).filter(F.col("position") <= limit).drop("_round")
 
 
 def numbered(rows: DataFrame, scope: str, part: str, order: list[str]) -> DataFrame:

@@ -23,16 +23,21 @@ def with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranked.join(chunks.select(F.col("id").alias("chunk_id"), *SPAN), "chunk_id")
 
 
-def candidates(chunks: DataFrame, questions: DataFrame, pool: int = ranking.POOL, similar: DataFrame | None = None) -> DataFrame:
+def hashed(chunks: DataFrame) -> DataFrame:
+    """Chunks with a hash of 128 bits in place of their text: enough to see which texts are equal, and short to send."""
+    return chunks.withColumn("content", F.md5("content"))
+
+
+def candidates(chunks: DataFrame, questions: DataFrame, pool: int = ranking.POOL, similar: DataFrame | None = None, short: bool = False) -> DataFrame:
     """Candidates of each question by fusion of two rankings: that of vectors if one is given, else of lexical overlap, and BM25.
 
     similar: question_id, chunk_id, rank of an embedding provider's nearest chunks. place is the order in the fusion:
-    equal scores go by the first ranking, then by the second.
+    equal scores go by the first ranking, then by the second. short: content is a hash of the text.
     """
     first = similar if similar is not None else ranking.lexical(chunks, questions, pool)
     fused = ranking.fused(first, ranking.bm25(chunks, questions, pool))
     place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), F.asc_nulls_last("first_rank"), "second_rank"))
-    return with_text(fused.withColumn("place", place).select("question_id", "chunk_id", "score", "place"), chunks)
+    return with_text(fused.withColumn("place", place).select("question_id", "chunk_id", "score", "place"), hashed(chunks) if short else chunks)
 
 
 def similar_chunks(chunks: DataFrame, questions: DataFrame, provider: Callable[[list[str]], list[list[float]]], pool: int = ranking.POOL) -> DataFrame:
@@ -43,7 +48,7 @@ def similar_chunks(chunks: DataFrame, questions: DataFrame, provider: Callable[[
 
 
 def answered(chunks: DataFrame, questions: DataFrame, mode: str, by: tuple[str, ...], similar: DataFrame | None = None) -> DataFrame:
-    left = selection.without_overlaps(candidates(chunks, questions, similar=similar))
+    left = selection.without_overlaps(candidates(chunks, questions, similar=similar, short=True))
     return selection.diverse(left, TOP_K[mode], by).select("question_id", "chunk_id", "position", "score")
 
 
@@ -71,8 +76,8 @@ def covered(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def location(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """Passages that have enough of a question's terms, by BM25 alone; none where no passage does."""
-    about = covered(ranking.bm25(chunks, questions).join(questions.withColumn("topic", terms(F.col("question"))), "question_id"), chunks)
-    about = with_text(about.filter("is_covered"), chunks)
+    about = covered(ranking.bm25(chunks, questions).join(questions.select("question_id", terms(F.col("question")).alias("topic")), "question_id"), chunks)
+    about = with_text(about.filter("is_covered"), hashed(chunks))
     place = F.row_number().over(W.partitionBy("question_id").orderBy("rank"))
     total = F.count("*").over(W.partitionBy("question_id"))
     scored = about.withColumns({"score": (total - place + 1).cast("double"), "place": place}).select("question_id", "chunk_id", *SPAN, "score", "place")
@@ -92,34 +97,60 @@ def selection_first(chunks: DataFrame, selections: DataFrame) -> DataFrame:
     return own.unionAll(kept.select("question_id", "chunk_id", "position"))
 
 
-def within(rows: DataFrame) -> DataFrame:
-    """Rows of questions and chunks whose document is in the question's scope; no scope is all documents."""
-    return rows.filter((F.coalesce(F.size("scope"), F.lit(0)) <= 0) | F.array_contains("scope", F.col("document_id")))
+def scoped(plan: DataFrame) -> DataFrame:
+    """The questions with a scope, a row for each document of it (document_id)."""
+    return plan.filter(F.size("scope") > 0).withColumn("document_id", F.explode(F.array_distinct("scope"))).drop("scope")
+
+
+def unscoped(plan: DataFrame) -> DataFrame:
+    """The questions without a scope, which is all documents."""
+    return plan.filter(F.coalesce(F.size("scope"), F.lit(0)) <= 0).drop("scope")
 
 
 def pages(chunks: DataFrame, plan: DataFrame) -> DataFrame:
-    """The chunks of the page each question names, in reading order; if it has but one, then those of the pages around."""
+    """The chunks of the page each question names, in reading order; if it has but one, then those of the pages around.
+
+    Questions with a scope meet the chunks of its documents; of those without, each page is answered once.
+    """
     place = chunks.select(F.col("id").alias("chunk_id"), "document_id", "page_number", "start_offset")
-    asked = plan.select("question_id", "page", "scope", "top_k", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))).alias("step"))
-    near = within(asked.withColumn("page_number", F.col("page") + F.col("step")).join(place, "page_number"))
-    order = W.partitionBy("question_id").orderBy(F.col("step") != 0, F.coalesce("start_offset", F.lit(0)), "document_id", "page_number", "chunk_id")
-    # of the page itself no more than top_k are kept, of the pages around as many more at most
-    first = near.withColumn("position", F.row_number().over(W.partitionBy("question_id", F.col("step") != 0).orderBy(F.coalesce("start_offset", F.lit(0)), "document_id", "page_number", "chunk_id"))).filter(F.col("position") <= F.col("top_k"))
-    counted = first.withColumn("own", F.sum(F.when(F.col("step") == 0, 1).otherwise(0)).over(W.partitionBy("question_id")))
-    kept = counted.filter((F.col("own") > 0) & ((F.col("step") == 0) | (F.col("own") == 1)))
-    return kept.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= F.col("top_k")).select("question_id", "chunk_id", "position")
+    reading = (F.coalesce("start_offset", F.lit(0)), "document_id", "page_number", "chunk_id")
+    limit = TOP_K["page"]
+
+    def of(asked: DataFrame, key: str, *by: str) -> DataFrame:
+        steps = asked.withColumn("step", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))))
+        near = steps.withColumn("page_number", F.col("page") + F.col("step")).join(place, [*by, "page_number"])
+        # of the page itself no more than limit are kept, of the pages around as many more at most
+        first = near.withColumn("around", F.col("step") != 0).withColumn("position", F.row_number().over(W.partitionBy(key, "around").orderBy(*reading))).filter(F.col("position") <= limit)
+        counted = first.withColumn("own", F.sum(F.when(F.col("around"), 0).otherwise(1)).over(W.partitionBy(key)))
+        kept = counted.filter((F.col("own") > 0) & (~F.col("around") | (F.col("own") == 1)))
+        return kept.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy("around", *reading))).filter(F.col("position") <= limit).select(key, "chunk_id", "position")
+
+    named = unscoped(plan).select("question_id", "page")
+    asked = named.select("page").distinct().withColumn("named", F.col("page"))
+    whole = of(asked, "named").withColumnRenamed("named", "page")
+    return of(scoped(plan).select("question_id", "page", "document_id"), "question_id", "document_id").unionByName(named.join(whole, "page").drop("page"))
 
 
 def sections(chunks: DataFrame, plan: DataFrame) -> DataFrame:
-    """The chunks under headings that hold the section each question names, in reading order. They meet by the section's first word."""
+    """The chunks under headings that hold the section each question names, in reading order.
+
+    The section's first word must be a word of the heading. Questions with a scope meet the chunks of its documents; of
+    those without, each section is sought once, by that word.
+    """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    headings = chunks.select("section").filter("section is not null").distinct().select("section", F.explode(F.array_distinct(words(F.col("section")))).alias("word"))
-    asked = plan.select("question_id", "scope", "top_k", F.lower("section").alias("needle"), F.get(words(F.col("section")), F.lit(0)).alias("word"))
-    met = asked.join(headings, "word").filter(F.contains(F.lower("section"), F.col("needle"))).drop("word", "needle")
-    place = chunks.select(F.col("id").alias("chunk_id"), "document_id", "page_number", "start_offset", "section")
-    order = W.partitionBy("question_id").orderBy("document_id", "page_number", F.coalesce("start_offset", F.lit(0)), "chunk_id")
-    hits = within(met.join(place, "section")).withColumn("position", F.row_number().over(order))
-    return hits.filter(F.col("position") <= F.col("top_k")).select("question_id", "chunk_id", "position")
+    asked = plan.select("question_id", "scope", F.lower("section").alias("needle"), F.get(words(F.col("section")), F.lit(0)).alias("word"))
+    place = chunks.select(F.col("id").alias("chunk_id"), "document_id", "page_number", "start_offset", "section").filter("section is not null")
+    holds = F.contains(F.lower("section"), F.col("needle"))
+
+    def first(hits: DataFrame, key: str) -> DataFrame:
+        order = W.partitionBy(key).orderBy("document_id", "page_number", F.coalesce("start_offset", F.lit(0)), "chunk_id")
+        return hits.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= TOP_K["section"]).select(key, "chunk_id", "position")
+
+    own = first(scoped(asked).join(place, "document_id").filter(holds & F.array_contains(words(F.col("section")), F.col("word"))), "question_id")
+    named = unscoped(asked)
+    headings = place.select("section").distinct().select("section", F.explode(F.array_distinct(words(F.col("section")))).alias("word"))
+    met = named.select("needle", "word").distinct().join(headings, "word").filter(holds).select("needle", "section")
+    return own.unionByName(named.select("question_id", "needle").join(first(met.join(place, "section"), "needle"), "needle").drop("needle"))
 
 
 def answers(chunks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -135,16 +166,16 @@ def answers(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     named = checkpoint(sections(chunks, of("section")))
     unnamed = of("section").join(named, "question_id", "left_anti").withColumn("question", F.concat_ws(" ", "section", "question"))
     fused = of("fact", "multi_document", "calculation", "extraction").unionByName(unnamed)
-    left = checkpoint(selection.without_overlaps(candidates(chunks, fused.select("question_id", "question", "scope"))).drop("content").join(fused.select("question_id", "mode"), "question_id"))
+    left = checkpoint(selection.without_overlaps(candidates(chunks, fused.select("question_id", "question", "scope"), short=True)).drop("content").join(fused.select("question_id", "mode"), "question_id"))
     found = [named, pages(chunks, of("page")), location(chunks, of("location").select("question_id", F.col("topic").alias("question"), "scope")).select("question_id", "chunk_id", "position")]
     for mode, by in (("fact", ("document_id", "page_number")), ("multi_document", ("document_id",)), ("calculation", ("document_id", "page_number")), ("extraction", ("document_id", "page_number"))):
         found.append(selection.diverse(left.filter(F.col("mode") == mode), TOP_K[mode], by).select("question_id", "chunk_id", "position"))
     best = left.filter("mode = 'section'").withColumn("position", F.row_number().over(W.partitionBy("question_id").orderBy("place")))
     found.append(best.filter(F.col("position") <= TOP_K["section"]).select("question_id", "chunk_id", "position"))
     place = chunks.select(F.col("id").alias("chunk_id"), "document_id", "page_number")
-    scoped = of("overview").select("question_id", F.explode("scope").alias("document_id")).join(place, "document_id")
-    found.append(selection.overview(scoped, TOP_K["overview"], "question_id").select("question_id", "chunk_id", "position"))
+    own = scoped(of("overview").select("question_id", "scope")).join(selection.turns(place), "document_id")  # turns are those of a page, whoever asks
+    found.append(selection.in_turn(own, TOP_K["overview"], "question_id").select("question_id", "chunk_id", "position"))
     whole = selection.overview(place.withColumn("mode", F.lit("overview")), TOP_K["overview"], "mode").select("mode", "chunk_id", "position")  # ten rows
-    found.append(of("overview").filter(F.coalesce(F.size("scope"), F.lit(0)) <= 0).join(F.broadcast(whole), "mode").select("question_id", "chunk_id", "position"))
+    found.append(unscoped(of("overview")).join(F.broadcast(whole), "mode").select("question_id", "chunk_id", "position"))
     every = reduce(DataFrame.unionByName, found)
     return every.join(plan.select("question_id", "mode"), "question_id").select("question_id", "mode", "chunk_id", "position")

@@ -289,6 +289,21 @@ def test_each_question_is_answered_in_its_mode(spark):
     assert {x[0] for x in got[9, "section"]} == {"b"}
 
 
+def test_questions_about_one_document_do_not_share_turns(spark):
+    rows = [(f"{d}-{p}-{k}", d, p, f"ZigBee sensors page {p} part {k}", f"Of {d} pages", 100 * k, 100 * k + 60) for d in "ab" for p in (1, 2, 3) for k in range(3)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    asked = [(k, "Give me a brief overview", ["a"]) for k in range(6)] + [(k, "What is on page 2?", ["b", "b"] if k % 2 else None) for k in range(6, 10)] + [(k, "What does the pages section say?", ["b"] if k % 2 else []) for k in range(10, 14)]
+    got = {}
+    df = spark.createDataFrame(asked, "question_id long, question string, scope array<string>")
+    found = modes.answers(chunks, df)
+    for r in found.orderBy("question_id", "position").collect():
+        got.setdefault(r["question_id"], []).append(r["chunk_id"])
+    turns = [f"a-{p}-{k}" for k in range(3) for p in (1, 2, 3)]
+    assert all(got[k] == turns for k in range(6))
+    assert got[6] == got[8] == ["a-2-0", "b-2-0", "a-2-1", "b-2-1", "a-2-2", "b-2-2"]
+    assert got[10] == got[12] == [f"a-{p}-{k}" for p in (1, 2, 3) for k in range(3)][:8] and got[11] == got[13] == [f"b-{p}-{k}" for p in (1, 2, 3) for k in range(3)][:8]
+
+
 def test_headings_are_sought_by_rare_words_and_only_where_a_section_may_be_meant(spark):
     headings = ["The pump", "The pump of the plant", "The pump of the plants in use", "The valve of the plant", "Of", "(§) Pump of the", "He pump of the plant now"]
     known = spark.createDataFrame([(h,) for h in headings] + [(f"The part {k} of the plant",) for k in range(200)], "section string")
