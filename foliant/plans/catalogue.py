@@ -12,7 +12,7 @@ from foliant.functions.text import ascii_tokens, significant_terms, terms
 from foliant.operators import calculation, chunking, grounding, library, ranking, selection
 from foliant.plans import modes, routing
 from foliant.plans.sql import SQL
-from foliant.runtime import table
+from foliant.runtime import checkpoint, table
 from foliant.sources import corpus
 from foliant.streaming import feeds
 
@@ -169,7 +169,7 @@ def calc_results(spark: SparkSession, sf: str) -> DataFrame:
     """The calculations that users' messages ask for, from the question or from the passages found for it."""
     asked = _asked(spark, sf).filter(routing.is_calculation(F.col("question")))
     chunks = corpus.chunks(spark, sf)
-    found = modes.calculation(chunks, asked).join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id")
+    found = checkpoint(modes.calculation(chunks, asked)).join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id")
     return calculation.results(asked, found)
 
 

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from foliant.operators import calculation, chunking, grounding, library, ranking, selection
-from foliant.plans import modes, routing
+from foliant.plans import catalogue, modes, routing
 
 CHUNK = "id string, document_id string, page_number int, content string, section string, start_offset int, end_offset int"
 
@@ -324,3 +324,8 @@ def test_headings_are_sought_by_rare_words_and_only_where_a_section_may_be_meant
     assert got[1] == "The pump of the plant" and got[3] is None and got[4] == "The part 7 of the plant"
     # headings of four words do not meet questions by a first word that many share
     assert "slice(words" in found._jdf.queryExecution().toString()
+
+
+def test_passages_of_calculations_are_ranked_once(spark):
+    plan = catalogue.calc_results(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "FlatMapCoGroups" not in plan
