@@ -10,9 +10,9 @@ A similarity of 0.6 needs a radius (25 of 64 bits) at which a tree prunes next t
 pruning. At a similarity of 0.6 a pair shares at least one of BANDS shards with probability 0.997 and lies within the
 radius with 0.9999; at 0.7 both are above 0.9999.
 
-A shard that a sample of the texts shows to be hot is divided by EXTRA further MinHash values, each of which a pair of
-similarity 0.6 shares with probability 0.6 (one of them with 0.9993). A part that is still hot is divided so that every
-two of its parts meet in a task of their own.
+A shard that a sample of the texts shows to be hot is divided so that every two of its parts meet in a task of their
+own. So the sample and the size of the input decide only how the work is dealt: whether a pair is found depends on its
+two texts alone. The comparisons within a shard grow with the square of its rows.
 
 Cases: null, empty and short texts (under MIN_WORDS words) take part in no pair; repeated rows and repeated texts of
 one id count once; an id with several texts is compared by each; extra columns are ignored; ties do not arise.
@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from foliant.llm.words import mix, permutations, run_hashes, word_hash, words
-from foliant.runtime import checkpoint, small_side
+from foliant.runtime import BROADCAST_BYTES, checkpoint, small_side
 
 MIN_WORDS, RUN, THRESHOLD = 20, 3, 0.6
 #: Shards of each text; MinHash values that name a shard; bits of a fingerprint.
 BANDS, ROWS, BITS = 24, 3, 64
-#: One text of so many is looked at to find hot shards; rows from which on a shard is divided by EXTRA values; rows of the largest tree.
-SAMPLE, HOT_ROWS, EXTRA, TREE_ROWS = 16, 1_000, 8, 4_000
-#: Hot shards that go to all tasks, as numbers of 8 bytes; more are divided in parts alone.
+#: One text of so many is looked at to find hot shards; rows from which on a shard is divided; rows of the largest tree.
+SAMPLE, HOT_ROWS, TREE_ROWS = 16, 1_000, 4_000
+#: Hot shards that are broadcast at most, at 32 bytes each; with more the join is shuffled.
 HOT_SHARDS = 1_000_000
 SEED = 5
 
@@ -78,37 +78,31 @@ class BKTree:
             todo += [child for edge, child in children.items() if d - most <= edge <= d + most]
 
 
-def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the texts that are long enough, their shard keys (n x BANDS), further values (n x EXTRA), fingerprints."""
+def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the texts that are long enough, their shard keys (n x BANDS), fingerprints."""
     split = [(k, w) for k, t in enumerate(texts) if len(w := words(t)) >= MIN_WORDS]
     n = len(split)
-    keys, extra, fingerprint = np.zeros((n, BANDS), np.uint64), np.zeros((n, EXTRA), np.uint64), np.zeros(n, np.uint64)
+    keys, fingerprint = np.zeros((n, BANDS), np.uint64), np.zeros(n, np.uint64)
     if not split:
-        return np.empty(0, np.int64), keys, extra, fingerprint
+        return np.empty(0, np.int64), keys, fingerprint
     runs = [run_hashes(np.array([word_hash(x) for x in w], np.uint64), RUN) for _, w in split]
     starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])[:-1]])
     h = np.concatenate(runs)
-    a, b = permutations(BANDS * ROWS + BITS + EXTRA, SEED)
+    a, b = permutations(BANDS * ROWS + BITS, SEED)
     for k in range(len(a)):
         least = np.minimum.reduceat(h * a[k] + b[k], starts)
         bit = k - BANDS * ROWS
         if bit < 0:
             band = k // ROWS
             keys[:, band] = mix(keys[:, band] ^ least ^ np.uint64(band))
-        elif bit < BITS:
+        else:
             # the low bits of a minimum are those of the product: any fixed bit of it is a fair coin
             fingerprint |= ((least >> np.uint64(17)) & np.uint64(1)) << np.uint64(bit)
-        else:
-            extra[:, bit - BITS] = mix(least + np.uint64(bit))
-    return np.array([k for k, _ in split]), keys, extra, fingerprint
+    return np.array([k for k, _ in split]), keys, fingerprint
 
 
-def shard_rows(texts: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
-    """key, text -> shard, key, fingerprint: a row for each distinct text of a partition and each of its shards.
-
-    In the hot shards (sorted) a text has a row for each of its further values instead.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(np.empty(0, np.int64) if hot is None else hot)
+def shard_rows(texts: DataFrame) -> DataFrame:
+    """key, text -> shard, key, fingerprint: a row for each distinct text of a partition and each of its shards."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -123,15 +117,10 @@ def shard_rows(texts: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
                 seen.clear()
             for at in range(0, len(fresh), 1000):
                 piece = np.array(fresh[at : at + 1000])
-                found, shards, extra, fingerprint = signatures(batch.column(1).take(pa.array(piece)).to_pylist())
-                is_hot = np.isin(shards.view(np.int64), shared.value)
-                row, band = np.nonzero(~is_hot)
-                hot_row, hot_band = np.nonzero(is_hot)
-                deeper = mix(shards[hot_row, hot_band, None] ^ extra[hot_row])
-                own = np.concatenate([row, np.repeat(hot_row, EXTRA)])
-                shard = np.concatenate([shards[row, band], deeper.ravel()])
-                key = batch.column(0).take(pa.array(piece[found[own]]))
-                yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), key, pa.array(fingerprint[own].view(np.int64))], names=["shard", "key", "fingerprint"])
+                found, shards, fingerprint = signatures(batch.column(1).take(pa.array(piece)).to_pylist())
+                key = batch.column(0).take(pa.array(np.repeat(piece[found], BANDS)))
+                prints = np.repeat(fingerprint, BANDS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shards.ravel().view(np.int64)), key, pa.array(prints)], names=["shard", "key", "fingerprint"])
 
     return texts.select("key", "text").mapInArrow(part, "shard long, key binary, fingerprint long")
 
@@ -144,7 +133,8 @@ def large(rows: DataFrame, most: int) -> DataFrame:
 def divided(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Shard rows with the two parts (i, j) of the shard that meet in a task, and the row's own part."""
     parts = F.coalesce(F.col("parts"), F.lit(1))
-    with_own = rows.join(small_side(hot), "shard", "left").withColumn("own", F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64("key"), parts).cast("int"))).withColumn("parts", parts)
+    held = small_side(hot, min(BROADCAST_BYTES, 32 * HOT_SHARDS))
+    with_own = rows.join(held, "shard", "left").withColumn("own", F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64("key"), parts).cast("int"))).withColumn("parts", parts)
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     return with_own.withColumn("other", other).select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "fingerprint")
 
@@ -201,10 +191,9 @@ def tree_pairs(rows: DataFrame, most: int) -> DataFrame:
 def similar_classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of unequal texts at least as similar as the threshold. texts: key, text. Gives a, b (keys, a < b), jaccard."""
     sampled = texts.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0)
-    found = large(shard_rows(sampled), HOT_ROWS).select("shard").limit(HOT_SHARDS + 1).collect()
-    hot = np.sort(np.array([r["shard"] for r in found] if len(found) <= HOT_SHARDS else [], np.int64))
-    still = large(shard_rows(sampled, hot), TREE_ROWS).select("shard", F.ceil(F.col("n") / TREE_ROWS).cast("int").alias("parts"))
-    pairs = checkpoint(tree_pairs(divided(shard_rows(texts, hot), still), radius(threshold)))
+    parts = F.greatest(F.lit(2), F.ceil(F.col("n") / TREE_ROWS)).cast("int")
+    hot = large(shard_rows(sampled), min(HOT_ROWS, TREE_ROWS)).select("shard", parts.alias("parts"))
+    pairs = checkpoint(tree_pairs(divided(shard_rows(texts), hot), radius(threshold)))
     held = among(texts, pairs.select(F.explode(F.array("a", "b")).alias("key"))).dropDuplicates(["key"])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -121,6 +121,20 @@ def test_shards_divided_by_further_values_lose_nothing(spark, monkeypatch):
     assert taken() == whole
 
 
+def test_pairs_do_not_depend_on_the_size_of_a_shard(spark, monkeypatch):
+    rows = []
+    for seed in (0, 1319, 5094, 5765, 6439, 6617, 8795, 9030, 9456, 9756, 11341):  # pairs of similarity 0.6
+        r = random.Random(seed)
+        base = [f"w{r.randrange(10**6)}" for _ in range(102)]
+        rows += [(f"{seed}-a", " ".join(base[:82])), (f"{seed}-b", " ".join(base[20:]))]
+    df = spark.createDataFrame(rows, "id string, content string")
+    taken = lambda: {(r["id_a"], r["id_b"]) for r in near_duplicates.near_duplicates(df).collect()}
+    assert taken() == brute_pairs(rows)
+    monkeypatch.setattr(near_duplicates, "HOT_ROWS", 0)
+    monkeypatch.setattr(near_duplicates, "SAMPLE", 1)
+    assert taken() == brute_pairs(rows)
+
+
 def test_bk_tree_equals_a_scan():
     rng = random.Random(0)
     prints = [rng.getrandbits(64) for _ in range(300)]
