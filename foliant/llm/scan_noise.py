@@ -26,7 +26,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import random
 import re
 import unicodedata
 from collections import Counter
@@ -36,12 +35,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.lookalikes import BLANKS, HOMOGLYPHS, INVISIBLE, plain
+from foliant.llm.words import mix
 from foliant.runtime import checkpoint
 
 #: The most frequent words, which go to all tasks (rarer ones are joined); how often a word must occur to be linked to.
@@ -151,6 +153,12 @@ def allowed(read: str) -> float:
     return 1.0 if n <= 3 else 2.0 if n <= 6 else 3.0
 
 
+def numbered(split: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of texts split into tokens: how many tokens each text has, the number of each token, the different tokens."""
+    tokens = split.flatten().dictionary_encode()
+    return pc.list_value_length(split).to_numpy(zero_copy_only=False), tokens.indices.to_numpy(zero_copy_only=False), tokens.dictionary.to_pylist()
+
+
 def count_words(pages: DataFrame) -> DataFrame:
     """word, digital, scanned: how often each word occurs on born-digital and on scanned pages."""
 
@@ -165,8 +173,12 @@ def count_words(pages: DataFrame) -> DataFrame:
 
         counts: dict[bool, Counter] = {False: Counter(), True: Counter()}
         for batch in batches:
-            for scanned, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[scanned].update(content.split())
+            size, number, tokens = numbered(pc.utf8_split_whitespace(batch.column(1)))
+            of_scan = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
+            for scanned in (False, True):
+                found = np.bincount(number[of_scan == scanned], minlength=len(tokens))
+                there = found.nonzero()[0]
+                counts[scanned].update(dict(zip((tokens[k] for k in there.tolist()), found[there].tolist(), strict=True)))
             if sum(map(len, counts.values())) > 1_000_000:  # memory stays bounded
                 yield given(counts)
                 counts = {False: Counter(), True: Counter()}
@@ -320,6 +332,21 @@ def header_lines(scanned: DataFrame, pages: DataFrame) -> DataFrame:
     return headers.unionAll(found.filter("number").select("page_id", "line_no", F.lit("number").alias("defect")))
 
 
+class Certain(dict):
+    """token -> whether it is known whatever a page has beyond the frequent words: blank, a number, or frequent."""
+
+    def __init__(self, frequent: dict[str, int]):
+        super().__init__()
+        self.frequent = frequent
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 500_000:  # memory stays bounded
+            self.clear()
+        f = form(token)
+        self[token] = known = not f or f in self.frequent or bool(PLAIN_NUMBER.match(f))
+        return known
+
+
 class Reader:
     """Finds broken and odd words in a page's lines, given the frequent words and, in rare, those of a page beyond them.
 
@@ -331,6 +358,7 @@ class Reader:
 
     def __init__(self, frequent: dict[str, int]):
         self.known = frequent
+        self.certain = Certain(frequent)
         self.rare: dict[str, int] = {}
         self.asked: set[str] = set()
         self.first_parts = Counter()
@@ -350,12 +378,13 @@ class Reader:
         return self.rare.get(part + self.BEGINS, self.first_parts.get(part, 0))
 
     def is_known(self, token: str) -> bool:
-        f = form(token)
-        return not f or bool(PLAIN_NUMBER.match(f)) or self.count(f) > 0
+        return self.certain[token] or self.count(form(token)) > 0
+
+    def read(self, lines: list[list[str]]) -> tuple[list[tuple], list[tuple]]:
+        """(line, hyphen token, next line) of broken words; (line, place, token, next line, length of the first part) of odd words.
 
-    def read(self, content: str, skip: set[int]) -> tuple[list[tuple], list[tuple]]:
-        """(line, hyphen token, next line) of broken words; (line, place, token, next line, length of the first part) of odd words."""
-        lines = [[] if k in skip else x.split() for k, x in enumerate(content.split("\n"))]
+        Given are the tokens of a page's lines.
+        """
         broken, odd, continued = [], [], set()
         there = [k for k, x in enumerate(lines) if x]
         for n, k in enumerate(there):
@@ -383,9 +412,10 @@ class Reader:
                     odd.append((k, len(lines[k]) - 1, token, after, len(start)))
             else:
                 continued.add((k, len(lines[k]) - 1))
+        certain = self.certain
         for n, k in enumerate(there):
             for place, token in enumerate(lines[k]):
-                if (k, place) in continued or self.is_known(token):
+                if certain[token] or (k, place) in continued or self.is_known(token):
                     continue
                 if n == 0 and place == 0 and token[0].islower() and not any(c in STRAY for c in token):
                     continue  # may continue a word of the page before
@@ -437,6 +467,13 @@ def shares(counted: DataFrame, total: int) -> dict[str, float]:
     return {w: max((THIN * total / n) ** 0.5, KEPT / n) for w, n in common.items()}
 
 
+def chances(texts: list[str], size: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each token of each text, as by chance, but always the same for a text."""
+    seeds = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
+    place = np.arange(size.sum()) - np.repeat(size.cumsum() - size, size)
+    return (mix(np.repeat(seeds, size) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+
+
 def sentences(pages: DataFrame, share: dict[str, float]) -> DataFrame:
     """text: the words of each page, as they are counted, with blanks between; words that are everywhere are thinned out."""
     thin = pages.sparkSession.sparkContext.broadcast(share)
@@ -444,11 +481,14 @@ def sentences(pages: DataFrame, share: dict[str, float]) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = thin.value
         for batch in batches:
-            out = []
-            for content in batch.column(0).to_pylist():
-                chance = random.Random(content).random
-                out.append(" ".join(f for f in map(form_of, content.split()) if f and (f not in share or chance() < share[f])))
-            yield pa.RecordBatch.from_pydict({"text": out}, schema=pa.schema([("text", pa.string())]))
+            size, number, tokens = numbered(pc.utf8_split_whitespace(batch.column(0)))
+            forms = [form_of(t) for t in tokens]
+            part_kept = np.array([share.get(f, 1.0) if f else 0.0 for f in forms])
+            kept = chances(batch.column(0).to_pylist(), size) < part_kept[number]
+            text = np.repeat(np.arange(len(size)), size)[kept]
+            ends = np.concatenate([[0], np.bincount(text, minlength=len(size)).cumsum()])
+            taken = pa.array(forms, pa.string()).take(pa.array(number[kept]))
+            yield pa.RecordBatch.from_arrays([pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken), " ")], names=["text"])
 
     return pages.select("content").filter(F.col("content").rlike(r"(?U)\S")).mapInArrow(part, "text string")
 
@@ -491,19 +531,19 @@ class Space:
         self.at = {w: k for k, w in enumerate(learned)}
         self.rows = np.vstack([*learned.values(), np.zeros((1, VECTOR), np.float32)]) if learned else np.zeros((1, VECTOR), np.float32)
 
-    def around(self, texts: list[list[str]]) -> np.ndarray:
-        """For each word of each text the direction of the words within REACH; zeros if none of them has a vector."""
-        get, none = self.at.get, len(self.rows) - 1
-        gap = [none] * REACH
-        codes, own, at = list(gap), [], REACH
-        for text in texts:
-            codes += [get(f, none) for f in text]
-            codes += gap
-            own.append(np.arange(at, at + len(text)))
-            at += len(text) + REACH
-        if not own:
+    def around(self, size: np.ndarray, number: np.ndarray, words: list[str]) -> np.ndarray:
+        """For each word of each text the direction of the words within REACH; zeros if none of them has a vector.
+
+        Given are the texts' sizes, the number of each of their words, and the words.
+        """
+        if not len(number):
             return np.zeros((0, VECTOR), np.float32)
-        vectors, k = self.rows[codes], np.concatenate(own)
+        none = len(self.rows) - 1
+        code = np.array([self.at.get(f, none) for f in words])
+        k = np.arange(len(number)) + REACH * np.repeat(np.arange(1, len(size) + 1), size)
+        codes = np.full(len(number) + REACH * (len(size) + 1), none)
+        codes[k] = code[number]
+        vectors = self.rows[codes]
         before = np.vstack([np.zeros((1, VECTOR)), vectors.cumsum(axis=0, dtype=np.float64)])
         return unit((before[k + REACH + 1] - before[k - REACH] - vectors[k]).astype(np.float32))
 
@@ -520,14 +560,14 @@ def profiles(texts: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
             return pa.RecordBatch.from_pydict({"word": list(number), **{c: sums[: len(number), k] for k, c in enumerate(names)}})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                split = [t.split(" ") for t in batch.column(0).slice(at, 500).to_pylist()]
-                own = np.array([number.setdefault(f, len(number)) for forms in split for f in forms])
+            for at in range(0, batch.num_rows, 2000):
+                size, own, forms = numbered(pc.split_pattern(batch.column(0).slice(at, 2000), " "))
+                place = np.array([number.setdefault(f, len(number)) for f in forms])
                 if len(number) > len(sums):
                     sums = np.vstack([sums, np.zeros((max(len(sums), len(number) - len(sums)), VECTOR))])
-                there = space.around(split)
+                there = space.around(size, own, forms)
                 for k in range(VECTOR):
-                    sums[: len(number), k] += np.bincount(own, there[:, k], len(number))
+                    sums[place, k] += np.bincount(own, there[:, k], len(forms))
             if len(number) > 200_000:  # memory stays bounded
                 yield given()
                 number, sums = {}, np.zeros((1024, VECTOR))
@@ -539,6 +579,11 @@ def profiles(texts: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
     return summed.withColumn("_l", length).filter("word != '' and _l > 0").select("word", F.array(*((F.col(c) / F.col("_l")).cast("float") for c in names)).alias("profile"))
 
 
+def tokens_of_lines(content: str, skip: set[int]) -> list[list[str]]:
+    """The tokens of each line of a page; none of the lines to skip."""
+    return [[] if k in skip else x.split() for k, x in enumerate(content.split("\n"))]
+
+
 def with_rare(there: DataFrame, words: DataFrame, shared: Broadcast) -> DataFrame:
     """there with rare: how often known words are what a page asks for beyond the lexicon (null: the lexicon is all)."""
     if len(shared.value) < LEXICON:
@@ -550,7 +595,7 @@ def with_rare(there: DataFrame, words: DataFrame, shared: Broadcast) -> DataFram
             rows = []
             for page, content, skip in zip(batch["page_id"], batch["content"], batch["gone"], strict=True):
                 reader.asked = set()
-                reader.read(content, set() if skip is None else set(skip))
+                reader.read(tokens_of_lines(content, set() if skip is None else set(skip)))
                 rows += [(page, key) for key in sorted(reader.asked)]
             yield pd.DataFrame(rows, columns=["page_id", "key"])
 
@@ -582,16 +627,19 @@ def odd_words(scanned: DataFrame, gone: DataFrame, frequent: dict[str, int], wor
         for batch in (b.iloc[at : at + 500] for b in batches for at in range(0, len(b), 500)):
             rows, fits = [], np.zeros(STEPS + 1, np.int64)
             gone = [set() if skip is None else set(skip) for skip in batch["gone"]]
-            split = [[[] if k in skip else x.split() for k, x in enumerate(content.split("\n"))] for content, skip in zip(batch["content"], gone, strict=True)]
-            forms = [[form(t) for x in lines for t in x] for lines in split]
-            around = space.around(forms)
-            at, of = np.array([(k, known[f]) for k, f in enumerate(f for text in forms for f in text) if f in known], np.int64).reshape(-1, 2).T
+            split = [tokens_of_lines(content, skip) for content, skip in zip(batch["content"], gone, strict=True)]
+            tokens = pa.array([t for lines in split for x in lines for t in x], pa.string()).dictionary_encode()
+            number, forms = tokens.indices.to_numpy(zero_copy_only=False), [form(t) for t in tokens.dictionary.to_pylist()]
+            around = space.around(np.array([sum(map(len, lines)) for lines in split]), number, forms)
+            of = np.array([known.get(f, -1) for f in forms], np.int64)[number]
+            at = np.flatnonzero(of >= 0)
+            of = of[at]
             nearness = np.einsum("ij,ij->i", around[at], profile[of])[around[at].any(axis=1)]
             fits += np.bincount(((nearness.clip(-1, 1) + 1) * STEPS / 2).astype(int), minlength=STEPS + 1)
             first = 0
-            for page, content, confidence, skip, rare, lines in zip(batch["page_id"], batch["content"], batch["confidence"], gone, batch["rare"], split, strict=True):
+            for page, confidence, rare, lines in zip(batch["page_id"], batch["confidence"], batch["rare"], split, strict=True):
                 reader.rare, reader.asked = {} if rare is None else {r["key"]: r["n"] for r in rare}, set()
-                broken, odd = reader.read(content, skip)
+                broken, odd = reader.read(lines)
                 starts = np.cumsum([first, *map(len, lines)])
                 first = starts[-1]
                 sure = per_line(confidence, len(lines), 1.0)

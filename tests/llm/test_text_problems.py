@@ -148,6 +148,14 @@ def test_a_rare_word_in_other_company_is_left(spark):
     assert {r["page_id"] for r in scan_noise.defects(spark.createDataFrame(rows, PAGES)).filter("defect = 'char'").collect()} == {"o-1"}
 
 
+def test_each_different_token_is_looked_at_once(monkeypatch):
+    asked, form = [], scan_noise.form
+    monkeypatch.setattr(scan_noise, "form", lambda token: asked.append(token) or form(token))
+    reader = scan_noise.Reader({"sensor": 3})
+    broken, odd = reader.read(scan_noise.tokens_of_lines("sensor 12 sensor\ngone\n" + "sensor 12 " * 50 + "sens0r", {1}))
+    assert not broken and [x[:3] for x in odd] == [(2, 100, "sens0r")] and asked.count("sensor") == 1 and asked.count("12") == 1
+
+
 def test_scans_alone_are_repaired(spark):
     text = "The sensor describes a wireless camera. When the camera fails, the second sensor follows it at once."
     worse = text.replace("wireless", "wire~less").replace("second", "sec0nd")
